@@ -26,20 +26,36 @@ SHARE_ACCURATE = 0.5
 SHARE_DIVERSE = 0.3
 
 
-def _right(n: Column, j: int) -> Column:
-    return (n["p"][j] > 0.5) == (n["y"] == 1)
+def described(region: str | Column) -> Column:
+    """Region rows with hits ``c``, supports of the true class ``s``, inverse distance ``w`` and potential ``g``.
 
+    The potential is Gaussian relative to the nearest row, so that far regions do not underflow.
+    """
+    region = F.col(region) if isinstance(region, str) else region
+    nearest = F.coalesce(F.get(region, 0)["dist"], F.lit(0.0))
+
+    def row(n: Column) -> Column:
+        one = n["y"] == 1
+        return F.struct(
+            n["dist"].alias("dist"), n["y"].alias("y"), n["p"].alias("p"),
+            F.transform(n["p"], lambda x: F.when((x > 0.5) == one, 1.0).otherwise(0.0)).alias("c"),
+            F.transform(n["p"], lambda x: F.when(one, x).otherwise(F.lit(1.0) - x)).alias("s"),
+            (F.lit(1.0) / (F.sqrt(n["dist"]) + F.lit(1e-10))).alias("w"),
+            F.exp(nearest - n["dist"]).alias("g"))
+
+    return F.transform(region, row)
 
-def _support(n: Column, j: int) -> Column:
-    return F.when(n["y"] == 1, n["p"][j]).otherwise(F.lit(1.0) - n["p"][j])
 
+# Vectors over the pool are arrays, added element by element: expressions do not grow with the pool.
 
-def _weight(n: Column) -> Column:
-    return F.lit(1.0) / (F.sqrt(n["dist"]) + F.lit(1e-10))
+def _zip(a: Column, b: Column, f) -> Column:
+    return F.zip_with(a, b, f)
 
 
-def _sum(region: Column, term) -> Column:
-    return F.aggregate(region, F.lit(0.0), lambda a, n: a + term(n))
+def _vsum(region: Column, term) -> Column:
+    """Per classifier, the sum over the region of ``term(neighbour)``, an array."""
+    zeros = F.transform("p", lambda x: F.lit(0.0))
+    return F.aggregate(region, zeros, lambda acc, n: _zip(acc, term(n), lambda a, x: a + x))
 
 
 def _num(flag: Column) -> Column:
@@ -50,12 +66,17 @@ def _safe(num: Column, den: Column) -> Column:
     return F.when(den > 0, num / den).otherwise(F.lit(0.0))
 
 
+def _vsafe(num: Column, den: Column) -> Column:
+    return _zip(num, den, _safe)
+
+
 def _per(size: int, f) -> Column:
     return F.array(*[f(j) for j in range(size)])
 
 
-def _votes_one(j: int) -> Column:
-    return F.col("p")[j] > 0.5
+def _with_queries(values: Column, n: Column, f) -> Column:
+    """Combine a neighbour's vector with whether the classifier's answer to the query is the neighbour's class."""
+    return _zip(values, F.col("p"), lambda v, p: f(v, (p > 0.5) == (n["y"] == 1)))
 
 
 # --- shortcuts and pruning ------------------------------------------------------------------
@@ -71,17 +92,17 @@ def split_agreement(pool: DataFrame) -> tuple[DataFrame, DataFrame]:
     return decide(pool.where(agreed()).withColumn("p1", mean_score())), pool.where(~agreed())
 
 
-def frienemy_keep(region: Column, size: int) -> Column:
+def frienemy_keep(region: Column) -> Column:
     """Flags of the classifiers that are right on a neighbour of each class present.
 
     In a region of one class, or if nobody qualifies, all are kept.
     """
-    def hit(j, y):
-        return F.exists(region, lambda n: (n["y"] == y) & _right(n, j))
+    def hits(y):
+        return _vsum(region, lambda n: F.transform(n["c"], lambda c: F.when(n["y"] == y, c).otherwise(0.0)))
 
     mixed = F.exists(region, lambda n: n["y"] == 0) & F.exists(region, lambda n: n["y"] == 1)
-    flags = _per(size, lambda j: hit(j, 0) & hit(j, 1))
-    return F.when(mixed & F.exists(flags, lambda f: f), flags).otherwise(_per(size, lambda j: F.lit(True)))
+    flags = _zip(hits(0), hits(1), lambda a, b: (a > 0) & (b > 0))
+    return F.when(mixed & F.exists(flags, lambda f: f), flags).otherwise(F.transform("p", lambda x: F.lit(True)))
 
 
 def minority_share(region: Column) -> Column:
@@ -90,56 +111,52 @@ def minority_share(region: Column) -> Column:
     return F.least(ones, F.lit(1.0) - ones)
 
 
-# --- competence ------------------------------------------------------------------------------
+# --- competence: described region to one value per classifier ---------------------------------
 
-def ola(region, size):
-    return _per(size, lambda j: _safe(_sum(region, lambda n: _num(_right(n, j))), F.size(region)))
+def hits(region):
+    return _vsum(region, lambda n: n["c"])
 
 
-def _same_class(j):
-    return lambda n: (n["y"] == 1) == _votes_one(j)
+def ola(region):
+    return F.transform(hits(region), lambda h: _safe(h, F.size(region)))
 
 
-def lca(region, size):
-    return _per(size, lambda j: _safe(_sum(region, lambda n: _num(_same_class(j)(n) & _right(n, j))),
-                                      _sum(region, lambda n: _num(_same_class(j)(n)))))
+def lca(region):
+    return _vsafe(_vsum(region, lambda n: _with_queries(n["c"], n, lambda c, same: F.when(same, c).otherwise(0.0))),
+                  _vsum(region, lambda n: _with_queries(n["c"], n, lambda c, same: _num(same))))
 
 
-def mla(region, size):
-    return _per(size, lambda j: _safe(
-        _sum(region, lambda n: F.when(_same_class(j)(n) & _right(n, j), _weight(n)).otherwise(0.0)),
-        _sum(region, lambda n: F.when(_same_class(j)(n), _weight(n)).otherwise(0.0))))
+def mla(region):
+    return _vsafe(_vsum(region, lambda n: _with_queries(n["c"], n, lambda c, same: F.when(same, n["w"] * c).otherwise(0.0))),
+                  _vsum(region, lambda n: _with_queries(n["c"], n, lambda c, same: F.when(same, n["w"]).otherwise(0.0))))
 
 
-def apriori(region, size):
-    return _per(size, lambda j: _safe(_sum(region, lambda n: _weight(n) * _support(n, j)), _sum(region, _weight)))
+def apriori(region):
+    return _vsafe(_vsum(region, lambda n: F.transform(n["s"], lambda s: n["w"] * s)),
+                  _vsum(region, lambda n: F.transform(n["s"], lambda s: n["w"])))
 
 
-def aposteriori(region, size):
-    def share(n, j):
-        return _weight(n) * F.when(_votes_one(j), n["p"][j]).otherwise(F.lit(1.0) - n["p"][j])
+def aposteriori(region):
+    def share(n):
+        return _zip(n["p"], F.col("p"), lambda v, p: n["w"] * F.when(p > 0.5, v).otherwise(F.lit(1.0) - v))
 
-    return _per(size, lambda j: _safe(
-        _sum(region, lambda n: F.when(_same_class(j)(n), share(n, j)).otherwise(0.0)),
-        _sum(region, lambda n: share(n, j))))
+    same = lambda n: _with_queries(share(n), n, lambda v, ok: F.when(ok, v).otherwise(0.0))
+    return _vsafe(_vsum(region, same), _vsum(region, share))
 
 
-def _leading_run(region, j):
+def leading_run(region):
     """Number of nearest neighbours in a row on which the classifier is right."""
-    start = F.struct(F.lit(0.0).alias("n"), F.lit(True).alias("on"))
-    step = lambda a, n: F.struct((a["n"] + _num(a["on"] & _right(n, j))).alias("n"), (a["on"] & _right(n, j)).alias("on"))
-    return F.aggregate(region, start, step)["n"]
+    start = F.transform("p", lambda x: F.struct(F.lit(0.0).alias("n"), F.lit(True).alias("on")))
 
+    def step(acc, n):
+        return _zip(acc, n["c"], lambda a, c: F.struct((a["n"] + _num(a["on"] & (c > 0))).alias("n"), (a["on"] & (c > 0)).alias("on")))
 
-def _potential(region):
-    """Gaussian weight of a neighbour, relative to the nearest one so that it cannot underflow."""
-    nearest = F.coalesce(F.array_min(F.transform(region, lambda n: n["dist"])), F.lit(0.0))
-    return lambda n: F.exp(nearest - n["dist"])
+    return F.transform(F.aggregate(region, start, step), lambda a: a["n"])
 
 
-def _potential_mean(region, j, score):
-    w = _potential(region)
-    return _safe(_sum(region, lambda n: w(n) * score(n, j)), _sum(region, w))
+def _potential_mean(region, score):
+    return _vsafe(_vsum(region, lambda n: F.transform(score(n), lambda v: n["g"] * v)),
+                  _vsum(region, lambda n: F.transform(n["s"], lambda v: n["g"])))
 
 
 @functools.cache
@@ -173,65 +190,76 @@ def _beta_probability(p: Column) -> Column:
     return a + (b - a) * (at - low)
 
 
-def rrc(region, size):
+def rrc(region):
     """Probability that a randomised classifier is right, weighted by closeness."""
-    return _per(size, lambda j: _potential_mean(region, j, lambda n, j: _beta_probability(_support(n, j))))
+    return _potential_mean(region, lambda n: F.transform(n["s"], _beta_probability))
 
 
-def deskl(region, size):
+def deskl(region):
     """Signed divergence of the scores from the uniform distribution."""
     def part(v):
         return F.when(v > 0, v * F.log(F.lit(2.0) * v)).otherwise(F.lit(0.0))
 
-    def score(n, j):
-        v = (part(n["p"][j]) + part(F.lit(1.0) - n["p"][j])) / F.lit(math.log(2.0))
-        return F.when(_right(n, j), v).otherwise(-v)
+    def score(p, c):
+        v = (part(p) + part(F.lit(1.0) - p)) / F.lit(math.log(2.0))
+        return F.when(c > 0, v).otherwise(-v)
 
-    return _per(size, lambda j: _potential_mean(region, j, score))
+    return _potential_mean(region, lambda n: _zip(n["p"], n["c"], score))
 
 
-def exponential(region, size):
+def exponential(region):
     """1 - 2^(1 - s/(1-s)) for two classes."""
-    def score(n, j):
-        s = F.least(_support(n, j), F.lit(1.0 - 1e-10))
+    def score(s):
+        s = F.least(s, F.lit(1.0 - 1e-10))
         return F.lit(1.0) - F.pow(F.lit(2.0), F.lit(1.0) - s / (F.lit(1.0) - s))
 
-    return _per(size, lambda j: _potential_mean(region, j, score))
+    return _potential_mean(region, lambda n: F.transform(n["s"], score))
 
 
-def logarithmic(region, size):
+def logarithmic(region):
     """2 s^(log 2 / log classes) - 1, which is 2 s - 1 for two classes."""
-    return _per(size, lambda j: _potential_mean(region, j, lambda n, j: F.lit(2.0) * _support(n, j) - F.lit(1.0)))
+    return _potential_mean(region, lambda n: F.transform(n["s"], lambda s: F.lit(2.0) * s - F.lit(1.0)))
+
+
+def shared_errors(region: Column) -> Column:
+    """Double faults of each classifier with all others, summed over the region."""
+    return _vsum(region, lambda n: F.transform(n["c"], lambda c: F.when(c > 0, 0.0).otherwise(
+        F.size(F.filter(n["c"], lambda o: o < 1)) - F.lit(1.0))))
+
+
+def accuracy_and_errors(region):
+    return _zip(ola(region), shared_errors(region), lambda a, e: F.struct(a.alias("a"), e.alias("e")))
 
 
 # --- selection: competence and pruning flags to vote weights -----------------------------------
 
-def _weights_where(size, flag, keep) -> Column:
-    """Weight 1 where the flag holds; if nobody is selected, all unpruned classifiers vote."""
-    chosen = _per(size, lambda j: _num(keep[j] & flag(j)))
-    return F.when(F.exists(chosen, lambda w: w > 0), chosen).otherwise(_per(size, lambda j: _num(keep[j])))
+def _or_everyone(chosen: Column, keep: Column) -> Column:
+    """If nobody is selected, all unpruned classifiers vote."""
+    return F.when(F.exists(chosen, lambda w: w > 0), chosen).otherwise(F.transform(keep, _num))
 
 
-def select_best(comp: Column, size: int, keep: Column) -> Column:
+def select_best(comp: Column, keep: Column) -> Column:
     """Weight 1 for the unpruned classifier with the greatest competence, the first in a tie."""
-    masked = _per(size, lambda j: F.when(keep[j], comp[j]).otherwise(F.lit(-1e300)))
+    masked = _zip(comp, keep, lambda c, k: F.when(k, c).otherwise(F.lit(-1e300)))
     best = F.array_position(masked, F.array_max(masked))
-    return _per(size, lambda j: _num(best == j + 1))
+    return F.transform(keep, lambda k, j: _num(best == j + 1))
 
 
 def _above(level):
-    return lambda comp, size, keep: _weights_where(size, lambda j: comp[j] > level, keep)
+    return lambda comp, keep: _or_everyone(_zip(comp, keep, lambda c, k: _num(k & (c > level))), keep)
 
 
-def _longest_run(comp, size, keep):
-    runs = _per(size, lambda j: F.when(keep[j], comp[j]).otherwise(0.0))
-    top = F.array_max(runs)
-    return _weights_where(size, lambda j: (comp[j] == top) & (top > 0), keep)
+def _unpruned(comp, keep):
+    return _zip(comp, keep, lambda c, k: F.when(k, c).otherwise(0.0))
 
 
-def _by_hits(comp, size, keep):
-    votes = _per(size, lambda j: F.when(keep[j], comp[j]).otherwise(0.0))
-    return F.when(F.exists(votes, lambda w: w > 0), votes).otherwise(_per(size, lambda j: _num(keep[j])))
+def longest_run(comp, keep):
+    top = F.array_max(_unpruned(comp, keep))
+    return _or_everyone(_zip(comp, keep, lambda c, k: _num(k & (c > 0) & (c == top))), keep)
+
+
+def by_hits(comp, keep):
+    return _or_everyone(_unpruned(comp, keep), keep)
 
 
 def sizes_of(size: int, accurate: float = SHARE_ACCURATE, diverse: float = SHARE_DIVERSE) -> tuple[int, int]:
@@ -239,52 +267,41 @@ def sizes_of(size: int, accurate: float = SHARE_ACCURATE, diverse: float = SHARE
     return int(size * accurate), math.ceil(size * diverse)
 
 
-def _accurate_then_diverse(accuracy, shared_errors, size, keep, accurate, diverse):
-    n, m = sizes_of(size, accurate, diverse)
-    ranked = F.array_sort(F.filter(F.array(*[
-        F.struct((-accuracy[j]).alias("a"), F.lit(j).alias("j"), shared_errors[j].alias("e"), keep[j].alias("k"))
-        for j in range(size)]), lambda c: c["k"]))
-    top = F.slice(ranked, 1, max(n, 1))
-    spread = F.array_sort(F.transform(top, lambda c: F.struct(c["e"].alias("e"), c["j"].alias("j"))))
-    chosen = F.transform(F.slice(spread, 1, m), lambda c: c["j"])
-    return _per(size, lambda j: _num(F.array_contains(chosen, j)))
-
-
-def shared_errors(region: Column, size: int) -> Column:
-    """Double faults of each classifier with all others, summed over the region."""
-    wrong = lambda n: F.size(F.filter(F.sequence(F.lit(0), F.lit(size - 1)),
-                                      lambda i: (F.get(n["p"], i) > 0.5) != (n["y"] == 1)))
-    return _per(size, lambda j: _sum(region, lambda n: F.when(_right(n, j), 0.0).otherwise(wrong(n) - F.lit(1.0))))
-
-
-def desknn_weights(region, size, keep, accurate: float = SHARE_ACCURATE, diverse: float = SHARE_DIVERSE) -> Column:
+def accurate_then_diverse(comp, keep, accurate: float = SHARE_ACCURATE, diverse: float = SHARE_DIVERSE):
     """Most accurate share of the pool, then the members that share the fewest errors."""
-    return _accurate_then_diverse(ola(region, size), shared_errors(region, size), size, keep, accurate, diverse)
+    size = F.size(keep)
+    n = F.greatest(F.floor(size * F.lit(accurate)).cast("int"), F.lit(1))
+    m = F.ceil(size * F.lit(diverse)).cast("int")
+    rows = F.transform(comp, lambda c, j: F.struct((-c["a"]).alias("a"), j.alias("j"), c["e"].alias("e"), F.get(keep, j).alias("k")))
+    top = F.slice(F.array_sort(F.filter(rows, lambda r: r["k"])), 1, n)
+    spread = F.array_sort(F.transform(top, lambda r: F.struct(r["e"].alias("e"), r["j"].alias("j"))))
+    chosen = F.transform(F.slice(spread, 1, m), lambda r: r["j"])
+    return F.transform(keep, lambda k, j: _num(F.array_contains(chosen, j)))
 
 
 # Selector: (region kind, pruning, competence, selection).
-_BEST = lambda comp, size, keep: select_best(comp, size, keep)
 SELECTORS = {
-    "OLA": ("even", True, ola, _BEST),
-    "LCA": ("even", True, lca, _BEST),
-    "MLA": ("even", True, mla, _BEST),
-    "APriori": ("even", True, apriori, _BEST),
-    "APosteriori": ("even", True, aposteriori, _BEST),
-    "KNORAE": ("even", True, lambda r, n: _per(n, lambda j: _leading_run(r, j)), _longest_run),
-    "KNORAU": ("even", True, lambda r, n: _per(n, lambda j: _sum(r, lambda x: _num(_right(x, j)))), _by_hits),
+    "OLA": ("even", True, ola, select_best),
+    "LCA": ("even", True, lca, select_best),
+    "MLA": ("even", True, mla, select_best),
+    "APriori": ("even", True, apriori, select_best),
+    "APosteriori": ("even", True, aposteriori, select_best),
+    "KNORAE": ("even", True, leading_run, longest_run),
+    "KNORAU": ("even", True, hits, by_hits),
     "DESP": ("even", True, ola, _above(0.5)),
-    "KNOP": ("profile", True, lambda r, n: _per(n, lambda j: _sum(r, lambda x: _num(_right(x, j)))), _by_hits),
+    "DESKNN": ("even", True, accuracy_and_errors, accurate_then_diverse),
+    "KNOP": ("profile", True, hits, by_hits),
     "RRC": ("plain", True, rrc, _above(0.5)),
     "DESKL": ("plain", False, deskl, _above(0.0)),
     "Exponential": ("plain", True, exponential, _above(0.0)),
     "Logarithmic": ("plain", True, logarithmic, _above(0.0)),
 }
-REGION_SELECTORS = [*SELECTORS, "DESKNN"]
+REGION_SELECTORS = list(SELECTORS)
 
 
 def dynamic_vote(weights: Column) -> Column:
     """Weighted mean of the selected classifiers' scores."""
-    pairs = F.zip_with(weights, F.col("p"), lambda w, p: w * p)
+    pairs = _zip(weights, F.col("p"), lambda w, p: w * p)
     return F.aggregate(pairs, F.lit(0.0), lambda a, x: a + x) / F.aggregate(weights, F.lit(0.0), lambda a, x: a + x)
 
 
@@ -308,55 +325,64 @@ def with_profile_region(q: DataFrame, dsel: DataFrame, size: int, k: int = REGIO
                         classes: tuple = (0, 1), **limits) -> DataFrame:
     """Add ``profile``: the region in decision space, where a row's coordinates are the pool's scores."""
     axes = [f"_p{j}" for j in range(size)]
-    spread = lambda d: d.select("*", *[F.col("p")[j].alias(a) for j, a in enumerate(axes)])
-    found = with_regions(spread(q), spread(dsel), axes, k, label, classes, plain=False, **limits)
-    return found.withColumnRenamed("even", "profile").drop(*axes)
-
+    spread = lambda d, *more: d.select("row_id", label, "p", *more, *[F.col("p")[j].alias(a) for j, a in enumerate(axes)])
+    # The search needs a column "even"; the caller's own regions step aside.
+    other = [c for c in q.columns if c not in ("row_id", label, "p")]
+    held = spread(q, F.struct(*other).alias("_held"))
+    found = with_regions(held, spread(dsel), axes, k, label, classes, plain=False, **limits)
+    return found.select("row_id", label, "p", *[F.col(f"_held.{c}") for c in other], F.col("even").alias("profile"))
 
-def selection_weights(name: str, size: int) -> Column:
-    """Vote weights of a selector for the current row."""
-    if name == "DESKNN":
-        region = F.col("even")
-        return desknn_weights(region, size, frienemy_keep(region, size))
-    if name not in SELECTORS:
-        raise ValueError(f"Unknown DES model name: {name}")
-    kind, prune, competence, select = SELECTORS[name]
-    region = F.col(kind)
-    keep = frienemy_keep(region, size) if prune else _per(size, lambda j: F.lit(True))
-    return select(competence(region, size), size, keep)
 
+def with_weights(q: DataFrame, names: list[str]) -> DataFrame:
+    """Add ``weights_<name>``, the vote weights of each selector.
 
-def select_scores(q: DataFrame, names: list[str], size: int) -> DataFrame:
-    """Long table (row_id, Class..., model, p1, pred): every selector's answer for every query.
-
-    Rows on which the pool agrees are answered with the pool mean.
+    Regions, pruning flags and competences are columns of their own, one projection after the
+    other, so that each is computed once per row.
     """
-    answers = [F.struct(F.lit(n).alias("model"),
-                        F.when(agreed(), mean_score()).otherwise(dynamic_vote(selection_weights(n, size))).alias("p1"))
-               for n in names]
+    unknown = [n for n in names if n not in SELECTORS]
+    if unknown:
+        raise ValueError(f"Unknown DES model name: {', '.join(unknown)}")
+    kinds = sorted({SELECTORS[n][0] for n in names})
+    q = q.withColumns({f"_r_{k}": described(k) for k in kinds})
+    q = q.withColumns({f"_k_{k}": frienemy_keep(F.col(f"_r_{k}")) for k in kinds})
+    q = q.withColumns({f"_c_{n}": SELECTORS[n][2](F.col(f"_r_{SELECTORS[n][0]}")) for n in names})
+    weights = {}
+    for n in names:
+        kind, prune, _, select = SELECTORS[n]
+        keep = F.col(f"_k_{kind}") if prune else F.transform("p", lambda x: F.lit(True))
+        weights[f"weights_{n}"] = select(F.col(f"_c_{n}"), keep)
+    q = q.withColumns(weights)
+    return q.drop(*[f"_r_{k}" for k in kinds], *[f"_k_{k}" for k in kinds], *[f"_c_{n}" for n in names])
+
+
+def select_scores(q: DataFrame, names: list[str]) -> DataFrame:
+    """Long table (id columns, model, p1, pred): every selector's answer for every row with regions."""
+    weighted = with_weights(q, names)
+    answers = [F.struct(F.lit(n).alias("model"), dynamic_vote(F.col(f"weights_{n}")).alias("p1")) for n in names]
     kept = [c for c in q.columns if c not in ("p", "even", "plain", "profile")]
-    out = q.select(*kept, F.explode(F.array(*answers)).alias("_a")).select(*kept, "_a.model", "_a.p1")
+    out = weighted.select(*kept, F.explode(F.array(*answers)).alias("_a")).select(*kept, "_a.model", "_a.p1")
     return decide(out)
 
 
-def hardness_gate(q: DataFrame, weights: Column, rate: float, region: str = "even") -> DataFrame:
+def hardness_gate(q: DataFrame, name: str, rate: float, region: str = "even") -> DataFrame:
     """Optional gate: an easy region (rarer class below ``rate``) is answered by its neighbours' majority."""
     ones = _safe(F.size(F.filter(region, lambda n: n["y"] == 1)).cast("double"), F.size(region))
     easy = minority_share(F.col(region)) < F.lit(rate)
-    return decide(q.withColumn("p1", F.when(easy, ones).otherwise(dynamic_vote(weights))))
+    voted = dynamic_vote(F.col(f"weights_{name}"))
+    return decide(with_weights(q, [name]).withColumn("p1", F.when(easy, ones).otherwise(voted)))
 
 
 def dynamic_select(q: DataFrame, dsel: DataFrame, names: list[str], size: int, features: list[str],
                    k: int = REGION_SIZE, label: str = "Class", **limits) -> DataFrame:
     """Answers of several selectors. Regions are searched only for rows on which the pool disagrees."""
-    kinds = {"even" if n == "DESKNN" else SELECTORS[n][0] for n in names}
+    kinds = {SELECTORS[n][0] for n in names if n in SELECTORS}
     easy, hard = split_agreement(q)
     if kinds & {"even", "plain"}:
         hard = with_regions(hard, dsel, features, k, label, even="even" in kinds, plain="plain" in kinds, **limits)
     if "profile" in kinds:
         hard = with_profile_region(hard, dsel, size, k, label, **limits)
     base = ["row_id", label]
-    hard = select_scores(hard.select(*base, "p", *sorted(kinds)), names, size)
+    hard = select_scores(hard.select(*base, "p", *sorted(kinds)), names)
     models = F.explode(F.lit(list(names)))
     easy = easy.select(*base, models.alias("model"), "p1", "pred")
     return easy.unionByName(hard.select(*base, "model", "p1", "pred"))
@@ -373,9 +399,8 @@ def cluster_selection(dsel: DataFrame, size: int, cluster: str = "cluster", labe
     agg = flags.withColumn("_wrong", wrong).groupBy(cluster).agg(
         *[F.avg(F.lit(1.0) - F.col(f"_w{j}")).alias(f"_a{j}") for j in range(size)],
         *[F.sum(F.col(f"_w{j}") * (F.col("_wrong") - 1)).cast("double").alias(f"_e{j}") for j in range(size)])
-    keep = _per(size, lambda j: F.lit(True))
-    weights = _accurate_then_diverse(_per(size, lambda j: F.col(f"_a{j}")), _per(size, lambda j: F.col(f"_e{j}")),
-                                     size, keep, accurate, diverse)
+    comp = _per(size, lambda j: F.struct(F.col(f"_a{j}").alias("a"), F.col(f"_e{j}").alias("e")))
+    weights = accurate_then_diverse(comp, _per(size, lambda j: F.lit(True)), accurate, diverse)
     return agg.select(cluster, weights.alias("weights"))
 
 
@@ -394,18 +419,14 @@ def desclustering(q: DataFrame, dsel: DataFrame, centroids: DataFrame, features:
 
 # --- meta-learning ---------------------------------------------------------------------------------
 
-def _meta_features(size: int) -> Column:
+def _meta_features() -> Column:
     """Per classifier: hits and supports on the region, local accuracy, hits in decision space, confidence."""
-    def one(j):
-        region, profile = F.col("even"), F.col("profile")
-        return F.struct(F.lit(j).alias("j"), F.concat(
-            F.transform(region, lambda n: _num(_right(n, j))),
-            F.transform(region, lambda n: _support(n, j)),
-            F.array(_safe(_sum(region, lambda n: _num(_right(n, j))), F.size(region))),
-            F.transform(profile, lambda n: _num(_right(n, j))),
-            F.array(F.greatest(F.col("p")[j], F.lit(1.0) - F.col("p")[j]))).alias("x"))
-
-    return F.array(*[one(j) for j in range(size)])
+    region, profile = F.col("_r"), F.col("_o")
+    local = ola(region)
+    return F.transform("p", lambda p, j: F.struct(j.alias("j"), F.concat(
+        F.transform(region, lambda n: F.get(n["c"], j)), F.transform(region, lambda n: F.get(n["s"], j)),
+        F.array(F.get(local, j)), F.transform(profile, lambda n: F.get(n["c"], j)),
+        F.array(F.greatest(p, F.lit(1.0) - p))).alias("x")))
 
 
 def metades(q: DataFrame, dsel: DataFrame, size: int, features: list[str], k: int = REGION_SIZE,
@@ -418,19 +439,20 @@ def metades(q: DataFrame, dsel: DataFrame, size: int, features: list[str], k: in
     from pyspark.ml.classification import NaiveBayes
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    def described(rows, own):
+    def with_meta(rows, own):
         r = with_regions(rows, dsel, features, k, label, plain=False, exclude_self=own, **limits)
         r = with_profile_region(r, dsel, size, profile_k, label, exclude_self=own, **limits)
         # A region can be short of rows of a class; such rows have no fixed-length description.
         full = (F.size("even") == k) & (F.size("profile") == profile_k)
-        return r.withColumn("_m", F.when(full, _meta_features(size)))
+        r = r.withColumns({"_r": described("even"), "_o": described("profile")})
+        return r.withColumn("_m", F.when(full, _meta_features())).drop("_r", "_o")
 
-    train = described(dsel.where(~agreed()), True).where(F.col("_m").isNotNull())
+    train = with_meta(dsel.where(~agreed()), True).where(F.col("_m").isNotNull())
     train = train.select(label, "p", F.explode("_m").alias("_e")).select(
         array_to_vector("_e.x").alias("_x"),
         _num((F.get("p", F.col("_e.j")) > 0.5) == (F.col(label) == 1)).alias("_y"))
     easy, hard = split_agreement(q)
-    rows = described(hard, False).select("row_id", label, "p", F.explode_outer("_m").alias("_e"))
+    rows = with_meta(hard, False).select("row_id", label, "p", F.explode_outer("_m").alias("_e"))
     model = NaiveBayes(modelType="gaussian", featuresCol="_x", labelCol="_y", probabilityCol="_prob",
                        rawPredictionCol="_raw", predictionCol="_pr").fit(train)
     scored = model.transform(rows.where(F.col("_e").isNotNull()).withColumn("_x", array_to_vector("_e.x")))

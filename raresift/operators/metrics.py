@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from raresift.functions.ranks import ordered_cumsum
+from raresift.sources.storage import materialize
 
 METRICS = ["accuracy", "precision", "recall", "f1", "roc_auc", "average_precision", "kappa",
            "balanced_accuracy", "tp", "tn", "fp", "fn", "tnr", "fpr", "tpr"]
@@ -56,11 +57,25 @@ def kappa(conf: DataFrame) -> DataFrame:
     return conf.withColumn("kappa", F.when(chance < 1, (observed - chance) / (F.lit(1.0) - chance)))
 
 
-def _curve(df: DataFrame, groups: list[str]) -> DataFrame:
+def score_table(df: DataFrame, groups: list[str]) -> DataFrame:
+    """Positives and negatives per group, decision and distinct score, written out.
+
+    The ranking metrics read their input more than once; what they read is this small table, so
+    that scoring itself runs once.
+    """
+    counts = df.groupBy(*groups, "pred", "p1").agg(F.count_if(F.col("y") == 1).alias("pos"),
+                                                   F.count_if(F.col("y") == 0).alias("neg"))
+    return materialize(counts, "scores")
+
+
+def _curve(scores: DataFrame, groups: list[str]) -> DataFrame:
     """Per group and distinct score: positives and negatives at it, strictly below it, and in total."""
-    scores = df.groupBy(*groups, "p1").agg(F.count_if(F.col("y") == 1).alias("pos"),
-                                           F.count_if(F.col("y") == 0).alias("neg"))
-    return ordered_cumsum(scores, groups, "p1", ["pos", "neg"])
+    merged = scores.groupBy(*groups, "p1").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    return ordered_cumsum(merged, groups, "p1", ["pos", "neg"])
+
+
+def _plain_scores(df: DataFrame, groups: list[str]) -> DataFrame:
+    return score_table(df.withColumn("pred", F.lit(0)), groups)
 
 
 def _auc() -> Column:
@@ -78,18 +93,23 @@ def _ap() -> Column:
 
 def roc_auc(df: DataFrame, groups: list[str]) -> DataFrame:
     """Mann-Whitney area with half credit for ties; NULL for a single class."""
-    return _curve(df, groups).groupBy(*groups).agg(_auc().alias("roc_auc"))
+    return _curve(_plain_scores(df, groups), groups).groupBy(*groups).agg(_auc().alias("roc_auc"))
 
 
 def average_precision(df: DataFrame, groups: list[str]) -> DataFrame:
     """Sum of recall steps times precision, without interpolation."""
-    return _curve(df, groups).groupBy(*groups).agg(_ap().alias("average_precision"))
+    return _curve(_plain_scores(df, groups), groups).groupBy(*groups).agg(_ap().alias("average_precision"))
 
 
 def metrics(df: DataFrame, groups: list[str], fpr_compat: bool = False) -> DataFrame:
     """All metrics per group."""
-    ranked = _curve(df, groups).groupBy(*groups).agg(_auc().alias("roc_auc"), _ap().alias("average_precision"))
-    conf = kappa(balanced_accuracy(basic_scores(rates(confusion(df, groups), fpr_compat))))
+    scores = score_table(df, groups)
+    ranked = _curve(scores, groups).groupBy(*groups).agg(_auc().alias("roc_auc"), _ap().alias("average_precision"))
+    called = F.col("pred") == 1
+    counts = scores.groupBy(*groups).agg(
+        F.sum(F.when(called, F.col("pos")).otherwise(0)).alias("tp"), F.sum(F.when(called, 0).otherwise(F.col("neg"))).alias("tn"),
+        F.sum(F.when(called, F.col("neg")).otherwise(0)).alias("fp"), F.sum(F.when(called, 0).otherwise(F.col("pos"))).alias("fn"))
+    conf = kappa(balanced_accuracy(basic_scores(rates(counts, fpr_compat))))
     return conf.join(ranked, groups).select(*groups, *METRICS)
 
 

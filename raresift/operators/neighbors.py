@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from raresift.sources.storage import materialize
 
-BROADCAST_ROWS = 8192
+BROADCAST_ROWS = 16384
 BLOCK_ROWS = 2048
 QUERY_ROWS = 16384
 MAX_CELLS = 4096
@@ -368,7 +368,8 @@ def _answer_blocks(q: DataFrame, d: DataFrame, k: int, features: list[str], row_
 def with_neighbours(q: DataFrame, d: DataFrame, k: int, features: list[str], row_id: str = "row_id",
                     payload: list[str] | None = None, exclude_self: bool = False, p: int = 2,
                     name: str = "neighbours", broadcast_rows: int = BROADCAST_ROWS,
-                    block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
+                    block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS,
+                    small: pa.Table | None = None) -> DataFrame:
     """Add the k nearest rows of ``d`` to every row of ``q``.
 
     ``name`` becomes an array of struct(dist, id, payload...) ordered by (dist, id); ``dist`` is the
@@ -380,7 +381,8 @@ def with_neighbours(q: DataFrame, d: DataFrame, k: int, features: list[str], row
     q = q.select("*", *[]).withColumns({c: F.col(c).cast("double") for c in features})
     d = d.select(row_id, *[F.col(c).cast("double").alias(c) for c in features], *[c for c in payload if c not in features])
     element = _neighbour_type(d, row_id, payload)
-    small = d.limit(broadcast_rows + 1).toArrow()
+    if small is None:
+        small = d.limit(broadcast_rows + 1).toArrow()
     if small.num_rows <= broadcast_rows:
         return _answer_small(q, small, k, features, row_id, payload, exclude_self, p, element, name)
     few = q.select(row_id, *features).limit(broadcast_rows + 1).toArrow()
@@ -404,9 +406,13 @@ def with_class_neighbours(q: DataFrame, d: DataFrame, k: int, features: list[str
                           exclude_self: bool = False, p: int = 2, classes: tuple = (0, 1), **limits) -> DataFrame:
     """Add the k nearest rows of each class as columns ``near_<class>``."""
     payload = [label, *(payload or [])]
+    limit = limits.get("broadcast_rows", BROADCAST_ROWS)
+    d = d.select(row_id, *[F.col(c).cast("double").alias(c) for c in features], *payload)
+    whole = d.limit(limit + 1).toArrow()
     for c in classes:
+        small = whole.filter(pc.equal(whole.column(label), c)) if whole.num_rows <= limit else None
         q = with_neighbours(q, d.where(F.col(label) == c), k, features, row_id, payload, exclude_self, p,
-                            f"near_{c}", **limits)
+                            f"near_{c}", small=small, **limits)
     return q
 
 
