@@ -67,9 +67,13 @@ def ordered_cumsum(df: DataFrame, groups: list[str], order: str, sums: list[str]
     cuts = (df.select(*groups, order).withColumn("_rn", F.row_number().over(by_hash))
             .where(F.col("_rn") < pieces)
             .groupBy(*groups).agg(F.sort_array(F.collect_list(order)).alias("_cuts")))
-    ranged = (df.join(cuts, groups)
+    # A group may hold most values: its rows meet copies of its cuts under several salts.
+    salts = 16
+    cuts = cuts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(order), F.lit(salts)).cast("int"))
+    ranged = (salted.join(cuts, [*groups, "_salt"])
               .withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col(order))))
-              .drop("_cuts"))
+              .drop("_cuts", "_salt"))
     by_group = Window.partitionBy(*groups)
     before = by_group.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (ranged.groupBy(*groups, "_b").agg(*[F.sum(s).alias(f"_s_{s}") for s in sums])
@@ -95,6 +99,7 @@ def replicate(df: DataFrame, times: Column, index: str = "copy", chunk: int = 40
         F.lit(0).cast("long"), F.floor((F.col("_times") - 1) / F.lit(chunk)))))
     first = F.col("_chunk") * F.lit(chunk)
     last = F.least(first + F.lit(chunk), F.col("_times")) - F.lit(1)
-    return (chunks.repartition("_chunk", *[c for c in df.columns[:1]])
+    keys = [c for c, t in df.dtypes if not t.startswith(("map", "array", "struct"))]
+    return (chunks.repartition("_chunk", *keys)
             .withColumn(index, F.explode(F.sequence(first, last)))
             .drop("_times", "_chunk"))

@@ -183,7 +183,7 @@ def beta_table(points: int = 1001) -> tuple[float, ...]:
 
 
 def _beta_probability(p: Column) -> Column:
-    table = F.lit([float(v) for v in beta_table()])
+    table = F.expr("array(" + ",".join(f"{v!r}D" for v in beta_table()) + ")")
     at = p * F.lit(1000.0)
     low = F.least(F.floor(at), F.lit(999)).cast("int")
     a, b = F.element_at(table, low + 1), F.element_at(table, low + 2)

@@ -340,7 +340,9 @@ class FourierLift:
         table = [[rng.gauss(0.0, math.sqrt(2.0 * self.gamma)) for _ in range(self.width)] for _ in range(FOURIER_WIDTH)]
         shifts = [rng.uniform(0.0, 2.0 * math.pi) for _ in range(FOURIER_WIDTH)]
         dot = lambda w: F.aggregate(F.zip_with(w, F.col("_x"), lambda a, v: a * v), F.lit(0.0), lambda a, v: a + v)
-        rows = F.zip_with(F.lit(table), F.lit(shifts), lambda w, b: F.lit(math.sqrt(2.0 / FOURIER_WIDTH)) * F.cos(dot(w) + b))
+        text = lambda v: "array(" + ",".join(f"{x!r}D" for x in v) + ")"
+        weights = F.expr("array(" + ",".join(text(w) for w in table) + ")")
+        rows = F.zip_with(weights, F.expr(text(shifts)), lambda w, b: F.lit(math.sqrt(2.0 / FOURIER_WIDTH)) * F.cos(dot(w) + b))
         return df.withColumn("_x", vector_to_array("features")).withColumn("_lift", array_to_vector(rows)).drop("_x")
 
 

@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,8 +30,8 @@ from raresift.sources.storage import materialize
 BROADCAST_ROWS = 16384
 BLOCK_ROWS = 2048
 QUERY_ROWS = 16384
-MAX_CELLS = 4096
-SAMPLE_ROWS = 65536
+MAX_CELLS = 65536
+SAMPLE_ROWS = 262144
 _CHUNK_CELLS = 1 << 18
 
 
@@ -197,12 +198,17 @@ def _collected(q: DataFrame, found: DataFrame, k: int, row_id: str, element: T.S
 
 
 class _Cells:
-    """Median splits of a sample: node i has children 2i+1 and 2i+2, leaves are the cells."""
+    """Median splits of a sample: node i has children 2i+1 and 2i+2, leaves are the cells.
+
+    Once the cells' bounds are known, every node carries the bounding box and size of its rows, and
+    a query descends only into nodes that can matter.
+    """
 
     def __init__(self, sample: np.ndarray, depth: int):
         self.depth = depth
-        self.axis = np.zeros((1 << depth) - 1, dtype=np.int64)
-        self.cut = np.full((1 << depth) - 1, np.inf)
+        self.leaves = 1 << depth
+        self.axis = np.zeros(self.leaves - 1, dtype=np.int64)
+        self.cut = np.full(self.leaves - 1, np.inf)
         self._split(sample, 0, 0)
 
     def _split(self, s: np.ndarray, node: int, level: int) -> None:
@@ -221,40 +227,79 @@ class _Cells:
         columns = np.arange(x.shape[1])
         for _ in range(self.depth):
             node = 2 * node + 1 + (x[self.axis[node], columns] > self.cut[node])
-        return node - ((1 << self.depth) - 1)
-
+        return node - (self.leaves - 1)
+
+    def measure(self, lo: np.ndarray, hi: np.ndarray, sizes: np.ndarray, block_rows: int) -> None:
+        """Boxes and sizes of the cells, carried up to the root."""
+        total = 2 * self.leaves - 1
+        self.lo, self.hi = np.full((len(lo), total), np.inf), np.full((len(lo), total), -np.inf)
+        self.size = np.zeros(total, dtype=np.int64)
+        self.lo[:, self.leaves - 1:], self.hi[:, self.leaves - 1:], self.size[self.leaves - 1:] = lo, hi, sizes
+        for node in range(self.leaves - 2, -1, -1):
+            left, right = 2 * node + 1, 2 * node + 2
+            self.lo[:, node] = np.minimum(self.lo[:, left], self.lo[:, right])
+            self.hi[:, node] = np.maximum(self.hi[:, left], self.hi[:, right])
+            self.size[node] = self.size[left] + self.size[right]
+        self.blocks = np.maximum(1, -(-sizes // block_rows))
+
+    def _near(self, x, r, node, p):
+        acc = np.zeros(len(r))
+        for i in range(x.shape[0]):
+            v = x[i][r]
+            gap = np.maximum(np.maximum(self.lo[i][node] - v, v - self.hi[i][node]), 0.0)
+            acc += gap * gap if p == 2 else gap
+        return acc
+
+    def bound(self, x: np.ndarray, r: int, need: int, p: int) -> float:
+        """Distance within which at least ``need`` rows lie: the far corner of a node on the query's path."""
+        best, node = np.inf, 0
+        while True:
+            if self.size[node] >= need:
+                far = np.maximum(np.abs(x[:, r] - self.lo[:, node]), np.abs(x[:, r] - self.hi[:, node]))
+                total = 0.0
+                for f in far:
+                    total += f * f if p == 2 else f
+                best = min(best, total)
+            if node >= self.leaves - 1:
+                return best
+            node = 2 * node + 1 + int(x[self.axis[node], r] > self.cut[node])
+
+    def reach(self, x: np.ndarray, bound: np.ndarray, p: int) -> tuple[np.ndarray, np.ndarray]:
+        """(query index, cell) of all cells whose box is not farther than the query's bound."""
+        r, node = np.arange(x.shape[1]), np.zeros(x.shape[1], dtype=np.int64)
+        for level in range(self.depth + 1):
+            ok = (self.size[node] > 0) & (self._near(x, r, node, p) <= bound[r])
+            r, node = r[ok], node[ok]
+            if level < self.depth:
+                r, node = np.repeat(r, 2), np.stack([2 * node + 1, 2 * node + 2], axis=1).ravel()
+        return r, node - (self.leaves - 1)
+
+
+def _draw(ids: pa.Array, salt: int) -> np.ndarray:
+    """Repeatable pseudo-random number per id."""
+    import pandas as pd
 
-def _box_bounds(x: np.ndarray, lo: np.ndarray, hi: np.ndarray, p: int) -> tuple[np.ndarray, np.ndarray]:
-    """Least and greatest possible distance from each row to each box."""
-    near = far = None
-    for i in range(x.shape[0]):
-        v = x[i][:, None]
-        a = np.maximum(np.maximum(lo[i][None, :] - v, v - hi[i][None, :]), 0.0)
-        b = np.maximum(np.abs(v - lo[i][None, :]), np.abs(v - hi[i][None, :]))
-        if p == 2:
-            a, b = a * a, b * b
-        near = a if near is None else near + a
-        far = b if far is None else far + b
-    return near, far
+    mixed = pd.util.hash_array(ids.to_pandas().to_numpy(), categorize=False) + np.uint64(salt) * np.uint64(0x9E3779B97F4A7C15)
+    mixed ^= mixed >> np.uint64(33)
+    mixed *= np.uint64(0xFF51AFD7ED558CCD)
+    return (mixed ^ (mixed >> np.uint64(33))) >> np.uint64(1)
 
 
-def _with_cell(df: DataFrame, cells: _Cells, features: list[str]) -> DataFrame:
-    out = T.StructType(df.schema.fields + [T.StructField("_cell", T.IntegerType())])
+_PLACE = [T.StructField("_cell", T.IntegerType()), T.StructField("_block", T.IntegerType()), T.StructField("_part", T.IntegerType())]
 
-    def run(batches):
-        for b in batches:
-            cell = pa.array(cells.locate(_matrix(b, features)).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([*b.columns, cell], names=[*b.schema.names, "_cell"])
 
-    return df.mapInArrow(run, out)
+def _placed(rows: pa.RecordBatch, *place: np.ndarray) -> pa.RecordBatch:
+    cells = [pa.array(np.asarray(v).astype(np.int32)) for v in place]
+    return pa.RecordBatch.from_arrays([*rows.columns, *cells], names=[*rows.schema.names, "_cell", "_block", "_part"])
 
 
-def _lookup(values: np.ndarray, cell: Column) -> Column:
-    return F.element_at(F.lit([int(v) for v in values]), cell + F.lit(1))
+def _within(counts: np.ndarray) -> np.ndarray:
+    """0, 1, ... within each run of repeated rows."""
+    return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
-def _part(row_id: str, parts: Column, salt: int) -> Column:
-    return F.pmod(F.xxhash64(F.col(row_id), F.lit(salt)), parts.cast("long")).cast("int")
+def _counted(df: DataFrame) -> dict[int, int]:
+    return {r["_cell"]: r["n"] for r in df.groupBy("_cell").agg(F.count("*").alias("n")).collect()}
 
 
 def _compare(q: DataFrame, d: DataFrame, k: int, features: list[str], row_id: str, payload: list[str],
@@ -297,71 +342,83 @@ def _answer_blocks(q: DataFrame, d: DataFrame, k: int, features: list[str], row_
               .limit(2 * SAMPLE_ROWS).toArrow())
     depth = int(np.clip(np.ceil(np.log2(max(total / block_rows, 1))), 0, np.log2(MAX_CELLS)))
     cells = _Cells(_matrix(sample, features), depth)
-    n_cells = 1 << depth
 
     # Cell statistics: at most MAX_CELLS rows, whatever the table size.
-    d = _with_cell(d, cells, features)
-    lo, hi = np.full((len(features), n_cells), np.inf), np.full((len(features), n_cells), -np.inf)
-    sizes = np.zeros(n_cells, dtype=np.int64)
-    stats = d.groupBy("_cell").agg(F.count("*").alias("n"), *[F.min(c).alias(f"l{i}") for i, c in enumerate(features)],
-                                   *[F.max(c).alias(f"h{i}") for i, c in enumerate(features)]).collect()
-    for s in stats:
+    def locate(batches):
+        for b in batches:
+            yield _placed(b, cells.locate(_matrix(b, features)), np.zeros(b.num_rows), np.zeros(b.num_rows))
+
+    located = d.select(row_id, *features).mapInArrow(locate, T.StructType(d.select(row_id, *features).schema.fields + _PLACE))
+    lo, hi = np.full((len(features), cells.leaves), np.inf), np.full((len(features), cells.leaves), -np.inf)
+    sizes = np.zeros(cells.leaves, dtype=np.int64)
+    for s in located.groupBy("_cell").agg(F.count("*").alias("n"), *[F.min(c).alias(f"l{i}") for i, c in enumerate(features)],
+                                          *[F.max(c).alias(f"h{i}") for i, c in enumerate(features)]).collect():
         sizes[s["_cell"]] = s["n"]
         for i in range(len(features)):
             lo[i, s["_cell"]], hi[i, s["_cell"]] = s[f"l{i}"], s[f"h{i}"]
-    used = np.nonzero(sizes)[0]
-    lo, hi, used_sizes = lo[:, used], hi[:, used], sizes[used]
-    blocks = np.maximum(1, -(-sizes // block_rows))
-    d = d.withColumn("_block", _part(row_id, _lookup(blocks, F.col("_cell")), 1))
+    cells.measure(lo, hi, sizes, block_rows)
+    # Packed with its class, since executors have no copy of this package.
+    shared = q.sparkSession.sparkContext.broadcast(cloudpickle.dumps(cells))
 
     def parts_of(counts: dict[int, int], per: np.ndarray) -> np.ndarray:
-        out = np.ones(n_cells, dtype=np.int64)
+        out = np.ones(cells.leaves, dtype=np.int64)
         for cell, n in counts.items():
             out[cell] = max(1, -(-n // int(per[cell] * query_rows)))
         return out
 
-    def spread(parts: np.ndarray) -> DataFrame:
-        return d.withColumn("_part", F.explode(F.sequence(F.lit(0), _lookup(parts, F.col("_cell")).cast("int") - 1)))
+    def data_blocks(parts: np.ndarray) -> DataFrame:
+        """Data rows by cell and block, once for every query group of the cell."""
+        def run(batches):
+            tree = cloudpickle.loads(shared.value)
+            for b in batches:
+                cell = tree.locate(_matrix(b, features))
+                block = _draw(b.column(row_id), 1) % tree.blocks[cell].astype(np.uint64)
+                times = parts[cell]
+                at = np.repeat(np.arange(b.num_rows), times)
+                yield _placed(b.take(pa.array(at)), cell[at], block[at], _within(times))
+
+        return d.mapInArrow(run, T.StructType(d.schema.fields + _PLACE))
 
     # Round 1: one block of the own cell gives an upper bound of the k-th distance.
-    home = _with_cell(queries, cells, features)
-    counts = {r["_cell"]: r["n"] for r in home.groupBy("_cell").agg(F.count("*").alias("n")).collect()}
-    parts = parts_of(counts, blocks)
-    home = (home.withColumn("_block", _part(row_id, _lookup(blocks, F.col("_cell")), 2))
-            .withColumn("_part", _part(row_id, _lookup(parts, F.col("_cell")), 3)))
-    near = _compare(home, spread(parts), k, features, row_id, [], exclude_self, p,
+    def homes(parts: np.ndarray) -> DataFrame:
+        def run(batches):
+            tree = cloudpickle.loads(shared.value)
+            for b in batches:
+                cell, ids = tree.locate(_matrix(b, features)), b.column(row_id)
+                yield _placed(b, cell, _draw(ids, 2) % tree.blocks[cell].astype(np.uint64), _draw(ids, 3) % parts[cell].astype(np.uint64))
+
+        return queries.mapInArrow(run, T.StructType(queries.schema.fields + _PLACE))
+
+    parts = parts_of(_counted(homes(np.ones(cells.leaves, dtype=np.int64))), cells.blocks)
+    near = _compare(homes(parts), data_blocks(parts), k, features, row_id, [], exclude_self, p,
                     T.StructType(element.fields[:2]), False)
     first = near.groupBy("_q").agg(F.count("*").alias("_n"), F.max("dist").alias("_first"))
     bounded = queries.join(first.withColumnRenamed("_q", row_id), row_id, "left")
-    bounded = materialize(bounded.select(row_id, *features, F.when(F.col("_n") >= k, F.col("_first")).alias("_first")), "knn-bound")
+    bounded = materialize(bounded.select(row_id, *features, F.when(F.col("_n") >= k, F.col("_first")).alias("_bound")), "knn-bound")
 
     # Round 2: every cell that can hold a neighbour within the bound.
-    schema = T.StructType(bounded.schema.fields[:-1] + [
-        T.StructField("_bound", T.DoubleType()), T.StructField("_cell", T.IntegerType())])
-
-    def route(batches):
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                b = whole.slice(at, 1024)
-                near_box, far_box = _box_bounds(_matrix(b, features), lo, hi, p)
-                bound = b.column("_first").to_numpy(zero_copy_only=False).astype(float)
-                for i in np.nonzero(np.isnan(bound))[0]:
-                    order = np.argsort(far_box[i], kind="stable")
-                    enough = np.nonzero(np.cumsum(used_sizes[order]) >= k + spare)[0]
-                    bound[i] = far_box[i][order[enough[0]]] if len(enough) else np.inf
-                r, c = np.nonzero(near_box <= bound[:, None])
-                rows = b.take(pa.array(r))
-                yield pa.RecordBatch.from_arrays(
-                    [*rows.columns[:-1], pa.array(bound[r]), pa.array(used[c].astype(np.int32))],
-                    names=schema.fieldNames())
-
-    routed = bounded.mapInArrow(route, schema)
-    counts = {r["_cell"]: r["n"] for r in routed.groupBy("_cell").agg(F.count("*").alias("n")).collect()}
-    parts = parts_of(counts, np.ones(n_cells))
-    routed = (routed.withColumn("_part", _part(row_id, _lookup(parts, F.col("_cell")), 4))
-              .withColumn("_block", F.explode(F.sequence(F.lit(0), _lookup(blocks, F.col("_cell")).cast("int") - 1))))
-    found = _compare(routed, spread(parts), k, features, row_id, payload, exclude_self, p, element, True)
-
+    def routed(parts: np.ndarray, blocks: bool) -> DataFrame:
+        def run(batches):
+            tree = cloudpickle.loads(shared.value)
+            for whole in batches:
+                for start in range(0, whole.num_rows, 4096):
+                    b = whole.slice(start, 4096)
+                    x = _matrix(b, features)
+                    bound = b.column("_bound").to_numpy(zero_copy_only=False).astype(float)
+                    for i in np.nonzero(np.isnan(bound))[0]:
+                        bound[i] = tree.bound(x, i, k + spare, p)
+                    r, cell = tree.reach(x, bound, p)
+                    part = (_draw(b.column(row_id), 4)[r] % parts[cell].astype(np.uint64)).astype(np.int64)
+                    times = tree.blocks[cell] if blocks else np.ones(len(cell), dtype=np.int64)
+                    at = np.repeat(np.arange(len(r)), times)
+                    rows = b.set_column(b.schema.get_field_index("_bound"), "_bound", pa.array(bound)).take(pa.array(r[at]))
+                    yield _placed(rows, cell[at], _within(times), part[at])
+
+        return bounded.mapInArrow(run, T.StructType(bounded.schema.fields + _PLACE))
+
+    ones = np.ones(cells.leaves, dtype=np.int64)
+    parts = parts_of(_counted(routed(ones, False)), ones)
+    found = _compare(routed(parts, True), data_blocks(parts), k, features, row_id, payload, exclude_self, p, element, True)
     return _collected(q, found, k, row_id, element, name)
 
 
@@ -463,21 +520,3 @@ def lloyd(df: DataFrame, seeds: DataFrame, features: list[str], iterations: int
         moved = centroids.join(means.withColumnRenamed("cluster", row_id), row_id, "left")
         centroids = materialize(moved.select(row_id, *[F.coalesce(f"_m_{c}", c).alias(c) for c in features]), "centroids")
     return centroids
-
-
-def approx_knn_join(q: DataFrame, d: DataFrame, k: int, features: list[str], bucket_length: float,
-                    tables: int = 4, radius: float = 1.0, row_id: str = "row_id", seed: int = 42) -> DataFrame:
-    """Approximate join by random-projection hashing: neighbours within ``radius`` that share a bucket.
-
-    Opt-in; distances of the pairs found are exact, but neighbours can be missed.
-    """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH, VectorAssembler
-
-    asm = VectorAssembler(inputCols=features, outputCol="_x")
-    left, right = asm.transform(q).select(row_id, "_x"), asm.transform(d).select(row_id, "_x")
-    lsh = BucketedRandomProjectionLSH(inputCol="_x", outputCol="_h", bucketLength=bucket_length,
-                                      numHashTables=tables, seed=seed).fit(right)
-    pairs = lsh.approxSimilarityJoin(left, right, radius, "dist").select(
-        F.col(f"datasetA.{row_id}").alias("q"), F.col(f"datasetB.{row_id}").alias("d_id"), "dist")
-    best = Window.partitionBy("q").orderBy("dist", "d_id")
-    return pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("q", "rank", "d_id", "dist")

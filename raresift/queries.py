@@ -345,7 +345,6 @@ def _assigned(s, d):
 
 add("n5_assign_cluster", _assigned, O.sql(_DSEL_SQL + ", cen AS (SELECT * FROM ds ORDER BY md5('7c|' || row_id), row_id LIMIT 5), "
     + O.knn("qs", "cen", 1, V.TXN_FEATURES, "nn"), "SELECT q AS row_id, id AS cluster FROM nn"))
-add("n6_approx_knn", lambda s, d: _pairs(neighbors.approx_knn_join(V.vec_features(s, d), V.vec_features(s, d), 8, V.VEC_FEATURES, 4.0, radius=20.0)))
 
 # --- dynamic selection ------------------------------------------------------------------------------------------
 
