@@ -10,7 +10,8 @@ from pyspark.sql import types as T
 def is_missing(df: DataFrame, name: str) -> Column:
     c = F.col(name)
     if isinstance(df.schema[name].dataType, (T.FloatType, T.DoubleType)):
-        return c.isNull() | F.isnan(c)
+        # One reference to the column: an expression behind it is then computed once.
+        return F.nanvl(c.cast("double"), F.lit(None).cast("double")).isNull()
     return c.isNull()
 
 

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from raresift import oracles as O
 from raresift import views as V
 from raresift.functions.hashing import hash_key
-from raresift.operators import dynamic, features, metrics, neighbors, profile, resample, splits, voting
-from raresift.plans import jobs
+from raresift.operators import dynamic, features, metrics, models, neighbors, profile, resample, search, splits, voting
+from raresift.plans import experiment, jobs
+from raresift.sources import model_store, tables
+from raresift.sources.storage import materialize, work_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -190,8 +192,8 @@ add("p17_role_balance", lambda s, d: profile.role_balance(_roles(s, d)),
 # --- metrics --------------------------------------------------------------------------------------------
 
 
-def _pool(s, d, view=V.txn_features):
-    return V.formula_pool(view(s, d))
+def _pool(s, d):
+    return V.formula_pool(V.txn_features(s, d))
 
 
 def _scored(s, d):
@@ -235,8 +237,8 @@ _DSEL_SQL = ", ".join([O.TF, O.ranked("tf", 7), "ds AS (SELECT * FROM rk WHERE r
                        "qs AS (SELECT * FROM rk WHERE rk > round(0.15 * n))", O.pool_long("ds", "dl"), O.confusion("dl", "clf, j")])
 
 
-def _dsel_and_queries(s, d, view=V.txn_features):
-    df = splits.holdout(_pool(s, d, view), 0.15, 7)
+def _dsel_and_queries(s, d):
+    df = splits.holdout(_pool(s, d), 0.15, 7)
     return df.where("held_out").drop("held_out"), df.where(~F.col("held_out")).drop("held_out")
 
 
@@ -464,9 +466,8 @@ add("r12_cluster_centroids", _on_vec(lambda df, f: resample.cluster_centroids(df
     _vec_sql(O.centroids("t0", "out", V.VEC_FEATURES, 42, 2)))
 add("r13_under_0_005", lambda s, d: _rows(resample.resampler("Under_0.005")(rare_features(s, d), V.TXN_FEATURES)),
     O.sql(", ".join([O.RARE, O.origin("rf", "t0"), O.under("t0", "out", 0.005, 42)]), _TXN_OUT))
-for _p in (20,):
-    add(f"r13_under{_p}_smoteenn", _on_vec(resample.resampler(f"Under{_p}_SMOTEENN")),
-        _vec_sql(O.under("t0", "t1", _p / 100, 42), O.smote("t1", "t2", V.VEC_FEATURES, 42), O.enn("t2", "out", V.VEC_FEATURES, classes="all")))
+add("r13_under20_smoteenn", _on_vec(resample.resampler("Under20_SMOTEENN")),
+    _vec_sql(O.under("t0", "t1", 0.20, 42), O.smote("t1", "t2", V.VEC_FEATURES, 42), O.enn("t2", "out", V.VEC_FEATURES, classes="all")))
 add("r13_under05_smoteenn_txn", _on_txn(resample.resampler("Under05_SMOTEENN")))
 add("r13_under10_smoteenn_txn", _on_txn(resample.resampler("Under10_SMOTEENN")))
 add("r13_oss_smote", _on_vec(resample.resampler("OSS_SMOTE")),
@@ -488,6 +489,150 @@ add("r15_before_after", _before_after, O.sql(", ".join([_TO, O.smote("t0", "out"
     "SELECT round(V1, 6) AS V1, round(V2, 6) AS V2, Class, 'before' AS stage FROM tf UNION ALL SELECT round(V1, 6), round(V2, 6), Class, 'after' FROM out"))
 
 
+# --- sources and sinks --------------------------------------------------------------------------------------------------
+
+
+def _csv_round_trip(s, d):
+    import uuid
+
+    path = f"{work_dir(s)}/csv-{uuid.uuid4().hex}"
+    tables.save_csv(V.null_txn(s, d), path, delimiter=";")
+    return tables.load_csv(s, path, delimiter=";", dtype=V.null_txn(s, d).schema)
+
+
+add("s1_s2_csv_round_trip", _csv_round_trip, O.sql(O.NUL, "SELECT row_id, " + ", ".join(
+    f"CASE WHEN isnan({c}) THEN NULL ELSE {c} END AS {c}" if c != "Class" else c for c in O.NUMERIC) + " FROM nul"))
+
+
+def _results_store(s, d):
+    import uuid
+
+    path = f"{work_dir(s)}/results-{uuid.uuid4().hex}"
+    rows = metrics.metrics(_scored(s, d), ["fold", "clf"])
+    run = "run_1"
+    for split in ("test", "resubstitution"):
+        tables.append_results(metrics.append_metrics(None, rows, iteration=1, split=split), path, run)
+    return rounded(s.read.parquet(path).select("run_id", "split", "fold", "clf", "f1", "tp"))
+
+
+add("s3_s5_results_store", _results_store, O.sql(_SCORED_SQL + ", " + O.confusion("pl", "fold, clf"),
+    f"SELECT 'run_1' AS run_id, split, fold, clf, round({O.SCORES['f1']}, 6) AS f1, tp FROM cf, (VALUES ('test'), ('resubstitution')) t(split)"))
+
+
+def _checked_source(s, d):
+    tables.require_source(s, f"{d}/lineitem.parquet")
+    return tables.require_columns(V.table(s, d, "lineitem"), ["l_quantity", "l_discount"]).agg(F.count("*").alias("n"))
+
+
+add("s4_require_source", _checked_source, "SELECT count(*) AS n FROM lineitem")
+
+# --- base models, search, jobs --------------------------------------------------------------------------------------------
+
+_SMALL = {"n_estimators": 5, "max_iter": 30}
+
+
+def _selected(s, d):
+    df = V.txn_features(s, d)
+    steps = features.fit_feature_steps(df, V.TXN_FEATURES, k=4)
+    index, names = steps.selected_features()
+    return s.createDataFrame([(i, n) for i, n in zip(index, names)], "position int, feature string")
+
+
+add("f8_f10_selected_features", _selected)
+
+
+def _model(name, params=None, step=None):
+    """Fit on the selection-set share, measure on all other rows."""
+    def run(s, d):
+        split = materialize(splits.holdout(V.txn_features(s, d), 0.15, 7), "split")
+        train, test = split.where("held_out"), split.where(~F.col("held_out"))
+        resampler = resample.resampler(step) if step else None
+        fitted = search.fit_model(train, name, params or _SMALL, V.TXN_FEATURES, resampler=resampler)
+        out = voting.decide(fitted.score(test)).select(F.lit(name).alias("model"), F.col("Class").alias("y"), "p1", "pred")
+        return rounded(metrics.metrics(out, ["model"]))
+
+    return run
+
+
+for _i, _n in enumerate(["DecisionTreeClassifier", "RandomForestClassifier", "ExtraTreesClassifier", "BalancedRandomForestClassifier",
+                         "AdaBoostClassifier", "LogitBoostClassifier", "XGBClassifier", "RUSBoostClassifier", "MLPClassifier", "SVC",
+                         "KNeighborsClassifier", "LogisticRegression"], 1):
+    add(f"m{_i}_{_n.lower()}", _model(_n))
+add("m10_svc_linear", _model("SVC", {"kernel": "linear", "C": 1.0}))
+add("m10_svc_poly", _model("SVC", {"kernel": "poly", "degree": 2, "C": 1.0}))
+add("r14_resampled_fit", _model("DecisionTreeClassifier", step="Under20_SMOTEENN"))
+
+
+def _neighbour_votes(weights, p):
+    def run(s, d):
+        split = splits.holdout(V.vec_features(s, d), 0.15, 7)
+        dsel, q = split.where("held_out"), split.where(~F.col("held_out"))
+        found = neighbors.with_neighbours(q, dsel, 7, V.VEC_FEATURES, payload=["Class"], p=p, name="nn")
+        return rounded(found.select("row_id", models.neighbour_vote("nn", weights, p=p).alias("p1")))
+
+    return run
+
+
+def _vote_sql(weights, p):
+    dist = "sqrt(dist)" if p == 2 else "dist"
+    vote = "avg(d.Class)" if weights == "uniform" else f"""CASE WHEN min(dist) = 0 THEN avg(d.Class) FILTER (dist = 0)
+      ELSE sum(d.Class / {dist}) / sum(1 / {dist}) END"""
+    return O.sql(", ".join([O.VF, O.ranked("vf", 7), "ds AS (SELECT * FROM rk WHERE rk <= round(0.15 * n))",
+                            "qs AS (SELECT * FROM rk WHERE rk > round(0.15 * n))", O.knn("qs", "ds", 7, V.VEC_FEATURES, "nn", p=p)]),
+                 f"SELECT q AS row_id, round({vote}, 6) AS p1 FROM nn JOIN ds d ON d.row_id = nn.id GROUP BY q")
+
+
+add("m11_knn_vote_uniform", _neighbour_votes("uniform", 2), _vote_sql("uniform", 2))
+add("m11_knn_vote_distance", _neighbour_votes("distance", 1), _vote_sql("distance", 1))
+
+
+def _halving(s, d):
+    found = search.halving_search(V.txn_features(s, d), "DecisionTreeClassifier", V.TXN_FEATURES, candidates=3)
+    return s.createDataFrame([{"model": "DecisionTreeClassifier", **search.tuning_row(found)}], experiment.TUNING_SCHEMA).drop("tuning_time")
+
+
+add("h2_halving_search", _halving)
+
+
+def _cross_validated(s, d):
+    df = materialize(splits.stratified_folds(V.txn_features(s, d), 3, 42), "folds")
+    make = lambda train: search.fit_model(train, "DecisionTreeClassifier", {}, V.TXN_FEATURES)
+    return rounded(search.cross_validate(df, make, 3).select("technique", "fold", "roc_auc", "f1", "precision", "recall"))
+
+
+add("h5_cross_validate", _cross_validated)
+
+
+def _experiment(s, d):
+    import uuid
+
+    cfg = experiment.Settings(splits=2, repeats=1, candidates=1, models=["DecisionTreeClassifier", "AdaBoostClassifier"],
+                              pools={"small": ["DecisionTreeClassifier", "AdaBoostClassifier"]}, runs=[0],
+                              dynamic=["OLA", "KNORAU", "StackedClassifier"], fixed_params={"AdaBoostClassifier": {"n_estimators": 3}})
+    out = experiment.run_experiment(V.txn_features(s, d), V.TXN_FEATURES, cfg, f"{work_dir(s)}/experiment-{uuid.uuid4().hex}", "run_1")
+    return rounded(out.select("split", "pool_name", "model", *metrics.METRICS))
+
+
+add("j3_experiment", _experiment)
+add("j7_benchmark", lambda s, d: rounded(experiment.benchmark_resamplers(
+    V.txn_features(s, d), V.TXN_FEATURES, ["RandomUnderSampler", "Under20_SMOTEENN"], 2, params=_SMALL)))
+
+
+def _batch(s, d):
+    import uuid
+
+    split = materialize(splits.holdout(V.txn_features(s, d), 0.15, 7), "split")
+    train, rest = split.where("held_out").drop("held_out"), split.where(~F.col("held_out")).drop("held_out")
+    paths = {}
+    for name in ("DecisionTreeClassifier", "LogisticRegression"):
+        paths[name] = f"{work_dir(s)}/model-{uuid.uuid4().hex}"
+        model_store.save_model(s, search.fit_model(train, name, {}, V.TXN_FEATURES), paths[name])
+    return rounded(experiment.score_batch(s, rest.drop("Class"), paths, V.TXN_FEATURES, "KNORAU", train))
+
+
+add("j8_score_batch", _batch)
+
+
 def flagship(s: SparkSession, d: str) -> DataFrame:
     """Line items: clean -> features -> selection set -> fixed pool -> KNORA-U -> metrics."""
     rows, _ = jobs.clean(V.txn(s, d))
