@@ -48,9 +48,13 @@ def hash_cutoffs(df: DataFrame, label: str, key: Column, row_id: str,
 
 
 def with_cutoffs(df: DataFrame, label: str, key: Column, row_id: str,
-                 ranks: Callable[[Column], Column]) -> DataFrame:
-    """Join the class cut-offs to every row as ``_cuts`` and the row's own place as ``_key``."""
-    cuts = hash_cutoffs(df, label, key, row_id, ranks).withColumnRenamed("cuts", "_cuts")
+                 ranks: Callable[[Column], Column], base: DataFrame | None = None) -> DataFrame:
+    """Join the class cut-offs to every row as ``_cuts`` and the row's own place as ``_key``.
+
+    ``base`` holds the same rows as ``df`` before columns were added, so that repeated splits do not
+    rank each other's results.
+    """
+    cuts = hash_cutoffs(df if base is None else base, label, key, row_id, ranks).withColumnRenamed("cuts", "_cuts")
     return (df.join(F.broadcast(cuts), label, "left")
             .withColumn("_key", F.struct(key.alias("_h"), F.col(row_id).alias("_id"))))
 

@@ -279,7 +279,7 @@ def _draw(ids: pa.Array, salt: int) -> np.ndarray:
     """Repeatable pseudo-random number per id."""
     import pandas as pd
 
-    mixed = pd.util.hash_array(ids.to_pandas().to_numpy(), categorize=False) + np.uint64(salt) * np.uint64(0x9E3779B97F4A7C15)
+    mixed = pd.util.hash_array(ids.to_pandas().to_numpy(), categorize=False) + np.uint64(salt * 0x9E3779B97F4A7C15 % (1 << 64))
     mixed ^= mixed >> np.uint64(33)
     mixed *= np.uint64(0xFF51AFD7ED558CCD)
     return (mixed ^ (mixed >> np.uint64(33))) >> np.uint64(1)

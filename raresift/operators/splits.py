@@ -15,12 +15,16 @@ from raresift.functions.ranks import with_cutoffs
 
 
 def _position() -> Column:
-    """How many cut-offs lie strictly before the row."""
-    return F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col("_key"))), F.lit(0))
+    """How many cut-offs lie strictly before the row.
+
+    Sorted in rather than compared in a lambda, which would hash the row again for every cut-off.
+    """
+    placed = F.array_sort(F.array_append("_cuts", F.col("_key")))
+    return F.coalesce(F.array_position(placed, F.col("_key")) - 1, F.lit(0))
 
 
 def stratified_folds(df: DataFrame, k: int, seed, label: str = "Class", row_id: str = "row_id",
-                     name: str = "fold") -> DataFrame:
+                     name: str = "fold", base: DataFrame | None = None) -> DataFrame:
     """Add a fold number 0..k-1; within each class fold sizes differ by at most one."""
     if k < 2:
         return df.withColumn(name, F.lit(0))
@@ -30,15 +34,16 @@ def stratified_folds(df: DataFrame, k: int, seed, label: str = "Class", row_id:
         return F.array_distinct(F.transform(
             F.sequence(F.lit(1), F.lit(k - 1)), lambda j: F.ceil(j * n / F.lit(k)).cast("long")))
 
-    placed = with_cutoffs(df, label, hash_key(seed, row_id), row_id, ends)
+    placed = with_cutoffs(df, label, hash_key(seed, row_id), row_id, ends, base)
     return placed.withColumn(name, _position().cast("int")).drop("_cuts", "_key")
 
 
 def repeated_folds(df: DataFrame, k: int, repeats: int, seed: int, label: str = "Class",
                    row_id: str = "row_id") -> DataFrame:
     """Fold numbers of several repeats as columns fold_0, fold_1, ..."""
+    base = df
     for r in range(repeats):
-        df = stratified_folds(df, k, seed + r, label, row_id, f"fold_{r}")
+        df = stratified_folds(df, k, seed + r, label, row_id, f"fold_{r}", base)
     return df
 
 
@@ -47,9 +52,10 @@ def run_position(run: int, k: int) -> tuple[int, int]:
     return divmod(run, k)
 
 
-def _first(df: DataFrame, share: Column | float, seed, label: str, row_id: str, name: str) -> DataFrame:
+def _first(df: DataFrame, share: Column | float, seed, label: str, row_id: str, name: str,
+           base: DataFrame | None = None) -> DataFrame:
     quota = lambda n: F.array(F.round(F.lit(share) * n).cast("long"))
-    placed = with_cutoffs(df, label, hash_key(seed, row_id), row_id, quota)
+    placed = with_cutoffs(df, label, hash_key(seed, row_id), row_id, quota, base)
     taken = F.coalesce(F.col("_key") <= F.col("_cuts")[0], F.lit(False))
     return placed.withColumn(name, taken).drop("_cuts", "_key")
 
@@ -63,8 +69,9 @@ def holdout(df: DataFrame, share: float, seed, label: str = "Class", row_id: str
 def shuffle_splits(df: DataFrame, share: float, n_splits: int, seed: int, label: str = "Class",
                    row_id: str = "row_id") -> DataFrame:
     """Independent stratified validation marks val_0, val_1, ..."""
+    base = df
     for s in range(n_splits):
-        df = _first(df, share, f"{seed}v{s}", label, row_id, f"val_{s}")
+        df = _first(df, share, f"{seed}v{s}", label, row_id, f"val_{s}", base)
     return df
 
 

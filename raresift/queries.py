@@ -238,7 +238,8 @@ _DSEL_SQL = ", ".join([O.TF, O.ranked("tf", 7), "ds AS (SELECT * FROM rk WHERE r
 
 
 def _dsel_and_queries(s, d):
-    df = splits.holdout(_pool(s, d), 0.15, 7)
+    # Searches read both sides more than once, so the split is written out first.
+    df = materialize(splits.holdout(_pool(s, d), 0.15, 7), "split")
     return df.where("held_out").drop("held_out"), df.where(~F.col("held_out")).drop("held_out")
 
 
@@ -637,7 +638,7 @@ def flagship(s: SparkSession, d: str) -> DataFrame:
     """Line items: clean -> features -> selection set -> fixed pool -> KNORA-U -> metrics."""
     rows, _ = jobs.clean(V.txn(s, d))
     pool = V.formula_pool(jobs.engineer(rows))
-    split = splits.holdout(pool, 0.15, 7)
+    split = materialize(splits.holdout(pool, 0.15, 7), "split")
     dsel, q = split.where("held_out").drop("held_out"), split.where(~F.col("held_out")).drop("held_out")
     out = dynamic.dynamic_select(q, dsel, ["KNORAU"], len(V.POOL), V.TXN_FEATURES)
     return metrics.metrics(out.withColumnRenamed("Class", "y"), ["model"])
