@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from raresift.llm import chat, neardup, packing, warc
-from raresift.llm.frames import table
+from raresift.llm import chat, neardup, packing, quality, toxicity, warc
+from raresift.llm.frames import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -107,3 +107,29 @@ SELECT d.page_id, d.payload_bytes, d.payload_digest,
   CASE WHEN d.page_id > f.first_id THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN d.page_id > f.first_id THEN f.first_id END AS refers_to
 FROM d LEFT JOIN f USING (payload_digest)"""
+
+
+# --- toxicity -------------------------------------------------------------------------------------
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
+                                              (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+QUERIES["op9_toxicity"] = op9_toxicity
+
+
+# --- quality --------------------------------------------------------------------------------------
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.learn(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
+                                             (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+QUERIES["op10_quality"] = op10_quality
