@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from raresift.llm import chat, jaccard, neardup, packing, quality, toxicity, warc
+from raresift.llm import chat, decontam, jaccard, neardup, packing, quality, toxicity, warc
 from raresift.llm.frames import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -157,3 +157,13 @@ links AS (
 reach AS (SELECT a AS id, b AS other FROM links UNION SELECT r.id, l.b FROM reach r JOIN links l ON r.other = l.a)
 SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce(c.low, w.doc_id)) AS component_id
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT id, min(other) AS low FROM reach GROUP BY id) c ON c.id = w.doc_id"""
+
+
+# --- benchmark decontamination --------------------------------------------------------------------
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES["op3_decontamination"] = op3_decontamination
