@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from raresift.llm import chat, decontam, jaccard, neardup, packing, quality, toxicity, warc
+from raresift.llm import chat, decontam, jaccard, licenses, neardup, packing, pii, quality, toxicity, warc
 from raresift.llm.frames import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -167,3 +167,26 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op3_decontamination"] = op3_decontamination
+
+
+# --- personal data --------------------------------------------------------------------------------
+
+KEY = b"fixed key of the registered query; give your own"
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pseudonymise(docs, KEY, count_col="n_replaced")
+
+
+QUERIES["op7_pii"] = op7_pii
+
+
+# --- license scan ---------------------------------------------------------------------------------
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op8_license_scan"] = op8_license_scan

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from raresift.llm.frames import materialize
+from raresift.llm.frames import materialize, spread
 from raresift.llm.words import slices
 from raresift.sources.storage import work_dir
 
@@ -310,7 +310,8 @@ def read_archives(archives: DataFrame, split: int = 1 << 24) -> DataFrame:
 
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary"
     runs = archives.select("archive").mapInArrow(index, "archive string, at long, lengths array<long>")
-    return runs.repartition(F.col("archive"), F.col("at")).mapInArrow(records, schema)
+    # a fixed number of tasks: a row is small but stands for up to ``split`` bytes of archive
+    return runs.repartition(spread(runs), F.col("archive"), F.col("at")).mapInArrow(records, schema)
 
 
 def _row(headers: dict[str, str], block: bytes) -> tuple:
