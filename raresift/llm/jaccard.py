@@ -270,3 +270,16 @@ def join_components(df: DataFrame, k: int = 4, num: int = 85, den: int = 100, id
     lowest = named.groupBy("c").agg(F.min("doc_id").alias("component_id"))
     by_set = named.join(lowest, "c").select("sid", "component_id")
     return table.join(by_set, "sid", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+
+
+def first_of_groups(df: DataFrame, k: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` whose id is the smallest of their component, by ``join_components``; all columns are kept.
+
+    Equal rows of one id and text become one; other rows that share an id stay or go together. Rows without a word or with a null id
+    stay. Only the ids to drop are joined with the wide table.
+    """
+    found = materialize(join_components(df, k, num, den, id_col, text_col), "join-result")
+    drop = found.filter("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
+    repeated = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").head(1)
+    kept = df.join(drop, id_col, "left_anti")
+    return kept.dropDuplicates([id_col, text_col]) if repeated else kept
