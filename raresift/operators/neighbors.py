@@ -1,12 +1,14 @@
 """Exact k-nearest-neighbour search as a distance join.
 
-A small data side (checked row count) is broadcast and every query row is answered where it
-stands; a small query side is broadcast and the data is scanned once. Otherwise the data is cut into cells by median splits of a bounded sample, and cells into blocks
+A small data side (rows and bytes checked) is broadcast and every query row is answered where it
+stands; a small query side is broadcast and the data is scanned, at large sizes after growing samples
+that bound each query. Otherwise the data is cut into cells by median splits of a bounded sample, and cells into blocks
 of bounded size:
 
 1. each query meets one block of its own cell, which gives an upper bound of its k-th distance;
 2. it is then sent to the blocks of all cells whose bounding box is not farther than that bound.
 
+Beyond MAX_CELLS blocks every cell has a tree of its own, so blocks stay local at any size.
 A block pair is compared in numpy and gives back at most k rows per query, so pairs are never
 materialised. Rows at the same point keep only their first ids, which bounds groups of copies; a
 hot cell is answered by several query groups. Results are ordered by (squared distance, id) and
@@ -28,10 +30,15 @@ from pyspark.sql import types as T
 from raresift.sources.storage import materialize
 
 BROADCAST_ROWS = 16384
+BROADCAST_BYTES = 64 << 20
 BLOCK_ROWS = 2048
 QUERY_ROWS = 16384
 MAX_CELLS = 65536
 SAMPLE_ROWS = 262144
+SAMPLE_BYTES = 128 << 20
+FEW_SAMPLE = 1 << 21  # rows of the first pass over the data when the queries are few
+FEW_STEP = 1024  # how many times more rows each later pass reads
+MAX_REACH = 4096  # cells a query may be sent to, on average
 _CHUNK_CELLS = 1 << 18
 
 
@@ -108,6 +115,42 @@ def _nearest(q, d, k, p, q_ids=None, d_ids=None, bound=None):
     return np.concatenate(rows), np.concatenate(cols), np.concatenate(dists)
 
 
+def _finite(df: DataFrame, features: list[str], row_id: str) -> DataFrame:
+    """Features as doubles; a null, NaN or infinite one is an error that names the column and the row.
+
+    One such value would otherwise spoil the distances of every row it is compared with.
+    """
+    def checked(c: str) -> Column:
+        x = F.col(c).cast("double")
+        fine = x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
+        message = F.concat(F.lit(f"feature {c} of row "), F.coalesce(F.col(row_id).cast("string"), F.lit("null")),
+                           F.lit(" is not a finite number: "), F.coalesce(F.col(c).cast("string"), F.lit("null")))
+        return F.when(fine, x).otherwise(F.raise_error(message).cast("double"))
+
+    return df.withColumns({c: checked(c) for c in features})
+
+
+def _row_bytes(df: DataFrame) -> int:
+    """Rough width of a row; nested columns are counted when they have been read."""
+    sizes = {"double": 8, "bigint": 8, "int": 4, "float": 4, "boolean": 1, "string": 40}
+    return sum(sizes.get(t, 64) for _, t in df.dtypes)
+
+
+def _small_side(df: DataFrame, rows: int) -> pa.Table | None:
+    """The whole table if it has at most ``rows`` rows and BROADCAST_BYTES bytes, else None; never reads much more."""
+    most = min(rows, BROADCAST_BYTES // _row_bytes(df))
+    found = df.limit(most + 1).toArrow()
+    return found if found.num_rows <= most and found.nbytes <= BROADCAST_BYTES else None
+
+
+def _spread(df: DataFrame, row_id: str) -> DataFrame:
+    """The table in enough tasks for heavy work: dealt out anew only if its files are fewer than the cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if len(df.inputFiles()) >= cores:
+        return df
+    return df.repartition(max(cores, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), row_id)
+
+
 def _id_index(ids):
     import pandas as pd
 
@@ -129,44 +172,65 @@ def _struct_array(dist: np.ndarray, data: pa.Table, idx: np.ndarray, row_id: str
     return pa.StructArray.from_arrays(arrays, names=["dist", "id", *payload])
 
 
-def _answer_small(q: DataFrame, d_small: pa.Table, k: int, features: list[str], row_id: str,
-                  payload: list[str], exclude_self: bool, p: int, element: T.StructType,
-                  name: str) -> DataFrame:
+def _answer_small(q: DataFrame, sides: dict[str, tuple[pa.Table, T.StructType]], k: int, features: list[str], row_id: str,
+                  payload: list[str], exclude_self: bool, p: int) -> DataFrame:
+    """Neighbours in one or several small tables, each as a column of its name, in one pass over the queries."""
     spark = q.sparkSession
-    shared = spark.sparkContext.broadcast(d_small.sort_by(row_id))
-    # The comparison is heavy for its bytes, so the task count must not follow the file layout.
-    q = q.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), row_id)
-    out = T.StructType(q.schema.fields + [T.StructField(name, T.ArrayType(element))])
+    shared = spark.sparkContext.broadcast({n: d.sort_by(row_id) for n, (d, _) in sides.items()})
+    q = _spread(q, row_id)
+    out = T.StructType(q.schema.fields + [T.StructField(n, T.ArrayType(e)) for n, (_, e) in sides.items()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        data = shared.value
-        dm = _matrix(data, features)
-        d_ids = _id_index(data.column(row_id).to_pandas()) if exclude_self else None
+        tables = shared.value
+        matrices = {n: _matrix(d, features) for n, d in tables.items()}
+        places = {n: _id_index(d.column(row_id).to_pandas()) if exclude_self else None for n, d in tables.items()}
         for batch in batches:
             qm = _matrix(batch, features)
             ids = batch.column(row_id).to_pandas().to_numpy() if exclude_self else None
-            r, c, v = _nearest(qm, dm, k, p, ids, d_ids)
-            offsets = np.searchsorted(r, np.arange(batch.num_rows + 1)).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), _struct_array(v, data, c, row_id, payload))
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, name])
+            columns = list(batch.columns)
+            for n, data in tables.items():
+                r, c, v = _nearest(qm, matrices[n], k, p, ids, places[n])
+                offsets = np.searchsorted(r, np.arange(batch.num_rows + 1)).astype(np.int32)
+                columns.append(pa.ListArray.from_arrays(pa.array(offsets), _struct_array(v, data, c, row_id, payload)))
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, *tables])
 
     return q.mapInArrow(run, out)
 
 
 def _answer_few(q: DataFrame, q_small: pa.Table, d: DataFrame, k: int, features: list[str], row_id: str,
                 payload: list[str], exclude_self: bool, p: int, element: T.StructType, name: str) -> DataFrame:
-    """Few queries, any amount of data: one scan, each task keeps the k best rows of every query."""
-    shared = d.sparkSession.sparkContext.broadcast(q_small)
-    out = T.StructType([T.StructField("_q", q.schema[row_id].dataType), *element.fields])
+    """Few queries, any amount of data: each task keeps the k best rows of every query, if they are within its bound.
+
+    Large data is read in passes over growing samples; the k-th distance in one is the bound of the next, so a pass hands
+    on about FEW_STEP * k rows per query, whatever its size. Only the bounds, one number per query, go to the driver.
+    """
+    total, bound = d.count(), None
+    rows = FEW_SAMPLE
+    while rows < total:
+        every = max(2, total // rows)
+        part = d.where(F.pmod(F.xxhash64(row_id), F.lit(every)) == 0).select(row_id, *features)
+        found = _best_of_few(q_small, part, k, features, row_id, [], exclude_self, p, T.StructType(element.fields[:2]), bound)
+        last = (_top(found, k).groupBy("_q").agg(F.count("*").alias("n"), F.max("dist").alias("b")).where(F.col("n") == k)).collect()
+        limits = {r["_q"]: r["b"] for r in last}
+        bound = np.array([limits.get(i, np.inf) for i in q_small.column(row_id).to_pylist()])
+        rows *= FEW_STEP
+    return _collected(q, _best_of_few(q_small, d, k, features, row_id, payload, exclude_self, p, element, bound), k, row_id, element, name)
+
+
+def _best_of_few(q_small: pa.Table, d: DataFrame, k: int, features: list[str], row_id: str, payload: list[str],
+                 exclude_self: bool, p: int, element: T.StructType, limits: np.ndarray | None) -> DataFrame:
+    """Per task the k best rows of every query that are not farther than its limit."""
+    shared = d.sparkSession.sparkContext.broadcast((q_small, limits))
+    out = T.StructType([T.StructField("_q", d.schema[row_id].dataType), *element.fields])
 
     def run(batches):
-        few = shared.value
+        few, start = shared.value
         qm, q_ids = _matrix(few, features), few.column(row_id).to_pandas().to_numpy()
-        best, bound = None, np.full(few.num_rows, np.inf)
+        best, bound = None, np.full(few.num_rows, np.inf) if start is None else start.copy()
         for batch in batches:
             data = pa.Table.from_batches([batch]).sort_by(row_id)
             d_ids = _id_index(data.column(row_id).to_pandas()) if exclude_self else None
-            limit = bound if best is not None else None
+            limit = bound if best is not None or start is not None else None
             r, c, v = _nearest(qm, _matrix(data, features), k, p, q_ids if exclude_self else None, d_ids, limit)
             block = _struct_array(v, data, c, row_id, payload)
             found = pa.table([pa.array(r), *block.flatten()], names=["_r", *element.fieldNames()])
@@ -176,20 +240,23 @@ def _answer_few(q: DataFrame, q_small: pa.Table, d: DataFrame, k: int, features:
             at = np.arange(len(rr)) - np.searchsorted(rr, rr, side="left")
             best = best.take(pa.array(np.nonzero(at < k)[0]))
             full = at == k - 1
-            bound = np.full(few.num_rows, np.inf)
             bound[rr[full]] = best.column("dist").to_numpy()[at[at < k] == k - 1]
         if best is not None:
             ids = few.column(row_id).take(best.column("_r"))
             for b in pa.table([ids, *best.columns[1:]], names=out.fieldNames()).to_batches():
                 yield b
 
-    return _collected(q, d.mapInArrow(run, out), k, row_id, element, name)
+    return _spread(d, row_id).mapInArrow(run, out)
+
+
+def _top(found: DataFrame, k: int) -> DataFrame:
+    best = Window.partitionBy("_q").orderBy("dist", "id")
+    return found.withColumn("_rn", F.row_number().over(best)).where(F.col("_rn") <= k)
 
 
 def _collected(q: DataFrame, found: DataFrame, k: int, row_id: str, element: T.StructType, name: str) -> DataFrame:
     """Best k candidates per query as an ordered array on the query row."""
-    best = Window.partitionBy("_q").orderBy("dist", "id")
-    top = found.withColumn("_rn", F.row_number().over(best)).where(F.col("_rn") <= k)
+    top = _top(found, k)
     fields = [F.col(f) for f in element.fieldNames()]
     lists = top.groupBy("_q").agg(F.sort_array(F.collect_list(F.struct("_rn", F.struct(*fields).alias("_e")))).alias("_l"))
     lists = lists.select(F.col("_q").alias(row_id), F.transform("_l", lambda e: e["_e"]).alias(name))
@@ -250,19 +317,19 @@ class _Cells:
             acc += gap * gap if p == 2 else gap
         return acc
 
-    def bound(self, x: np.ndarray, r: int, need: int, p: int) -> float:
-        """Distance within which at least ``need`` rows lie: the far corner of a node on the query's path."""
-        best, node = np.inf, 0
-        while True:
-            if self.size[node] >= need:
-                far = np.maximum(np.abs(x[:, r] - self.lo[:, node]), np.abs(x[:, r] - self.hi[:, node]))
-                total = 0.0
-                for f in far:
-                    total += f * f if p == 2 else f
-                best = min(best, total)
-            if node >= self.leaves - 1:
-                return best
-            node = 2 * node + 1 + int(x[self.axis[node], r] > self.cut[node])
+    def bound(self, x: np.ndarray, need: int, p: int) -> np.ndarray:
+        """Distances within which at least ``need`` rows lie: the far corner of a node on each query's path."""
+        n = x.shape[1]
+        best, node, columns = np.full(n, np.inf), np.zeros(n, dtype=np.int64), np.arange(n)
+        for level in range(self.depth + 1):
+            total = np.zeros(n)
+            for i in range(x.shape[0]):
+                far = np.maximum(np.abs(x[i] - self.lo[i][node]), np.abs(x[i] - self.hi[i][node]))
+                total += far * far if p == 2 else far
+            best = np.where(self.size[node] >= need, np.minimum(best, total), best)
+            if level < self.depth:
+                node = 2 * node + 1 + (x[self.axis[node], columns] > self.cut[node])
+        return best
 
     def reach(self, x: np.ndarray, bound: np.ndarray, p: int) -> tuple[np.ndarray, np.ndarray]:
         """(query index, cell) of all cells whose box is not farther than the query's bound."""
@@ -329,7 +396,7 @@ def _compare(q: DataFrame, d: DataFrame, k: int, features: list[str], row_id: st
 
 def _answer_blocks(q: DataFrame, d: DataFrame, k: int, features: list[str], row_id: str,
                    payload: list[str], exclude_self: bool, p: int, element: T.StructType,
-                   block_rows: int, query_rows: int, name: str) -> DataFrame:
+                   block_rows: int, query_rows: int, name: str, max_reach: int = MAX_REACH) -> DataFrame:
     spare = 1 if exclude_self else 0
     copies = Window.partitionBy(*features).orderBy(row_id)
     d = d.withColumn("_rn", F.row_number().over(copies)).where(F.col("_rn") <= k + spare).drop("_rn")
@@ -337,11 +404,14 @@ def _answer_blocks(q: DataFrame, d: DataFrame, k: int, features: list[str], row_
     total = d.count()
     queries = materialize(q.select(row_id, *features), "knn-query")
 
-    every = max(1, total // SAMPLE_ROWS)
+    wanted = max(1, min(SAMPLE_ROWS, SAMPLE_BYTES // (16 * len(features))))
+    every = max(1, total // wanted)
     sample = (d.where(F.pmod(F.xxhash64(row_id), F.lit(every)) == 0).select(*features)
-              .limit(2 * SAMPLE_ROWS).toArrow())
+              .limit(2 * wanted).toArrow())
     depth = int(np.clip(np.ceil(np.log2(max(total / block_rows, 1))), 0, np.log2(MAX_CELLS)))
     cells = _Cells(_matrix(sample, features), depth)
+    if total > MAX_CELLS * block_rows:
+        return _answer_deep(q, queries, d, total, cells, k, features, row_id, payload, exclude_self, p, element, block_rows, query_rows, name, max_reach)
 
     # Cell statistics: at most MAX_CELLS rows, whatever the table size.
     def locate(batches):
@@ -389,7 +459,8 @@ def _answer_blocks(q: DataFrame, d: DataFrame, k: int, features: list[str], row_
 
         return queries.mapInArrow(run, T.StructType(queries.schema.fields + _PLACE))
 
-    parts = parts_of(_counted(homes(np.ones(cells.leaves, dtype=np.int64))), cells.blocks)
+    home = _counted(homes(np.ones(cells.leaves, dtype=np.int64)))
+    parts = parts_of(home, cells.blocks)
     near = _compare(homes(parts), data_blocks(parts), k, features, row_id, [], exclude_self, p,
                     T.StructType(element.fields[:2]), False)
     first = near.groupBy("_q").agg(F.count("*").alias("_n"), F.max("dist").alias("_first"))
@@ -405,8 +476,9 @@ def _answer_blocks(q: DataFrame, d: DataFrame, k: int, features: list[str], row_
                     b = whole.slice(start, 4096)
                     x = _matrix(b, features)
                     bound = b.column("_bound").to_numpy(zero_copy_only=False).astype(float)
-                    for i in np.nonzero(np.isnan(bound))[0]:
-                        bound[i] = tree.bound(x, i, k + spare, p)
+                    open_ = np.nonzero(np.isnan(bound))[0]
+                    if len(open_):
+                        bound[open_] = tree.bound(x[:, open_], k + spare, p)
                     r, cell = tree.reach(x, bound, p)
                     part = (_draw(b.column(row_id), 4)[r] % parts[cell].astype(np.uint64)).astype(np.int64)
                     times = tree.blocks[cell] if blocks else np.ones(len(cell), dtype=np.int64)
@@ -417,35 +489,190 @@ def _answer_blocks(q: DataFrame, d: DataFrame, k: int, features: list[str], row_
         return bounded.mapInArrow(run, T.StructType(bounded.schema.fields + _PLACE))
 
     ones = np.ones(cells.leaves, dtype=np.int64)
-    parts = parts_of(_counted(routed(ones, False)), ones)
+    sent = _counted(routed(ones, False))
+    reached, asked = sum(sent.values()), sum(home.values())
+    if reached > max_reach * max(asked, 1):
+        raise RuntimeError(f"{reached} (query, cell) pairs for {asked} queries: the features' boxes exclude too little; "
+                           f"use fewer features or raise max_reach")
+    parts = parts_of(sent, ones)
     found = _compare(routed(parts, True), data_blocks(parts), k, features, row_id, payload, exclude_self, p, element, True)
     return _collected(q, found, k, row_id, element, name)
 
 
+def _beside(rows: DataFrame, trees: DataFrame, work, out: T.StructType) -> DataFrame:
+    """``work(tree, rows)`` for the rows (with _cell and _salt) of every cell next to the cell's own tree.
+
+    A task gets each tree right before its rows, in one sorted stream, so neither all trees nor all rows of a cell are held.
+    """
+    both = rows.withColumn("_tree", F.lit(None).cast("binary")).unionByName(trees, allowMissingColumns=True)
+    stream = both.repartition("_cell", "_salt").sortWithinPartitions("_cell", "_salt", F.col("_tree").isNull())
+
+    def run(batches):
+        tree = None
+        for b in batches:
+            at = np.flatnonzero(b.column("_tree").is_valid().to_numpy(zero_copy_only=False))
+            for lo, hi in zip([0, *(at + 1)], [*at, b.num_rows]):
+                if hi > lo:
+                    yield from work(tree, b.slice(lo, hi - lo).drop_columns(["_tree"]))
+                if hi < b.num_rows:
+                    tree = cloudpickle.loads(b.column("_tree")[int(hi)].as_py())
+
+    return stream.mapInArrow(run, out)
+
+
+def _answer_deep(q: DataFrame, queries: DataFrame, d: DataFrame, total: int, coarse: _Cells, k: int, features: list[str], row_id: str,
+                 payload: list[str], exclude_self: bool, p: int, element: T.StructType, block_rows: int, query_rows: int, name: str,
+                 max_reach: int) -> DataFrame:
+    """Two levels of cells for data beyond MAX_CELLS blocks: the tree of the coarse cells is on the driver, every coarse
+    cell has a tree of its own for its blocks, kept as rows of a table and met by the cell's rows in the tasks."""
+    import pandas as pd
+
+    spare = 1 if exclude_self else 0
+    depth = int(np.ceil(np.log2(total / (coarse.leaves * block_rows))))
+    shared = d.sparkSession.sparkContext.broadcast(cloudpickle.dumps(coarse))
+    salts = max(1, total // (coarse.leaves * (1 << 20)) + 1)
+    place = [T.StructField("_cell", T.IntegerType()), T.StructField("_salt", T.IntegerType())]
+    placed = [*place, T.StructField("_block", T.IntegerType())]
+
+    def located(df: DataFrame) -> DataFrame:
+        def run(batches):
+            tree = cloudpickle.loads(shared.value)
+            for b in batches:
+                salt = _draw(b.column(row_id), 5) % np.uint64(salts)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(tree.locate(_matrix(b, features)).astype(np.int32)), pa.array(salt.astype(np.int32))],
+                                                 names=[*b.schema.names, "_cell", "_salt"])
+
+        return df.mapInArrow(run, T.StructType(df.schema.fields + place))
+
+    def salted(trees: DataFrame) -> DataFrame:
+        return trees.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+
+    # Trees of the coarse cells from a sample of some rows per block.
+    every = max(1, total // (coarse.leaves * (16 << depth)))
+    sample = located(d.where(F.pmod(F.xxhash64(row_id, F.lit(1)), F.lit(every)) == 0).select(row_id, *features))
+
+    def split(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        tree = _Cells(rows.sort_values(row_id)[features].to_numpy().T, depth)
+        return pd.DataFrame({"_cell": [key[0]], "_tree": [cloudpickle.dumps(tree)]})
+
+    trees = sample.groupBy("_cell").applyInPandas(split, "_cell int, _tree binary")
+    # a cell without a sampled row has one block
+    empty = cloudpickle.dumps(_Cells(np.zeros((len(features), 0)), depth))
+    cells = d.sparkSession.range(coarse.leaves).select(F.col("id").cast("int").alias("_cell"))
+    trees = materialize(cells.join(trees, "_cell", "left").withColumn("_tree", F.coalesce("_tree", F.lit(empty))), "knn-trees")
+
+    def leaf(tree, b):
+        block = tree.locate(_matrix(b, features)).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(block)], names=[*b.schema.names, "_block"])
+
+    d = materialize(_beside(located(d), salted(trees), leaf, T.StructType(d.schema.fields + placed)), "knn-blocks")
+    boxes = d.groupBy("_cell", "_block").agg(F.count("*").alias("n"), *[F.min(c).alias(f"l{i}") for i, c in enumerate(features)],
+                                             *[F.max(c).alias(f"h{i}") for i, c in enumerate(features)])
+
+    def measure(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        tree = cloudpickle.loads(left["_tree"].iloc[0])
+        lo, hi = np.full((len(features), tree.leaves), np.inf), np.full((len(features), tree.leaves), -np.inf)
+        sizes = np.zeros(tree.leaves, dtype=np.int64)
+        at = right["_block"].to_numpy()
+        sizes[at] = right["n"]
+        for i in range(len(features)):
+            lo[i, at], hi[i, at] = right[f"l{i}"], right[f"h{i}"]
+        tree.measure(lo, hi, sizes, block_rows)
+        return pd.DataFrame({"_cell": [key[0]], "_tree": [cloudpickle.dumps(tree)], "n": [int(sizes.sum())]}
+                            | {f"l{i}": [float(lo[i].min())] for i in range(len(features))} | {f"h{i}": [float(hi[i].max())] for i in range(len(features))})
+
+    ends = ", ".join(f"l{i} double, h{i} double" for i in range(len(features)))
+    trees = materialize(trees.groupBy("_cell").cogroup(boxes.groupBy("_cell")).applyInPandas(measure, f"_cell int, _tree binary, n long, {ends}"), "knn-trees")
+    lo, hi = np.full((len(features), coarse.leaves), np.inf), np.full((len(features), coarse.leaves), -np.inf)
+    sizes = np.zeros(coarse.leaves, dtype=np.int64)
+    for r in trees.drop("_tree").collect():  # MAX_CELLS rows
+        sizes[r["_cell"]] = r["n"]
+        for i in range(len(features)):
+            lo[i, r["_cell"]], hi[i, r["_cell"]] = r[f"l{i}"], r[f"h{i}"]
+    coarse.measure(lo, hi, sizes, block_rows)
+    boxed = d.sparkSession.sparkContext.broadcast(cloudpickle.dumps(coarse))
+    trees = trees.select("_cell", "_tree")
+    keys = ["_cell", "_block"]
+
+    def compared(asked: DataFrame, fields: T.StructType, payload: list[str], bounded: bool) -> DataFrame:
+        """A block with many queries is answered by several groups, each with a copy of the block."""
+        hot = asked.groupBy(*keys).agg(F.ceil(F.count("*") / F.lit(query_rows)).cast("int").alias("_parts")).where("_parts > 1")
+        parts = F.coalesce("_parts", F.lit(1))
+        left = asked.join(hot, keys, "left").withColumn("_part", F.pmod(F.xxhash64(row_id), parts).cast("int")).drop("_parts")
+        right = d.drop("_salt").join(hot, keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+        return _compare(left, right, k, features, row_id, payload, exclude_self, p, fields, bounded)
+
+    # Round 1: the block a query stands in.
+    home = _beside(located(queries), salted(trees), leaf, T.StructType(queries.schema.fields + placed)).drop("_salt")
+    near = compared(home, T.StructType(element.fields[:2]), [], False)
+    first = near.groupBy("_q").agg(F.count("*").alias("_n"), F.max("dist").alias("_first"))
+    bounded = queries.join(first.withColumnRenamed("_q", row_id), row_id, "left")
+    bounded = bounded.select(row_id, *features, F.when(F.col("_n") >= k, F.col("_first")).alias("_bound"))
+    asked = T.StructType(queries.schema.fields + [T.StructField("_bound", T.DoubleType())] + place)
+
+    # Round 2: coarse cells within the bound, then their blocks within it.
+    def cells_within(batches):
+        tree = cloudpickle.loads(boxed.value)
+        for whole in batches:
+            for start in range(0, whole.num_rows, 4096):
+                b = whole.slice(start, 4096)
+                x = _matrix(b, features)
+                bound = b.column("_bound").to_numpy(zero_copy_only=False).astype(float)
+                open_ = np.nonzero(np.isnan(bound))[0]
+                if len(open_):
+                    bound[open_] = tree.bound(x[:, open_], k + spare, p)
+                r, cell = tree.reach(x, bound, p)
+                salt = _draw(b.column(row_id), 6)[r] % np.uint64(salts)
+                rows = b.set_column(b.schema.get_field_index("_bound"), "_bound", pa.array(bound)).take(pa.array(r))
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(cell.astype(np.int32)), pa.array(salt.astype(np.int32))],
+                                                 names=[*rows.schema.names, "_cell", "_salt"])
+
+    def blocks_within(tree, b):
+        for start in range(0, b.num_rows, 4096):
+            some = b.slice(start, 4096)
+            r, block = tree.reach(_matrix(some, features), some.column("_bound").to_numpy(), p)
+            rows = some.take(pa.array(r))
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(block.astype(np.int32))], names=[*rows.schema.names, "_block"])
+
+    sent = _beside(bounded.mapInArrow(cells_within, asked), salted(trees), blocks_within, T.StructType(asked.fields + placed[2:]))
+    sent = materialize(sent.drop("_salt"), "knn-sent")
+    reached, n = sent.count(), queries.count()
+    if reached > max_reach * max(n, 1):
+        raise RuntimeError(f"{reached} (query, block) pairs for {n} queries: the features' boxes exclude too little; "
+                           f"use fewer features or raise max_reach")
+    return _collected(q, compared(sent, element, payload, True), k, row_id, element, name)
+
+
 def with_neighbours(q: DataFrame, d: DataFrame, k: int, features: list[str], row_id: str = "row_id",
                     payload: list[str] | None = None, exclude_self: bool = False, p: int = 2,
                     name: str = "neighbours", broadcast_rows: int = BROADCAST_ROWS,
-                    block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS,
-                    small: pa.Table | None = None) -> DataFrame:
+                    block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS, max_reach: int = MAX_REACH) -> DataFrame:
     """Add the k nearest rows of ``d`` to every row of ``q``.
 
     ``name`` becomes an array of struct(dist, id, payload...) ordered by (dist, id); ``dist`` is the
     squared Euclidean distance for p=2 and the Manhattan distance for p=1. Query ids must be unique.
+    A feature that is null, NaN or infinite on either side is an error. A side is broadcast if it has at most
+    ``broadcast_rows`` rows and BROADCAST_BYTES bytes. A query that would be sent to over ``max_reach`` cells on
+    average is an error, as the search would compare nearly all pairs.
     """
     if p not in (1, 2):
         raise ValueError(f"Unsupported metric: p={p}")
     payload = payload or []
-    q = q.select("*", *[]).withColumns({c: F.col(c).cast("double") for c in features})
-    d = d.select(row_id, *[F.col(c).cast("double").alias(c) for c in features], *[c for c in payload if c not in features])
+    q = _finite(q, features, row_id)
+    d = _finite(d, features, row_id).select(row_id, *features, *[c for c in payload if c not in features])
     element = _neighbour_type(d, row_id, payload)
-    if small is None:
-        small = d.limit(broadcast_rows + 1).toArrow()
-    if small.num_rows <= broadcast_rows:
-        return _answer_small(q, small, k, features, row_id, payload, exclude_self, p, element, name)
-    few = q.select(row_id, *features).limit(broadcast_rows + 1).toArrow()
-    if few.num_rows <= broadcast_rows:
+    small = _small_side(d, broadcast_rows)
+    if small is not None:
+        return _answer_small(q, {name: (small, element)}, k, features, row_id, payload, exclude_self, p)
+    return _answer_large(q, d, k, features, row_id, payload, exclude_self, p, element, broadcast_rows, block_rows, query_rows, name, max_reach)
+
+
+def _answer_large(q: DataFrame, d: DataFrame, k: int, features: list[str], row_id: str, payload: list[str], exclude_self: bool, p: int,
+                  element: T.StructType, broadcast_rows: int, block_rows: int, query_rows: int, name: str, max_reach: int) -> DataFrame:
+    few = _small_side(q.select(row_id, *features), broadcast_rows)
+    if few is not None:
         return _answer_few(q, few, d, k, features, row_id, payload, exclude_self, p, element, name)
-    return _answer_blocks(q, d, k, features, row_id, payload, exclude_self, p, element, block_rows, query_rows, name)
+    return _answer_blocks(q, d, k, features, row_id, payload, exclude_self, p, element, block_rows, query_rows, name, max_reach)
 
 
 def knn_join(q: DataFrame, d: DataFrame, k: int, features: list[str], row_id: str = "row_id",
@@ -462,14 +689,22 @@ def with_class_neighbours(q: DataFrame, d: DataFrame, k: int, features: list[str
                           row_id: str = "row_id", payload: list[str] | None = None,
                           exclude_self: bool = False, p: int = 2, classes: tuple = (0, 1), **limits) -> DataFrame:
     """Add the k nearest rows of each class as columns ``near_<class>``."""
+    if p not in (1, 2):
+        raise ValueError(f"Unsupported metric: p={p}")
     payload = [label, *(payload or [])]
-    limit = limits.get("broadcast_rows", BROADCAST_ROWS)
-    d = d.select(row_id, *[F.col(c).cast("double").alias(c) for c in features], *payload)
-    whole = d.limit(limit + 1).toArrow()
+    sizes = {"broadcast_rows": BROADCAST_ROWS, "block_rows": BLOCK_ROWS, "query_rows": QUERY_ROWS, "max_reach": MAX_REACH, **limits}
+    q = _finite(q, features, row_id)
+    d = _finite(d, features, row_id).select(row_id, *features, *payload)
+    element = _neighbour_type(d, row_id, payload)
+    whole = _small_side(d, sizes["broadcast_rows"])
+    own = {c: whole.filter(pc.equal(whole.column(label), c)) if whole is not None
+           else _small_side(d.where(F.col(label) == c), sizes["broadcast_rows"]) for c in classes}
+    small = {f"near_{c}": (t, element) for c, t in own.items() if t is not None}
+    if small:
+        q = _answer_small(q, small, k, features, row_id, payload, exclude_self, p)
     for c in classes:
-        small = whole.filter(pc.equal(whole.column(label), c)) if whole.num_rows <= limit else None
-        q = with_neighbours(q, d.where(F.col(label) == c), k, features, row_id, payload, exclude_self, p,
-                            f"near_{c}", small=small, **limits)
+        if own[c] is None:
+            q = _answer_large(q, d.where(F.col(label) == c), k, features, row_id, payload, exclude_self, p, element, name=f"near_{c}", **sizes)
     return q
 
 
