@@ -18,7 +18,11 @@ def unit(key: Column) -> Column:
 
 
 def with_row_id(df: DataFrame, columns: list[str] | None = None, name: str = "row_id") -> DataFrame:
-    """Add a key made of the given columns (all by default); unique once full duplicates are gone."""
+    """Add a key made of the given columns (all by default); unique once full duplicates are gone.
+
+    Every cell goes in with its length, and a missing one as a mark of its own, so different rows have different texts.
+    """
     columns = columns or df.columns
-    text = [F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in columns]
-    return df.withColumn(name, F.md5(F.concat_ws("|", *text)))
+    cells = [F.col(c).cast("string") for c in columns]
+    text = [F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("-")) for c in cells]
+    return df.withColumn(name, F.md5(F.concat(*text)))

@@ -12,81 +12,100 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# 4,096 ranges: few enough to combine well before the shuffle, and a range that holds a cut-off stays
-# small enough to sort in one task.
+from raresift.sources.storage import materialize
+
+# Hash ranges are split by so many more hex digits at a time; a split has 4,096 parts, few enough to combine well before
+# the shuffle.
 PREFIX_DIGITS = 3
+# Most rows that are sorted in one task.
+RANGE_ROWS = 1 << 20
+
 
+def _classed(df: DataFrame, label: str, row_id: str) -> DataFrame:
+    """The table; a null class is an error, as such a row has no place in a stratified split."""
+    message = F.concat(F.lit("the class of row "), F.coalesce(F.col(row_id).cast("string"), F.lit("null")), F.lit(" is null"))
+    return df.withColumn(label, F.coalesce(F.col(label), F.raise_error(message).cast(df.schema[label].dataType)))
 
-def hash_cutoffs(df: DataFrame, label: str, key: Column, row_id: str,
+
+def hash_cutoffs(df: DataFrame, label: str, keys: dict[str, Column], row_id: str,
                  ranks: Callable[[Column], Column]) -> DataFrame:
-    """Rows that stand at given ranks of their class in hash order.
+    """Rows that stand at given ranks of their class, in the hash order of every key.
 
-    ``ranks(n)`` maps the class size to an array of one-based ranks. Returns (label, cuts), where
-    cuts is the sorted array of struct(key, row_id). Only rows of a bucket that contains a rank are
-    sorted; the result has one row per class.
-    """
-    keyed = df.where(F.col(label).isNotNull()).select(
-        F.col(label).alias("_label"), key.alias("_h"), F.col(row_id).alias("_id"))
-    keyed = keyed.withColumn("_b", F.substring("_h", 1, PREFIX_DIGITS))
-    by_label = Window.partitionBy("_label")
-    counts = (keyed.groupBy("_label", "_b").agg(F.count("*").alias("_c"))
-              .withColumn("_hi", F.sum("_c").over(by_label.orderBy("_b")))
-              .withColumn("_n", F.sum("_c").over(by_label)))
-    wanted = (counts.select("_label", "_b", (F.col("_hi") - F.col("_c")).alias("_lo"), "_hi",
-                            F.explode(ranks(F.col("_n"))).alias("_t"))
-              .where((F.col("_t") > F.col("_lo")) & (F.col("_t") <= F.col("_hi")))
-              .groupBy("_label", "_b")
-              .agg(F.collect_list(F.col("_t") - F.col("_lo")).alias("_at")))
-    # One row per class and rank at most, so this side stays a few kilobytes at any table size.
-    inside = (keyed.join(F.broadcast(wanted), ["_label", "_b"])
-              .withColumn("_rn", F.row_number().over(
-                  Window.partitionBy("_label", "_b").orderBy("_h", "_id"))))
-    hits = inside.select("_label", "_h", "_id", "_rn", F.explode("_at").alias("_t"))
-    return (hits.where(F.col("_rn") == F.col("_t"))
-            .groupBy(F.col("_label").alias(label))
-            .agg(F.sort_array(F.collect_list(F.struct("_h", "_id"))).alias("cuts")))
-
-
-def with_cutoffs(df: DataFrame, label: str, key: Column, row_id: str,
-                 ranks: Callable[[Column], Column], base: DataFrame | None = None) -> DataFrame:
-    """Join the class cut-offs to every row as ``_cuts`` and the row's own place as ``_key``.
-
-    ``base`` holds the same rows as ``df`` before columns were added, so that repeated splits do not
-    rank each other's results.
+    ``ranks(n)`` maps the class size to an array of one-based ranks. Returns (label, cuts), where cuts maps a key's name to
+    the sorted array of struct(key, row_id). All keys are counted in one pass. Ranges that hold a rank are split until
+    they have at most RANGE_ROWS rows (one pass for every factor of 4,096, so none but the first below 10^9 rows of a class); only their rows are sorted.
     """
-    cuts = hash_cutoffs(df if base is None else base, label, key, row_id, ranks).withColumnRenamed("cuts", "_cuts")
+    cells = F.array(*[F.struct(F.lit(n).alias("_name"), k.alias("_h")) for n, k in keys.items()])
+    keyed = df.select(F.col(label).alias("_label"), F.col(row_id).alias("_id"), F.explode(cells).alias("_k")).select(
+        "_label", "_id", "_k._name", "_k._h")
+    part, digits = ["_label", "_name"], PREFIX_DIGITS
+    counts = keyed.groupBy(*part, F.substring("_h", 1, digits).alias("_b")).agg(F.count("*").alias("_c"))
+    counts = counts.withColumn("_at", ranks(F.sum("_c").over(Window.partitionBy(*part))))
+    wanted = _ranges(counts, part)
+    # One row per class, key and rank at most: small at any table size.
+    while wanted.where(F.col("_c") > RANGE_ROWS).head(1) and digits < 30:
+        inside = _inside(keyed, wanted.drop("_c"), digits)
+        digits += PREFIX_DIGITS
+        counts = inside.groupBy(*part, "_b", F.substring("_h", 1, digits).alias("_n")).agg(F.count("*").alias("_c"), F.first("_at").alias("_at"))
+        wanted = _ranges(counts.withColumnRenamed("_b", "_o").withColumnRenamed("_n", "_b"), [*part, "_o"]).drop("_o")
+    placed = _inside(keyed, wanted.drop("_c"), digits).withColumn(
+        "_rn", F.row_number().over(Window.partitionBy(*part, "_b").orderBy("_h", "_id")))
+    hits = placed.where(F.array_contains("_at", F.col("_rn").cast("long"))).groupBy(*part).agg(
+        F.sort_array(F.collect_list(F.struct("_h", "_id"))).alias("_cuts"))
+    return hits.groupBy(F.col("_label").alias(label)).agg(F.map_from_entries(F.collect_list(F.struct("_name", "_cuts"))).alias("cuts"))
+
+
+def _inside(keyed: DataFrame, wanted: DataFrame, digits: int) -> DataFrame:
+    """Keys in the wanted ranges, with the ranks asked for."""
+    return keyed.withColumn("_b", F.substring("_h", 1, digits)).join(F.broadcast(wanted), ["_label", "_name", "_b"])
+
+
+def _ranges(counts: DataFrame, part: list[str]) -> DataFrame:
+    """Of ranges _b with their sizes _c and the ranks _at of the part they divide: those that hold a rank, written out with the ranks in them."""
+    before = F.coalesce(F.sum("_c").over(Window.partitionBy(*part).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = counts.withColumn("_lo", before)
+    own = F.transform(F.filter("_at", lambda t: (t > F.col("_lo")) & (t <= F.col("_lo") + F.col("_c"))), lambda t: t - F.col("_lo"))
+    return materialize(placed.select(*part, "_b", "_c", own.alias("_at")).where(F.size("_at") > 0), "ranges")
+
+
+def with_cutoffs(df: DataFrame, label: str, key: Column, row_id: str, ranks: Callable[[Column], Column]) -> DataFrame:
+    """Join the class cut-offs to every row as ``_cuts`` and the row's own place as ``_key``."""
+    return with_many_cutoffs(df, label, {"key": key}, row_id, ranks).withColumn("_cuts", F.col("_cuts")["key"]) \
+        .withColumnRenamed("_key_key", "_key")
+
+
+def with_many_cutoffs(df: DataFrame, label: str, keys: dict[str, Column], row_id: str, ranks: Callable[[Column], Column]) -> DataFrame:
+    """Join the cut-offs of several keys to every row as the map ``_cuts``, and its places as ``_key_<name>``: one join for all."""
+    df = _classed(df, label, row_id)
+    cuts = hash_cutoffs(df, label, keys, row_id, ranks).withColumnRenamed("cuts", "_cuts")
     return (df.join(F.broadcast(cuts), label, "left")
-            .withColumn("_key", F.struct(key.alias("_h"), F.col(row_id).alias("_id"))))
+            .withColumns({f"_key_{n}": F.struct(k.alias("_h"), F.col(row_id).alias("_id")) for n, k in keys.items()}))
 
 
-def ordered_cumsum(df: DataFrame, groups: list[str], order: str, sums: list[str],
-                   pieces: int = 64) -> DataFrame:
+def ordered_cumsum(df: DataFrame, groups: list[str], order: str, sums: list[str]) -> DataFrame:
     """Ascending cumulative sums over a table with one row per (groups, order).
 
-    Adds ``below_<s>`` (strictly smaller values) and ``total_<s>`` per group. Each group is cut
-    into ranges at the values with the smallest hashes: an even, deterministic sample whatever the
-    distribution, so a recomputed task sees the same ranges.
+    Adds ``below_<s>`` (strictly smaller values) and ``total_<s>`` per group. The table is dealt out by ranges of (groups, order)
+    and written, so a range is fixed however often it is read, and one group may lie in any number of them. If a range
+    has more than RANGE_ROWS rows, it is dealt out again into more.
     """
-    by_hash = Window.partitionBy(*groups).orderBy(F.xxhash64(order), order)
-    cuts = (df.select(*groups, order).withColumn("_rn", F.row_number().over(by_hash))
-            .where(F.col("_rn") < pieces)
-            .groupBy(*groups).agg(F.sort_array(F.collect_list(order)).alias("_cuts")))
-    # A group may hold most values: its rows meet copies of its cuts under several salts.
-    salts = 16
-    cuts = cuts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(order), F.lit(salts)).cast("int"))
-    ranged = (salted.join(cuts, [*groups, "_salt"])
-              .withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col(order))))
-              .drop("_cuts", "_salt"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    while True:
+        df = materialize(df.repartitionByRange(parts, *groups, order).withColumn("_b", F.spark_partition_id()), "ranges")
+        sizes = df.groupBy("_b").count().agg(F.sum("count").alias("n"), F.max("count").alias("most")).first()
+        if (sizes.most or 0) <= RANGE_ROWS or parts > 4 * sizes.n / RANGE_ROWS:
+            break
+        parts = max(2 * parts, 2 * sizes.n // RANGE_ROWS + 1)
+        df = df.drop("_b")
     by_group = Window.partitionBy(*groups)
     before = by_group.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (ranged.groupBy(*groups, "_b").agg(*[F.sum(s).alias(f"_s_{s}") for s in sums])
+    offsets = (df.groupBy(*groups, "_b").agg(*[F.sum(s).alias(f"_s_{s}") for s in sums])
                .select(*groups, "_b",
                        *[F.coalesce(F.sum(f"_s_{s}").over(before), F.lit(0)).alias(f"_o_{s}") for s in sums],
                        *[F.sum(f"_s_{s}").over(by_group).alias(f"total_{s}") for s in sums]))
     inside = (Window.partitionBy(*groups, "_b").orderBy(order)
               .rowsBetween(Window.unboundedPreceding, -1))
-    out = ranged.join(offsets, [*groups, "_b"])
+    out = df.join(offsets, [*groups, "_b"])
     for s in sums:
         out = out.withColumn(f"below_{s}", F.col(f"_o_{s}") + F.coalesce(F.sum(s).over(inside), F.lit(0)))
     return out.drop("_b", *[f"_o_{s}" for s in sums])

@@ -106,8 +106,8 @@ def frienemy_keep(region: Column) -> Column:
 
 
 def minority_share(region: Column) -> Column:
-    """Share of the rarer class in the region (instance hardness)."""
-    ones = F.size(F.filter(region, lambda n: n["y"] == 1)) / F.size(region)
+    """Share of the rarer class in the region (instance hardness); 0 for an empty region."""
+    ones = _safe(F.size(F.filter(region, lambda n: n["y"] == 1)).cast("double"), F.size(region))
     return F.least(ones, F.lit(1.0) - ones)
 
 
@@ -341,7 +341,7 @@ def with_weights(q: DataFrame, names: list[str]) -> DataFrame:
     """
     unknown = [n for n in names if n not in SELECTORS]
     if unknown:
-        raise ValueError(f"Unknown DES model name: {', '.join(unknown)}")
+        raise ValueError(f"no dynamic selector is called {' or '.join(unknown)}")
     kinds = sorted({SELECTORS[n][0] for n in names})
     q = q.withColumns({f"_r_{k}": described(k) for k in kinds})
     q = q.withColumns({f"_k_{k}": frienemy_keep(F.col(f"_r_{k}")) for k in kinds})

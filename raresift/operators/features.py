@@ -35,7 +35,7 @@ def column_index(df: DataFrame, wanted: list[str], label: str = "Class", row_id:
     position = {c: i for i, c in enumerate(c for c in df.columns if c not in (label, row_id))}
     missing = [c for c in wanted if c not in position]
     if missing:
-        raise ValueError(f"Columns not found: {missing}")
+        raise ValueError(f"the table has no {', '.join(missing)}")
     return {c: position[c] for c in wanted}
 
 
@@ -62,22 +62,28 @@ def standardise(df: DataFrame, columns: list[str] = SCALED_COLUMNS) -> DataFrame
 
 
 def anova_f(df: DataFrame, features: list[str], label: str = "Class") -> DataFrame:
-    """One-way ANOVA F of each feature, from one aggregate per class."""
+    """One-way ANOVA F of each feature, from one aggregate per class; missing values are left out feature by feature.
+
+    A feature that is constant in every class but differs between them has an infinite F, a constant one has none.
+    """
     parts = df.groupBy(label).agg(
-        F.count("*").cast("double").alias("n"),
+        *[F.count(c).cast("double").alias(f"n{i}") for i, c in enumerate(features)],
         *[F.avg(c).alias(f"m{i}") for i, c in enumerate(features)],
-        *[F.var_pop(c).alias(f"v{i}") for i, c in enumerate(features)])
-    cells = [F.struct(F.lit(c).alias("feature"), F.lit(i).alias("position"), F.col("n"),
-                      F.col(f"m{i}").alias("m"), F.col(f"v{i}").alias("v")) for i, c in enumerate(features)]
-    long = parts.select(F.explode(F.array(*cells)).alias("_r")).select("_r.*")
+        *[F.var_pop(c).alias(f"v{i}") for i, c in enumerate(features)],
+        *[F.min(c).cast("double").alias(f"l{i}") for i, c in enumerate(features)],
+        *[F.max(c).cast("double").alias(f"h{i}") for i, c in enumerate(features)])
+    cells = [F.struct(F.lit(c).alias("feature"), F.lit(i).alias("position"),
+                      *[F.col(f"{a}{i}").alias(a) for a in "nmvlh"]) for i, c in enumerate(features)]
+    long = parts.select(F.explode(F.array(*cells)).alias("_r")).select("_r.*").where("n > 0")
     sums = long.groupBy("feature", "position").agg(
-        F.sum("n").alias("n"), F.count("*").alias("k"), F.sum(F.col("n") * F.col("v")).alias("within"),
+        F.sum("n").alias("n"), F.count("*").alias("k"), F.sum(F.when(F.col("l") < F.col("h"), F.col("n") * F.col("v")).otherwise(0.0)).alias("within"),
+        (F.min("l") < F.max("h")).alias("varies"),
         F.sum(F.col("n") * F.col("m")).alias("total"),
         F.sort_array(F.collect_list(F.struct("m", "n"))).alias("means"))
     grand = F.col("total") / F.col("n")
     between = F.aggregate("means", F.lit(0.0), lambda a, r: a + r.n * (r.m - grand) * (r.m - grand))
     ratio = (between / (F.col("k") - 1)) / (F.col("within") / (F.col("n") - F.col("k")))
-    return sums.select("feature", "position", F.when(F.col("within") > 0, ratio).alias("f"))
+    return sums.select("feature", "position", F.when(F.col("within") > 0, ratio).when(F.col("varies"), F.lit(float("inf"))).alias("f"))
 
 
 def k_best(df: DataFrame, features: list[str], k: int = K_BEST, label: str = "Class") -> DataFrame:
@@ -144,7 +150,7 @@ def fit_feature_steps(df: DataFrame, columns: list[str], scale: list[str] = SCAL
     """Scale, keep the k best by F, then the ones an L1 logistic regression keeps."""
     missing = [c for c in scale if c not in columns]
     if missing:
-        raise ValueError(f"Columns not found: {missing}")
+        raise ValueError(f"the table has no {', '.join(missing)}")
     stats = scale_stats(df, scale)
     best = {r["feature"] for r in k_best(df, columns, k, label).collect()}
     best = [c for c in columns if c in best]

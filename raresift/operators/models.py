@@ -137,14 +137,15 @@ class NeighbourScorer:
 
 
 def neighbour_vote(region: str, weights: str = "uniform", label: str = "Class", p: int = 2) -> Column:
+    """Share of class 1 among the neighbours, NULL without any; with weights, those at distance 0 decide alone."""
     ones = lambda n: n[label] == 1
     if weights == "uniform":
-        return F.size(F.filter(region, ones)) / F.size(region)
+        return F.when(F.size(region) > 0, F.size(F.filter(region, ones)) / F.size(region))
     exact = F.filter(region, lambda n: n["dist"] == 0)
     length = lambda n: F.sqrt(n["dist"]) if p == 2 else n["dist"]
     total = lambda keep: F.aggregate(F.filter(region, keep), F.lit(0.0), lambda a, n: a + F.lit(1.0) / length(n))
-    return F.when(F.size(exact) > 0, F.size(F.filter(exact, ones)) / F.size(exact)).otherwise(
-        total(ones) / total(lambda n: F.lit(True)))
+    return F.when(F.size(exact) > 0, F.size(F.filter(exact, ones)) / F.size(exact)).when(
+        F.size(region) > 0, total(ones) / total(lambda n: F.lit(True)))
 
 
 def unpack(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -185,7 +186,7 @@ class BaseModel:
 
     def forest(self, trees: int, bootstrap: bool, weight: str | None, seed: int, rate: float = 1.0) -> RandomForestClassifier:
         rf = RandomForestClassifier(
-            featuresCol="features", labelCol="_y", numTrees=trees, maxDepth=min(int(self.get("max_depth", 5)), 20),
+            featuresCol="features", labelCol="_y", numTrees=trees, maxDepth=_depth(self.get("max_depth", 5)),
             minInstancesPerNode=int(self.get("min_samples_leaf", 1)), minInfoGain=float(self.get("min_impurity_decrease", 0.0)),
             featureSubsetStrategy=_subset(self.get("max_features", "sqrt")), bootstrap=bootstrap, subsamplingRate=rate, seed=seed)
         return rf.setWeightCol(weight) if weight else rf
@@ -291,6 +292,13 @@ def _boost(m: BaseModel, df, under: bool):
     return StumpScorer(stumps)
 
 
+def _depth(value) -> int:
+    """Depth of a tree; what Spark cannot build is an error, not a smaller tree."""
+    if not 0 <= int(value) <= 30:
+        raise ValueError(f"trees can be 0 to 30 levels deep, not {value}")
+    return int(value)
+
+
 def _ada(m, df):
     return _boost(m, df, False)
 
@@ -301,8 +309,9 @@ def _rus(m, df):
 
 def _gbt(m: BaseModel, **kw) -> GBTClassifier:
     return GBTClassifier(featuresCol="features", labelCol="_y", maxIter=int(m.get("n_estimators", 100)),
-                         maxDepth=min(int(m.get("max_depth", 3)), 20), stepSize=float(m.get("learning_rate", 0.1)),
-                         minInstancesPerNode=int(m.get("min_samples_leaf", m.get("min_child_weight", 1))), seed=m.seed, **kw)
+                         maxDepth=_depth(m.get("max_depth", 3)), stepSize=float(m.get("learning_rate", 0.1)),
+                         minInstancesPerNode=int(m.get("min_samples_leaf", m.get("min_child_weight", 1))),
+                         minInfoGain=float(m.get("min_impurity_decrease", 0.0)), seed=m.seed, **kw)
 
 
 def _logit_boost(m: BaseModel, df):
@@ -316,15 +325,13 @@ def _xgb(m: BaseModel, df):
     share = min(float(m.get("colsample_bytree", 1.0)), 1.0)
     base = BaseModel(m.name, {"max_depth": 6, "learning_rate": 0.3, **m.params}, m.seed, m.label, m.row_id)
     return MLScorer(_gbt(base, weightCol="_w", subsamplingRate=min(float(m.get("subsample", 1.0)), 1.0),
-                         featureSubsetStrategy="all" if share >= 1 else str(round(share, 4)),
-                         minInfoGain=float(m.get("gamma", 0.0)) / 1000).fit(data))
+                         featureSubsetStrategy="all" if share >= 1 else str(round(share, 4))).fit(data))
 
 
 def _mlp(m: BaseModel, df):
     layers = [_width(df), *[int(v) for v in m.get("hidden_layer_sizes", (50,))], 2]
     data = df.withColumn("_y", F.col(m.label).cast("double"))
-    return MLScorer(MultilayerPerceptronClassifier(featuresCol="features", labelCol="_y", layers=layers, maxIter=int(m.get("max_iter", 100)),
-                                                   stepSize=float(m.get("learning_rate_init", 0.03)), seed=m.seed).fit(data))
+    return MLScorer(MultilayerPerceptronClassifier(featuresCol="features", labelCol="_y", layers=layers, maxIter=int(m.get("max_iter", 100)), seed=m.seed).fit(data))
 
 
 @dataclass
@@ -394,5 +401,5 @@ _FITS = {
 
 def make_base_model(name: str, params: dict | None = None, seed: int = 42, label: str = "Class", row_id: str = "row_id") -> BaseModel:
     if name not in _FITS:
-        raise ValueError(f"Unknown model name: {name}")
+        raise ValueError(f"there is no base model called {name}")
     return BaseModel(name, dict(params or {}), seed, label, row_id)

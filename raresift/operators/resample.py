@@ -284,7 +284,7 @@ def resampler(name: str, seed=42) -> Step:
     """Resampler by name; an unknown name is an error."""
     known = {**TECHNIQUES, **EXPERIMENT_RESAMPLERS}
     if name not in known:
-        raise ValueError(f"Unknown resampler '{name}'. Available: {list(known)}")
+        raise ValueError(f"no resampler is called {name}; there are {', '.join(known)}")
     return lambda df, features, **kw: known[name](df, features, **{"seed": seed, **kw})
 
 

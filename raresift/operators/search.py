@@ -80,13 +80,23 @@ SPACES: dict[str, dict[str, Param]] = {
     },
     "MLPClassifier": {"hidden_layer_sizes": choice((50,), (100,), (100, 50)), "alpha": log(1e-5, 1e-2), "learning_rate_init": log(1e-4, 1e-2)},
 }
-# Parameters of the original estimators that pyspark.ml has no counterpart for.
+# Parameters of the original estimators that have no effect here: pyspark.ml has no counterpart for them.
 IGNORED = {"min_samples_split", "max_leaf_nodes", "ccp_alpha", "reg_alpha", "reg_lambda", "max_delta_step", "alpha"}
+IGNORED_BY = {"MLPClassifier": {"learning_rate_init"}, "XGBClassifier": {"gamma"}}
+
+
+def ignored(name: str, params: dict) -> set[str]:
+    """Names of the given parameters that the model does not use."""
+    out = (IGNORED | IGNORED_BY.get(name, set())) & set(params)
+    if name == "SVC":  # each kernel has its own
+        unused = {"rbf": {"degree"}, "poly": {"gamma"}, "linear": {"gamma", "degree"}}
+        out |= unused[params.get("kernel", "rbf")] & set(params)
+    return out
 
 
 def space_of(name: str) -> dict[str, Param]:
     if name not in SPACES:
-        raise ValueError(f"Unknown model name: {name}")
+        raise ValueError(f"no search space for a model called {name}")
     return SPACES[name]
 
 
@@ -95,8 +105,10 @@ def draw(space: dict[str, Param], n: int, seed) -> list[dict]:
     return [{k: p.draw(rng) for k, p in space.items()} for _ in range(n)]
 
 
-def reported(params: dict) -> dict[str, str]:
-    return {(f"ignored_{k}" if k in IGNORED else k): str(v) for k, v in params.items()}
+def reported(name: str, params: dict) -> dict[str, str]:
+    """Parameters as text; those without effect are named so."""
+    unused = ignored(name, params)
+    return {(f"ignored_{k}" if k in unused else k): str(v) for k, v in params.items()}
 
 
 @dataclass
@@ -210,7 +222,7 @@ def tuning_row(search: Search) -> dict:
     (tm, ts), (vm, vs) = _mean_std(search.train_scores), _mean_std(search.val_scores)
     indices, names = search.best.steps.selected_features()
     return {"cv_tuning_mean_train_score": tm, "cv_tuning_std_train_score": ts, "cv_tuning_mean_val_score": vm,
-            "cv_tuning_std_val_score": vs, "best_params": reported(search.params), "tuning_time": search.seconds,
+            "cv_tuning_std_val_score": vs, "best_params": reported(search.best.name, search.params), "tuning_time": search.seconds,
             "selected_features_indices": indices, "selected_features_names": names}
 
 

@@ -11,40 +11,43 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from raresift.functions.hashing import hash_key
-from raresift.functions.ranks import with_cutoffs
+from raresift.functions.ranks import with_many_cutoffs
 
 
-def _position() -> Column:
+def _position(cuts: Column, key: str) -> Column:
     """How many cut-offs lie strictly before the row.
 
     Sorted in rather than compared in a lambda, which would hash the row again for every cut-off.
     """
-    placed = F.array_sort(F.array_append("_cuts", F.col("_key")))
-    return F.coalesce(F.array_position(placed, F.col("_key")) - 1, F.lit(0))
+    placed = F.array_sort(F.array_append(cuts, F.col(key)))
+    return F.coalesce(F.array_position(placed, F.col(key)) - 1, F.lit(0)).cast("int")
 
 
-def stratified_folds(df: DataFrame, k: int, seed, label: str = "Class", row_id: str = "row_id",
-                     name: str = "fold", base: DataFrame | None = None) -> DataFrame:
-    """Add a fold number 0..k-1; within each class fold sizes differ by at most one."""
-    if k < 2:
-        return df.withColumn(name, F.lit(0))
+def _fold_ends(k: int):
+    # Distinct, because a class with fewer than k rows gives equal ends.
+    return lambda n: F.array_distinct(F.transform(
+        F.sequence(F.lit(1), F.lit(k - 1)), lambda j: F.ceil(j * n / F.lit(k)).cast("long")))
 
-    def ends(n: Column) -> Column:
-        # Distinct, because a class with fewer than k rows gives equal ends.
-        return F.array_distinct(F.transform(
-            F.sequence(F.lit(1), F.lit(k - 1)), lambda j: F.ceil(j * n / F.lit(k)).cast("long")))
 
-    placed = with_cutoffs(df, label, hash_key(seed, row_id), row_id, ends, base)
-    return placed.withColumn(name, _position().cast("int")).drop("_cuts", "_key")
+def stratified_folds(df: DataFrame, k: int, seed, label: str = "Class", row_id: str = "row_id",
+                     name: str = "fold") -> DataFrame:
+    """Add a fold number 0..k-1; within each class fold sizes differ by at most one. A null class is an error."""
+    return _folds(df, k, {name: seed}, label, row_id)
 
 
 def repeated_folds(df: DataFrame, k: int, repeats: int, seed: int, label: str = "Class",
                    row_id: str = "row_id") -> DataFrame:
-    """Fold numbers of several repeats as columns fold_0, fold_1, ..."""
-    base = df
-    for r in range(repeats):
-        df = stratified_folds(df, k, seed + r, label, row_id, f"fold_{r}", base)
-    return df
+    """Fold numbers of several repeats as columns fold_0, fold_1, ...; the table is read three times, however many."""
+    return _folds(df, k, {f"fold_{r}": seed + r for r in range(repeats)}, label, row_id)
+
+
+def _folds(df: DataFrame, k: int, seeds: dict, label: str, row_id: str) -> DataFrame:
+    if k < 2:
+        return df.withColumns({n: F.lit(0) for n in seeds})
+    keys = {n: hash_key(s, row_id) for n, s in seeds.items()}
+    placed = with_many_cutoffs(df, label, keys, row_id, _fold_ends(k))
+    placed = placed.withColumns({n: _position(F.col("_cuts")[n], f"_key_{n}") for n in seeds})
+    return placed.drop("_cuts", *[f"_key_{n}" for n in seeds])
 
 
 def run_position(run: int, k: int) -> tuple[int, int]:
@@ -52,32 +55,29 @@ def run_position(run: int, k: int) -> tuple[int, int]:
     return divmod(run, k)
 
 
-def _first(df: DataFrame, share: Column | float, seed, label: str, row_id: str, name: str,
-           base: DataFrame | None = None) -> DataFrame:
+def _first(df: DataFrame, share: Column | float, seeds: dict, label: str, row_id: str) -> DataFrame:
+    """Mark the first round(share * n_c) rows of every class in the order of each seed."""
     quota = lambda n: F.array(F.round(F.lit(share) * n).cast("long"))
-    placed = with_cutoffs(df, label, hash_key(seed, row_id), row_id, quota, base)
-    taken = F.coalesce(F.col("_key") <= F.col("_cuts")[0], F.lit(False))
-    return placed.withColumn(name, taken).drop("_cuts", "_key")
+    placed = with_many_cutoffs(df, label, {n: hash_key(s, row_id) for n, s in seeds.items()}, row_id, quota)
+    placed = placed.withColumns({n: F.coalesce(F.col(f"_key_{n}") <= F.col("_cuts")[n][0], F.lit(False)) for n in seeds})
+    return placed.drop("_cuts", *[f"_key_{n}" for n in seeds])
 
 
 def holdout(df: DataFrame, share: float, seed, label: str = "Class", row_id: str = "row_id",
             name: str = "held_out") -> DataFrame:
     """Mark round(share * n_c) rows of every class."""
-    return _first(df, share, seed, label, row_id, name)
+    return _first(df, share, {name: seed}, label, row_id)
 
 
 def shuffle_splits(df: DataFrame, share: float, n_splits: int, seed: int, label: str = "Class",
                    row_id: str = "row_id") -> DataFrame:
     """Independent stratified validation marks val_0, val_1, ..."""
-    base = df
-    for s in range(n_splits):
-        df = _first(df, share, f"{seed}v{s}", label, row_id, f"val_{s}", base)
-    return df
+    return _first(df, share, {f"val_{s}": f"{seed}v{s}" for s in range(n_splits)}, label, row_id)
 
 
 def resource_rung(df: DataFrame, share: float, seed, label: str = "Class", row_id: str = "row_id") -> DataFrame:
     """Rows of a halving rung; a larger share holds every row of a smaller one."""
-    return _first(df, share, f"{seed}r", label, row_id, "_in").where("_in").drop("_in")
+    return _first(df, share, {"_in": f"{seed}r"}, label, row_id).where("_in").drop("_in")
 
 
 def with_roles(df: DataFrame, fold: int, dsel_share: float, seed, fold_column: str = "fold",

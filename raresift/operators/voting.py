@@ -30,7 +30,7 @@ def select_pool(df: DataFrame, names: list[str], pool: list[str]) -> DataFrame:
     """Keep the scores of a pool's members, in the pool's order; unknown members are an error."""
     unknown = sorted(set(pool) - set(names))
     if unknown:
-        raise ValueError(f"Pool has undefined base models: {unknown}")
+        raise ValueError(f"the pool names models without scores: {', '.join(unknown)}")
     return df.withColumn("p", F.array(*[F.col("p")[names.index(m)] for m in pool]))
 
 
@@ -56,7 +56,7 @@ def static_vote(name: str, df: DataFrame, weights: list[float] | None = None) ->
         return soft_vote(df)
     if name == "VotingClassifier_weighted":
         return weighted_vote(df, weights) if weights else soft_vote(df)
-    raise ValueError(f"Unknown static ensemble model name: {name}")
+    raise ValueError(f"no static ensemble is called {name}")
 
 
 def stacked(dsel: DataFrame, q: DataFrame, label: str = "Class") -> DataFrame:

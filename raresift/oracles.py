@@ -233,6 +233,17 @@ def tomek(src: str, out: str, features: list[str], remove: str = "majority") ->
         f"{out} AS (SELECT * FROM {src} WHERE row_id NOT IN ({gone}))"])
 
 
+def tomek_rare(src: str, out: str, features: list[str]) -> str:
+    """As ``tomek``, from the minority rows and the rows nearest to them, which are the only ones that can be linked."""
+    return ", ".join([
+        f"{out}_r AS (SELECT * FROM {src} WHERE Class = 1)",
+        knn(f"{out}_r", src, 1, features, f"{out}_a", True),
+        f"{out}_c AS (SELECT * FROM {src} WHERE Class = 0 AND row_id IN (SELECT id FROM {out}_a))",
+        knn(f"{out}_c", src, 1, features, f"{out}_b", True),
+        f"""{out} AS (SELECT * FROM {src} WHERE row_id NOT IN (
+    SELECT b.q FROM {out}_a a JOIN {out}_b b ON a.id = b.q AND b.id = a.q))"""])
+
+
 def ncr(src: str, out: str, features: list[str], k: int = 3) -> str:
     return ", ".join([
         knn(src, src, k, features, f"{out}_nn", True),
@@ -368,21 +379,38 @@ def _answers(weights: str) -> str:
 FINAL = "SELECT row_id, round(p1, 6) AS p1, CAST(p1 > 0.5 AS INT) AS pred FROM fin"
 
 
-def selector(name: str) -> str:
+def selector(name: str, final: str = FINAL) -> str:
     table = f", bt0 AS (SELECT {_BETA} AS bt)" if name == "RRC" else ""
     src = "rg, bt0" if name == "RRC" else "rg"
     comp = f"cm AS (SELECT q, j, {COMPETENCE[name]} AS comp FROM {src} GROUP BY q, j)"
     weights = f"wt AS (SELECT q, j, {SELECTION[name]} AS wt FROM cm JOIN kp USING (q, j))"
-    return sql(f"{dynamic_tables(kind=KIND[name])}{table}, {_prune(name != 'DESKL')}, {comp}, {_answers(weights)}", FINAL)
+    return sql(f"{dynamic_tables(kind=KIND[name])}{table}, {_prune(name != 'DESKL')}, {comp}, {_answers(weights)}", final)
+
+
+def gated(name: str, rate: float) -> str:
+    """Rows the pool disagrees on: easy plain regions answer themselves, others by the selector."""
+    share = sql(dynamic_tables(kind="plain"), "SELECT q AS row_id, avg(y) AS s FROM nb GROUP BY q")
+    return f"""SELECT row_id, round(p1, 6) AS p1, CAST(p1 > 0.5 AS INT) AS pred FROM (
+  SELECT row_id, CASE WHEN least(s, 1 - s) < {rate} THEN s ELSE p1 END AS p1
+  FROM ({selector(name, "SELECT row_id, p1 FROM ans")}) v JOIN ({share}) r USING (row_id))"""
+
+
+def every_selector() -> str:
+    """Metrics of every region selector over all rows outside the selection set."""
+    plain = "SELECT row_id, p1 FROM fin"
+    answers = {**{n: selector(n, plain) for n in SELECTION}, "DESKNN": desknn(plain)}
+    union = " UNION ALL ".join(f"SELECT '{n}' AS model, row_id, round(p1, 9) AS p1 FROM ({q})" for n, q in answers.items())
+    tables, select = all_metrics("ml", ["model"])
+    return sql(f"{TF}, al AS ({union}), ml AS (SELECT model, p1, CAST(p1 > 0.5 AS INT) AS pred, Class AS y FROM al JOIN tf USING (row_id)), {tables}", select)
 
 
-def desknn() -> str:
+def desknn(final: str = FINAL) -> str:
     n, m = SIZE // 2, math.ceil(SIZE * 0.3)
     weights = f"""rw AS (SELECT *, sum(1 - c) OVER (PARTITION BY q, rank) AS wrong FROM rg),
   cm AS (SELECT q, j, avg(c) AS acc, sum((1 - c) * (wrong - 1)) AS err FROM rw GROUP BY q, j),
   top AS (SELECT q, j, err, row_number() OVER (PARTITION BY q ORDER BY acc DESC, j) AS ra FROM cm JOIN kp USING (q, j) WHERE keep),
   wt AS (SELECT q, j, CASE WHEN row_number() OVER (PARTITION BY q ORDER BY err, j) <= {m} THEN 1 ELSE 0 END AS wt FROM top WHERE ra <= {n})"""
-    return sql(f"{dynamic_tables()}, {_prune(True)}, {_answers(weights)}", FINAL)
+    return sql(f"{dynamic_tables()}, {_prune(True)}, {_answers(weights)}", final)
 
 
 def desclustering(clusters: int = 5, seed="7c") -> str:

@@ -16,7 +16,7 @@ from raresift.operators.features import column_index
 from raresift.operators.search import Search, cross_validate, fit_model, halving_search, tuning_row
 from raresift.sources.model_store import load_model
 from raresift.sources.storage import materialize
-from raresift.sources.tables import append_results, require_columns
+from raresift.sources.tables import append_results, finished_runs, require_columns
 
 
 @dataclass
@@ -48,11 +48,11 @@ class Settings:
         for name, members in self.pools.items():
             unknown = sorted(set(members) - set(self.models))
             if unknown:
-                raise ValueError(f"Pool {name} has undefined base models: {unknown}")
+                raise ValueError(f"pool {name} names models that are not trained: {', '.join(unknown)}")
         known = set(dynamic.SELECTORS) | {"DESClustering", "METADES", "StackedClassifier"}
         unknown = sorted(set(self.dynamic) - known)
         if unknown:
-            raise ValueError(f"Unknown DES model name: {', '.join(unknown)}")
+            raise ValueError(f"no dynamic selector is called {' or '.join(unknown)}")
 
 
 def fit_base(train: DataFrame, name: str, features: list[str], cfg: Settings) -> Search:
@@ -165,13 +165,17 @@ def run_once(df: DataFrame, features: list[str], run: int, cfg: Settings) -> tup
 
 
 def run_experiment(df: DataFrame, features: list[str], cfg: Settings, path: str, run_id: str) -> DataFrame:
-    """All outer runs; each run's rows are appended to the results table, so finished runs are kept."""
+    """All outer runs; each run's rows go to the results table when it is done, and a second start goes on after them."""
     cfg.check()
     require_columns(df, [cfg.row_id, cfg.label, *features])
     column_index(df, [c for c in cfg.scale if c in features or c in config.SCALED_COLUMNS], cfg.label, cfg.row_id)
     spark = df.sparkSession
     planned = materialize(splits.repeated_folds(df, cfg.splits, cfg.repeats, cfg.seed, cfg.label, cfg.row_id), "folds")
+    done = finished_runs(spark, path, run_id)
     for run in cfg.runs if cfg.runs is not None else range(cfg.splits * cfg.repeats):
+        repeat, fold = splits.run_position(run, cfg.splits)
+        if (repeat + 1, fold + 1) in done:
+            continue
         store, _ = run_once(planned, features, run, cfg)
         append_results(store, path, run_id)
     return spark.read.option("mergeSchema", True).parquet(path).where(F.col("run_id") == run_id)

@@ -383,7 +383,7 @@ def _gated(s, d):
     return _answer(dynamic.hardness_gate(_region(s, d), "KNORAU", 0.3, "plain"))
 
 
-add("d0e_hardness_gate", _gated)
+add("d0e_hardness_gate", _gated, O.gated("KNORAU", 0.3))
 for _i, _n in enumerate(["OLA", "LCA", "MLA", "APriori", "APosteriori", "KNORAE", "KNORAU", "DESP"], 1):
     add(f"d{_i}_{_n.lower()}", _dynamic(_n), O.selector(_n))
 add("d9_desknn", _dynamic("DESKNN"), O.desknn())
@@ -410,10 +410,12 @@ add("d16_metades", _meta)
 def _every_selector(s, d):
     dsel, q = _dsel_and_queries(s, d)
     out = dynamic.dynamic_select(q, dsel, dynamic.REGION_SELECTORS, len(V.POOL), V.TXN_FEATURES)
-    return rounded(metrics.metrics(out.withColumnRenamed("Class", "y"), ["model"]))
+    # sums of floating-point numbers differ in the last digits with their order; equal scores must stay equal
+    out = out.withColumn("p1", F.round("p1", 9)).withColumnRenamed("Class", "y")
+    return rounded(metrics.metrics(out, ["model"]))
 
 
-add("d_all_selectors", _every_selector)
+add("d_all_selectors", _every_selector, O.every_selector())
 
 # --- resampling -----------------------------------------------------------------------------------------------------
 
@@ -456,7 +458,7 @@ add("r5_borderline_smote", _on_txn(resample.resampler("BorderlineSMOTE")), _txn_
 add("r6_enn", _on_vec(resample.resampler("EditedNearestNeighbours")), _vec_sql(O.enn("t0", "out", V.VEC_FEATURES)))
 add("r6_enn_txn", _on_txn(resample.resampler("EditedNearestNeighbours")))
 add("r7_tomek", _on_vec(resample.tomek), _vec_sql(O.tomek("t0", "out", V.VEC_FEATURES)))
-add("r7_tomek_txn", _on_txn(resample.tomek))
+add("r7_tomek_txn", _on_txn(resample.tomek), _txn_sql(O.tomek_rare("t0", "out", V.TXN_FEATURES)))
 add("r8_smote_enn", _on_vec(resample.resampler("SMOTEENN")),
     _vec_sql(O.smote("t0", "t1", V.VEC_FEATURES, 42), O.enn("t1", "out", V.VEC_FEATURES, classes="all")))
 add("r9_smote_tomek", _on_vec(resample.resampler("SMOTETomek")),
@@ -469,8 +471,14 @@ add("r13_under_0_005", lambda s, d: _rows(resample.resampler("Under_0.005")(rare
     O.sql(", ".join([O.RARE, O.origin("rf", "t0"), O.under("t0", "out", 0.005, 42)]), _TXN_OUT))
 add("r13_under20_smoteenn", _on_vec(resample.resampler("Under20_SMOTEENN")),
     _vec_sql(O.under("t0", "t1", 0.20, 42), O.smote("t1", "t2", V.VEC_FEATURES, 42), O.enn("t2", "out", V.VEC_FEATURES, classes="all")))
-add("r13_under05_smoteenn_txn", _on_txn(resample.resampler("Under05_SMOTEENN")))
-add("r13_under10_smoteenn_txn", _on_txn(resample.resampler("Under10_SMOTEENN")))
+
+
+def _under_smoteenn(ratio):
+    return _txn_sql(O.under("t0", "t1", ratio, 42), O.smote("t1", "t2", V.TXN_FEATURES, 42), O.enn("t2", "out", V.TXN_FEATURES, classes="all"))
+
+
+add("r13_under05_smoteenn_txn", _on_txn(resample.resampler("Under05_SMOTEENN")), _under_smoteenn(0.05))
+add("r13_under10_smoteenn_txn", _on_txn(resample.resampler("Under10_SMOTEENN")), _under_smoteenn(0.10))
 add("r13_oss_smote", _on_vec(resample.resampler("OSS_SMOTE")),
     _vec_sql(O.oss("t0", "t1", V.VEC_FEATURES, 42), O.smote("t1", "out", V.VEC_FEATURES, 42)))
 add("r13_tomek_smote", _on_vec(resample.resampler("Tomek_SMOTE")),

@@ -29,13 +29,13 @@ def require_source(spark: SparkSession, path: str) -> None:
     fs = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
     found = fs.globStatus(hadoop_path)
     if found is None or len(found) == 0:
-        raise FileNotFoundError(f"The file {path} does not exist.")
+        raise FileNotFoundError(f"nothing to read at {path}")
 
 
 def require_columns(df: DataFrame, columns: list[str]) -> DataFrame:
     missing = [c for c in columns if c not in df.columns]
     if missing:
-        raise ValueError(f"Columns not found: {missing}")
+        raise ValueError(f"the table has no {', '.join(missing)}")
     return df
 
 
@@ -70,8 +70,10 @@ def load_csv(spark: SparkSession, path: str, delimiter: str = ",", encoding: str
 
 
 def _numeric_types(df: DataFrame, columns: list[str]) -> dict:
-    """bigint if all present values are whole numbers, double if all are numbers, else string."""
-    row = df.agg(*[F.bool_and(F.col(c).rlike(r"^\s*[+-]?\d{1,18}\s*$")).alias(f"i{i}") for i, c in enumerate(columns)],
+    """bigint, or decimal beyond it, if no value is missing and all are whole numbers; double if all are numbers, else string."""
+    whole = [F.col(c).rlike(r"^\s*[+-]?\d+\s*$") for c in columns]
+    row = df.agg(*[F.bool_and(w & F.expr(f"try_cast(trim(`{c}`) as bigint)").isNotNull()).alias(f"i{i}") for i, (c, w) in enumerate(zip(columns, whole))],
+                 *[F.bool_and(w & F.expr(f"try_cast(trim(`{c}`) as decimal(38, 0))").isNotNull()).alias(f"w{i}") for i, (c, w) in enumerate(zip(columns, whole))],
                  *[F.bool_and(F.expr(f"try_cast(`{c}` as double)").isNotNull() | F.col(c).isNull()).alias(f"d{i}")
                    for i, c in enumerate(columns)],
                  *[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)],
@@ -80,6 +82,8 @@ def _numeric_types(df: DataFrame, columns: list[str]) -> dict:
     for i, c in enumerate(columns):
         if row[f"n{i}"] and row[f"i{i}"] and not row[f"m{i}"]:
             out[c] = T.LongType()
+        elif row[f"n{i}"] and row[f"w{i}"] and not row[f"m{i}"]:
+            out[c] = T.DecimalType(38, 0)
         else:
             out[c] = T.DoubleType() if row[f"d{i}"] else T.StringType()
     return out
@@ -109,9 +113,27 @@ def new_run_id(resampler: str | None = None) -> str:
 
 
 def append_results(df: DataFrame, path: str, run_id: str) -> None:
-    """Append metric rows to the results table, partitioned by run and split."""
-    (df.withColumn("run_id", F.lit(run_id)).write.mode("append")
-     .partitionBy("run_id", "split").parquet(path))
+    """Put metric rows into the results table, partitioned by run, split, iteration and fold (those it has).
+
+    The partitions that the rows belong to are replaced, so writing the same rows again changes nothing.
+    """
+    parts = ["run_id", "split", *[c for c in ("iteration", "fold") if c in df.columns]]
+    (df.withColumn("run_id", F.lit(run_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(*parts).parquet(path))
+
+
+def finished_runs(spark: SparkSession, path: str, run_id: str) -> set[tuple[int, int]]:
+    """(iteration, fold) of the runs whose rows of both splits are in the results table."""
+    try:
+        require_source(spark, path)
+    except FileNotFoundError:
+        return set()
+    rows = spark.read.option("mergeSchema", True).parquet(path).where(F.col("run_id") == run_id) \
+        .select("iteration", "fold", "split").distinct().collect()
+    seen: dict[tuple[int, int], set] = {}
+    for r in rows:
+        seen.setdefault((int(r["iteration"]), int(r["fold"])), set()).add(r["split"])
+    return {k for k, v in seen.items() if {"test", "resubstitution"} <= v}
 
 
 def export_results(spark: SparkSession, path: str, out: str) -> None:
