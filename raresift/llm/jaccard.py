@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -16,6 +16,10 @@ from raresift.llm.words import Words, mix, shingle_sets, slices
 
 FRAGMENTS = 8  # cuts of the n-gram order for counting overlaps
 ENTRIES = 1 << 20  # prefix entries per bucket and per flush of a task
+PROFILE = 64  # fragments of the n-gram order in a set's profile
+LIST = 512  # about so many sets in a list of one n-gram
+OWN_LIST = 64  # a component with so many sets under an n-gram has lists of its own
+SHARED = -(1 << 63)  # stands for the components that share lists
 LISTED = 1 << 22  # at most so many ids (32 MB) are broadcast to filter a scan
 
 
@@ -168,79 +172,134 @@ def _overlaps(pairs: DataFrame, segments: DataFrame, num: int, den: int) -> Data
         .filter(F.col("common") * den >= (F.col("na") + F.col("nb") - F.col("common")) * num).select("a", "b")
 
 
-def _labelled(keys: DataFrame, links: DataFrame | None) -> DataFrame:
-    """Prefix entries with their set's component so far."""
-    if links is None:
-        return keys.withColumn("comp", F.col("sid"))
-    comps = connected_components(links).withColumnRenamed("id", "sid")
-    return keys.join(comps, "sid", "left").withColumn("comp", F.coalesce("component_id", "sid")).drop("component_id")
-
-
 def _fits(a: Column, b: Column, num: int, den: int) -> Column:
     return F.least(a, b) * den >= F.greatest(a, b) * num
 
 
-def similar_sets(docs: DataFrame, reps: DataFrame, k: int, num: int, den: int, buckets: int, stars: int = 3) -> DataFrame:
-    """Links (a, b) between different sets that connect exactly the sets which links at the threshold connect.
+def _described(kept: DataFrame) -> DataFrame:
+    """(sid, n, c, profile, prefix) of sets given with their frequency-ordered common n-grams: how many those are, their numbers
+    in ``PROFILE`` fragments of the n-gram order (a byte each, at most 255), and the prefix. N-grams of one set come first and are left out."""
+    def run(batches):
+        for b in batches:
+            g = b.column("g")
+            at = g.offsets.to_numpy().astype(np.int64) - g.offsets[0].as_py()
+            h = g.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            n, c, need = b.column("n").to_numpy(), np.diff(at), b.column("need").to_numpy()
+            row = np.repeat(np.arange(len(c)), c)
+            cell = row * PROFILE + (h >> np.uint64(64 - (PROFILE - 1).bit_length())).astype(np.int64)
+            sizes = np.minimum(np.bincount(cell, minlength=len(c) * PROFILE), 255).astype(np.uint8).reshape(len(c), PROFILE)
+            take = np.clip(n - need + 1 - (n - c), 0, c)
+            first = np.arange(len(h)) - np.repeat(at[:-1], c) < take[row]
+            prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(take)]), pa.int32()), pa.array(h[first].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column("sid"), b.column("n"), pa.array(c, pa.int64()), pa.array([x.tobytes() for x in sizes], pa.binary()), prefix],
+                                             names=["sid", "n", "c", "profile", "prefix"])
+
+    return kept.mapInArrow(run, "sid long, n long, c long, profile binary, prefix array<long>")
+
+
+def _possible(lists: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b, na, nb), a < b, of sets in two lists x1 and x2, of different components, that sizes and profiles allow to link.
+
+    Sets have no more in common than the smaller number of each fragment, summed; where a number is 255 it may be more, so there the smaller
+    count of all common n-grams is the bound.
+    """
+    def arrays(x):
+        s = x.values
+        profile = np.frombuffer(b"".join(s.field("profile").to_pylist()), np.uint8).reshape(-1, PROFILE).astype(np.int16)
+        return (*(s.field(f).to_numpy() for f in ("sid", "n", "c", "comp")), profile, (profile == 255).any(axis=1))
+
+    def run(batches):
+        for batch in batches:
+            for one, two in zip(batch.column("x1"), batch.column("x2")):
+                (i, n, c, e, p, full), (j, m, d, f, q, full_2) = arrays(one), arrays(two)
+                bound = np.minimum(c[:, None], d[None, :])
+                total = n[:, None] + m[None, :]
+                u, v = np.nonzero(((den + num) * bound >= num * total) & (e[:, None] != f[None, :]))
+                keep = np.zeros(len(u), bool)
+                for at in range(0, len(u), 1 << 15):
+                    r, t = u[at:at + (1 << 15)], v[at:at + (1 << 15)]
+                    shared = np.minimum(p[r], q[t]).sum(axis=1, dtype=np.int64)
+                    keep[at:at + (1 << 15)] = ((den + num) * shared >= num * total[r, t]) | full[r] | full_2[t]
+                u, v = u[keep], v[keep]
+                low = i[u] < j[v]
+                a, b, na, nb = (np.where(low, x, y) for x, y in ((i[u], j[v]), (j[v], i[u]), (n[u], m[v]), (m[v], n[u])))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a, b, na, nb)], names=["a", "b", "na", "nb"])
+
+    return lists.select("x1", "x2").mapInArrow(run, "a long, b long, na long, nb long").distinct()
+
+
+def similar_sets(docs: DataFrame, reps: DataFrame, k: int, num: int, den: int, buckets: int) -> DataFrame:
+    """Components (id, component_id) of the sets under links at the threshold; sets without a link may be missing.
 
     1. Sets whose prefix hardly occurs elsewhere drop out (``_repeated``).
     2. N-grams of the rest are counted; those of one set only can be in no overlap. A set with too few others drops out. The rest,
        ordered by frequency, give the prefix: linked sets share an n-gram of their prefixes.
-    3. Per prefix n-gram, every set is compared with one leader, in ``stars`` rounds with other leaders; then all pairs in
-       different components are. Pairs inside a component need no comparison, so a group of n copies costs about n
-       comparisons, and none of its links matters to the result.
+    3. Per prefix n-gram every set is compared with three leaders, the first of which has the fewest n-grams of its own, so
+       that edited copies link with it first of all; what links becomes components. Then all pairs of sets in different
+       components are looked at in lists of bounded length, and those whose profiles allow a link are compared. Pairs inside a component need no
+       comparison, so a group of n near copies costs about n of them, and no link that matters to a component is lost.
     Overlaps are counted per fragment of the n-gram order and summed per pair.
     """
-    spark = docs.sparkSession
     found = _repeated(docs, k, num, den, buckets)
     smallest = F.expr(f"({num} * n + {den - 1}) div {den}")
     least = F.expr(f"greatest(1, (low - ({num} * low + {den - 1}) div {den} + 1) div 2)")
-    wanted = (found.join(reps, "sid").withColumn("low", smallest).filter(F.col("common") >= least).select("sid", "doc_id", "n"))
+    wanted = found.join(reps, "sid").withColumn("low", smallest).filter(F.col("common") >= least).select("sid", "doc_id", "n")
     wanted = materialize(wanted, "join-wanted")
     sets = materialize(_fetch(docs, wanted, k), "join-sets")
 
-    grams = sets.select("sid", F.explode("h").alias("h"))
+    grams = sets.select("sid", "n", F.explode("h").alias("h"))
     often = grams.groupBy("h").count().filter("count > 1")
-    common = grams.join(often, "h")
-    kept = common.groupBy("sid").agg(F.array_sort(F.collect_list(F.struct("count", "h"))).alias("g")) \
-        .join(sets.select("sid", "n"), "sid").withColumn("need", smallest).filter(F.size("g") >= F.col("need"))
+    kept = grams.join(often, "h").groupBy("sid", "n").agg(F.array_sort(F.collect_list(F.struct("count", "h"))).alias("g")) \
+        .withColumn("need", smallest).filter(F.size("g") >= F.col("need"))
     kept = materialize(kept.select("sid", "n", "need", F.col("g.h").alias("g")), "join-kept")
-    # prefix: the n-grams of one set come first and are left out
-    prefix = F.expr("slice(g, 1, greatest(cast(n - need + 1 - (n - size(g)) as int), 0))")
-    keys = materialize(kept.select("sid", "n", F.explode(prefix).alias("h")), "join-keys")
     shift = 64 - (FRAGMENTS - 1).bit_length()
-    segments = materialize(kept.select("sid", F.explode("g").alias("h"))
-                           .groupBy("sid", F.shiftrightunsigned("h", shift).alias("fragment")).agg(F.collect_list("h").alias("h")),
-                           "join-segments")
-
-    links = None
-    for turn in range(stars):
-        now = _labelled(keys, links)
-        rank = F.xxhash64("sid", F.lit(turn))
-        leader = now.groupBy("h").agg(F.min(F.struct(rank.alias("r"), F.col("sid").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))).alias("l"),
-                                      F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 < c1").select("h", "l.a", "l.na", "l.ca")
-        pairs = now.join(leader, "h").filter((F.col("comp") != F.col("ca")) & _fits(F.col("n"), F.col("na"), num, den)) \
-            .select("a", F.col("sid").alias("b"), "na", F.col("n").alias("nb")).distinct()
-        new = materialize(_overlaps(pairs, segments, num, den), "join-links")
-        if not new.head(1):
-            if links is None:
-                links = new
-            continue
-        links = new if links is None else links.union(new)
-    now = _labelled(keys, links)
-    # all remaining pairs of different components, from lists of bounded length per n-gram and component
-    open_ = now.groupBy("h").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 < c1").select("h")
-    counted = now.join(open_, "h", "left_semi")
-    size = counted.groupBy("h", "comp").agg(F.count("*").alias("m"))
-    lists = counted.join(size, ["h", "comp"]).withColumn("salt", F.pmod(F.xxhash64("sid"), F.ceil(F.col("m") / 512))) \
-        .groupBy("h", "comp", "salt").agg(F.collect_list(F.struct("sid", "n")).alias("x"))
+    segments = kept.select("sid", F.posexplode(F.array(*[F.filter("g", _in_fragment(f, shift)) for f in range(FRAGMENTS)])).alias("fragment", "h")) \
+        .filter(F.size("h") > 0)
+    keys = materialize(_described(kept).select("sid", "n", "c", "profile", F.explode("prefix").alias("h")), "join-keys")
+
+    own = F.col("n") - F.col("c")
+    ranks = [F.struct(own.alias("r"), F.xxhash64("sid").alias("s")), F.struct((own * 50 / F.col("n")).cast("long").alias("r"), F.xxhash64("sid", F.lit(1)).alias("s")),
+             F.struct(F.xxhash64("sid", F.lit(2)).alias("r"), F.lit(0).alias("s"))]
+    led = keys.groupBy("h").agg(F.count("*").alias("m"), *[F.min(F.struct(r.alias("r"), "sid", "n")).alias(f"l{i}") for i, r in enumerate(ranks)])
+    led = led.filter("m > 1").select("h", F.array(*[F.struct(f"l{i}.sid", f"l{i}.n") for i in range(len(ranks))]).alias("l"))
+    pairs = keys.select("h", "sid", "n").join(led, "h").select("sid", "n", F.explode("l").alias("l"))
+    one = materialize(_overlaps(_pairs(pairs, F.struct("sid", "n"), F.col("l"), num, den), segments, num, den), "join-links")
+    groups = materialize(connected_components(one), "join-groups")
+    mine = groups.select(F.col("id").alias("sid"), F.col("component_id").alias("comp"))
+
+    now = keys.join(mine, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
+    mixed = now.groupBy("h").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 < c1").select("h")
+    now = materialize(now.join(mixed, "h", "left_semi"), "join-open")
+    # a list holds sets of one component, or sets that are a component each: the small ones share lists
+    size = now.groupBy("h", "comp").agg(F.count("*").alias("m"))
+    now = now.join(size, ["h", "comp"]).withColumn("own", F.when(F.col("m") >= OWN_LIST, F.col("comp")).otherwise(SHARED))
+    total = now.groupBy("h", "own").agg(F.count("*").alias("m"))
+    lists = now.drop("m").join(total, ["h", "own"]).withColumn("salt", F.pmod(F.xxhash64("sid"), F.ceil(F.col("m") / LIST)).cast("int")) \
+        .groupBy("h", "own", "salt").agg(F.collect_list(F.struct("sid", "n", "c", "profile", "comp")).alias("x"))
     lists = materialize(lists, "join-lists")
-    one, two = lists.select("h", F.col("comp").alias("c1"), F.col("x").alias("x1")), lists.select("h", F.col("comp").alias("c2"), F.col("x").alias("x2"))
-    pairs = one.join(two, "h").filter("c1 < c2").select(F.explode("x1").alias("x1"), "x2").select("x1", F.explode("x2").alias("x2")) \
-        .select(F.col("x1.sid").alias("a"), F.col("x2.sid").alias("b"), F.col("x1.n").alias("na"), F.col("x2.n").alias("nb")) \
-        .filter(_fits(F.col("na"), F.col("nb"), num, den)).distinct()
-    last = materialize(_overlaps(pairs, segments, num, den), "join-links")
-    return last if links is None else links.union(last)
+    left, right = (lists.select("h", F.col("own").alias(f"o{i}"), F.col("salt").alias(f"s{i}"), F.col("x").alias(f"x{i}")) for i in (1, 2))
+    pairs = left.join(right, "h").filter((F.col("o1") < F.col("o2")) | ((F.col("o1") == SHARED) & (F.col("o2") == SHARED) & (F.col("s1") <= F.col("s2"))))
+    two = materialize(_overlaps(_possible(pairs, num, den), segments, num, den), "join-links")
+    if not two.head(1):
+        return groups
+    # the second links join components of the first
+    for end in ("a", "b"):
+        two = two.join(mine.withColumnRenamed("sid", end), end, "left").withColumn(end, F.coalesce("comp", end)).drop("comp")
+    joined = materialize(connected_components(two), "join-groups").withColumnRenamed("id", "comp").withColumnRenamed("component_id", "to")
+    # a set that only the second links reach is its own component before
+    known = groups.select("id", F.col("component_id").alias("comp")).union(joined.select(F.col("comp").alias("id"), "comp")).distinct()
+    return known.join(joined, "comp", "left").select("id", F.coalesce("to", "comp").alias("component_id"))
+
+
+def _in_fragment(fragment: int, shift: int) -> Callable[[Column], Column]:
+    return lambda h: F.shiftrightunsigned(h, shift) == fragment
+
+
+def _pairs(df: DataFrame, one: Column, two: Column, num: int, den: int) -> DataFrame:
+    """Distinct pairs (a, b, na, nb), a < b, of sets whose sizes allow a link."""
+    both = df.select(F.least(one, two).alias("p"), F.greatest(one, two).alias("q"))
+    return both.filter((F.col("p.sid") != F.col("q.sid")) & _fits(F.col("p.n"), F.col("q.n"), num, den)) \
+        .select(F.col("p.sid").alias("a"), F.col("q.sid").alias("b"), F.col("p.n").alias("na"), F.col("q.n").alias("nb")).distinct()
 
 
 def join_components(df: DataFrame, k: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -264,8 +323,8 @@ def join_components(df: DataFrame, k: int = 4, num: int = 85, den: int = 100, id
     if sums.bad:
         raise ValueError("two different n-gram sets have the same digest")
     buckets = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), (sums.n or 0) // (4 * ENTRIES) + 1)
-    links = similar_sets(docs.filter("doc_id is not null"), reps.select("sid", "doc_id", "n"), k, num, den, buckets)
-    comps = materialize(connected_components(links), "join-components").withColumnRenamed("id", "sid").withColumnRenamed("component_id", "c")
+    comps = similar_sets(docs.filter("doc_id is not null"), reps.select("sid", "doc_id", "n"), k, num, den, buckets) \
+        .withColumnRenamed("id", "sid").withColumnRenamed("component_id", "c")
     named = reps.select("sid", "doc_id").join(comps, "sid", "left").withColumn("c", F.coalesce("c", "sid"))
     lowest = named.groupBy("c").agg(F.min("doc_id").alias("component_id"))
     by_set = named.join(lowest, "c").select("sid", "component_id")
