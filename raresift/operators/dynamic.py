@@ -377,10 +377,13 @@ def dynamic_select(q: DataFrame, dsel: DataFrame, names: list[str], size: int, f
     """Answers of several selectors. Regions are searched only for rows on which the pool disagrees."""
     kinds = {SELECTORS[n][0] for n in names if n in SELECTORS}
     easy, hard = split_agreement(q)
+    rows = hard
     if kinds & {"even", "plain"}:
-        hard = with_regions(hard, dsel, features, k, label, even="even" in kinds, plain="plain" in kinds, **limits)
+        hard = with_regions(rows, dsel, features, k, label, even="even" in kinds, plain="plain" in kinds, **limits)
     if "profile" in kinds:
-        hard = with_profile_region(hard, dsel, size, k, label, **limits)
+        # searched from the rows themselves, not on top of the other search
+        own = with_profile_region(rows.select("row_id", label, "p"), dsel, size, k, label, **limits)
+        hard = hard.join(own.select("row_id", "profile"), "row_id") if kinds & {"even", "plain"} else own
     base = ["row_id", label]
     hard = select_scores(hard.select(*base, "p", *sorted(kinds)), names)
     models = F.explode(F.lit(list(names)))

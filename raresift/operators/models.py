@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 import random
+import re
 from dataclasses import dataclass, field
 
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression,
@@ -249,16 +250,19 @@ def _balanced_forest(m: BaseModel, df):
     return MeanScorer(members, [float(n) for n in sizes])
 
 
+_SPLIT = re.compile(r"If \(feature (\d+) <= (\S+)\)\s+Predict: (\S+)\s+Else \(feature \d+ > \S+\)\s+Predict: (\S+)")
+
+
 def _stump(model) -> tuple[int, float, int, int]:
-    """Split of a depth-1 tree through the model's public tree view.
+    """Split of a depth-1 tree, read from its printed form.
 
     A tree whose leaves agree is a single node: the same class on both sides.
     """
-    root = model._java_obj.rootNode()
-    if model.numNodes < 3:
-        return 0, math.inf, int(root.prediction()), int(root.prediction())
-    split = root.split()
-    return (int(split.featureIndex()), float(split.threshold()), int(root.leftChild().prediction()), int(root.rightChild().prediction()))
+    found = _SPLIT.search(model.toDebugString)
+    if found is None:
+        leaf = int(float(re.search(r"Predict: (\S+)", model.toDebugString)[1]))
+        return 0, math.inf, leaf, leaf
+    return int(found[1]), float(found[2]), int(float(found[3])), int(float(found[4]))
 
 
 def _boost(m: BaseModel, df, under: bool):

@@ -17,6 +17,7 @@ are exact: bounds use the same floating-point sums as the distances.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -741,17 +742,28 @@ def assign_cluster(q: DataFrame, centroids: DataFrame, features: list[str], row_
     return found.withColumn("cluster", F.col("_c")[0]["id"]).drop("_c")
 
 
-def lloyd(df: DataFrame, seeds: DataFrame, features: list[str], iterations: int = 10,
-          row_id: str = "row_id") -> DataFrame:
-    """Centroids (row_id, features) after some k-means steps from given seeds.
+def lloyd(df: DataFrame, seeds: DataFrame, features: list[str], iterations: int = 300,
+          row_id: str = "row_id", tolerance: float = 1e-9) -> DataFrame:
+    """Centroids (row_id, features) of k-means from given seeds.
+
+    Steps until no centroid moves by more than ``tolerance`` in any feature, ``iterations`` at most; a warning says if
+    that was not enough.
 
     Any number of centroids: the assignment is the neighbour join, the update one aggregate. A
     centroid without rows keeps its place.
     """
     centroids = materialize(seeds.select(row_id, *[F.col(c).cast("double").alias(c) for c in features]), "centroids")
-    for _ in range(iterations):
+    for step in range(iterations):
         means = (assign_cluster(df.select(row_id, *features), centroids, features, row_id)
                  .groupBy("cluster").agg(*[F.avg(c).alias(f"_m_{c}") for c in features]))
         moved = centroids.join(means.withColumnRenamed("cluster", row_id), row_id, "left")
-        centroids = materialize(moved.select(row_id, *[F.coalesce(f"_m_{c}", c).alias(c) for c in features]), "centroids")
+        shift = F.greatest(*[F.abs(F.coalesce(F.col(f"_m_{c}") - F.col(c), F.lit(0.0))) for c in features], F.lit(0.0))
+        moved = materialize(moved.select(row_id, *[F.coalesce(f"_m_{c}", c).alias(c) for c in features], shift.alias("_shift")), "centroids")
+        most = moved.agg(F.max("_shift")).first()[0] or 0.0
+        centroids = moved.drop("_shift")
+        if most <= tolerance:
+            break
+    else:
+        if iterations > 2:
+            warnings.warn(f"k-means still moved by {most:.3g} after {iterations} steps", stacklevel=2)
     return centroids

@@ -228,9 +228,9 @@ def oss(df: DataFrame, features: list[str], seed=42, label: str = "Class", row_i
     return tomek(materialize(core.unionByName(wrong), "oss"), features, "majority", label, row_id, **limits)
 
 
-def cluster_centroids(df: DataFrame, features: list[str], seed=42, iterations: int = 10, label: str = "Class",
+def cluster_centroids(df: DataFrame, features: list[str], seed=42, iterations: int = 300, label: str = "Class",
                       row_id: str = "row_id") -> DataFrame:
-    """Replace the majority by n_min k-means centroids."""
+    """Replace the majority by n_min k-means centroids, by steps until they rest (``iterations`` at most)."""
     df = _tagged(df, features, label, row_id)
     counts = class_counts(df, label)
     low, high = _roles(counts)

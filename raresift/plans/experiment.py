@@ -5,7 +5,7 @@ from __future__ import annotations
 import time
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,7 +15,7 @@ from raresift.operators import dynamic, metrics, neighbors, resample, splits, vo
 from raresift.operators.features import column_index
 from raresift.operators.search import Search, cross_validate, fit_model, halving_search, tuning_row
 from raresift.sources.model_store import load_model
-from raresift.sources.storage import materialize
+from raresift.sources.storage import materialize, scratch
 from raresift.sources.tables import append_results, finished_runs, require_columns
 
 
@@ -127,6 +127,13 @@ def timed(action) -> tuple[object, float]:
     return result, time.time() - start
 
 
+def _by_model(values: dict[str, float]) -> Column:
+    column = F.lit(None).cast("double")
+    for name, value in values.items():
+        column = F.when(F.col("model") == name, F.lit(value)).otherwise(column)
+    return column
+
+
 def run_once(df: DataFrame, features: list[str], run: int, cfg: Settings) -> tuple[DataFrame, dict]:
     """One outer run: metric rows (resubstitution, test, ensembles) and the fitted base models."""
     spark = df.sparkSession
@@ -143,7 +150,8 @@ def run_once(df: DataFrame, features: list[str], run: int, cfg: Settings) -> tup
         return materialize(pool_scores(part, fitted, cfg.label, cfg.row_id, features), name)
 
     train_p, dsel_p = scored(train, "train-pool"), scored(dsel, "dsel-pool")
-    test_p, seconds = timed(lambda: scored(test, "test-pool"))
+    test_p = scored(test, "test-pool")
+    seconds = {n: timed(lambda m=m: m.score(test).write.format("noop").mode("overwrite").save())[1] for n, m in fitted.items()}
     counts = {"train": train_p.count(), "test": test_p.count()}
     tuning = spark.createDataFrame([{"model": n, **tuning_row(s)} for n, s in searches.items()], TUNING_SCHEMA)
     ids = {"iteration": repeat + 1, "fold": fold + 1}
@@ -152,23 +160,33 @@ def run_once(df: DataFrame, features: list[str], run: int, cfg: Settings) -> tup
         **ids, pool_name="BASE_MODEL", split="resubstitution")
     test_rows = base_rows(test_p, cfg.models, cfg.label)
     store = metrics.append_metrics(
-        store, test_rows.withColumns({"fold_size": F.lit(counts["test"]), "score_time": F.lit(seconds / len(fitted))}),
+        store, test_rows.withColumns({"fold_size": F.lit(counts["test"]), "score_time": _by_model(seconds)}),
         **ids, pool_name="BASE_MODEL", split="test")
     for pool, members in cfg.pools.items():
         q, d = (voting.select_pool(p, cfg.models, members) for p in (test_p, dsel_p))
+        # One job answers all ensembles of a pool, so that they share the neighbour search: its time is theirs together.
         answers, seconds = timed(lambda: materialize(ensemble_answers(q, d, members, cfg, features), "answers"))
-        n_models = max(1, len(cfg.static) + len(cfg.dynamic))
         found = measured(answers, cfg.label, ["model"]).withColumns(
-            {"fold_size": F.lit(counts["test"]), "score_time": F.lit(seconds / n_models)})
+            {"fold_size": F.lit(counts["test"]), "score_time": F.lit(seconds)})
         store = metrics.append_metrics(store, found, **ids, pool_name=pool.upper(), split="test")
     return store, fitted
 
 
 def run_experiment(df: DataFrame, features: list[str], cfg: Settings, path: str, run_id: str) -> DataFrame:
-    """All outer runs; each run's rows go to the results table when it is done, and a second start goes on after them."""
+    """All outer runs; each run's rows go to the results table when it is done, and a second start goes on after them.
+
+    Intermediate tables are deleted after the run that wrote them, the planned folds at the end.
+    """
     cfg.check()
     require_columns(df, [cfg.row_id, cfg.label, *features])
     column_index(df, [c for c in cfg.scale if c in features or c in config.SCALED_COLUMNS], cfg.label, cfg.row_id)
+    spark = df.sparkSession
+    with scratch(spark):
+        _outer_runs(df, features, cfg, path, run_id)
+    return spark.read.option("mergeSchema", True).parquet(path).where(F.col("run_id") == run_id)
+
+
+def _outer_runs(df: DataFrame, features: list[str], cfg: Settings, path: str, run_id: str) -> None:
     spark = df.sparkSession
     planned = materialize(splits.repeated_folds(df, cfg.splits, cfg.repeats, cfg.seed, cfg.label, cfg.row_id), "folds")
     done = finished_runs(spark, path, run_id)
@@ -176,9 +194,9 @@ def run_experiment(df: DataFrame, features: list[str], cfg: Settings, path: str,
         repeat, fold = splits.run_position(run, cfg.splits)
         if (repeat + 1, fold + 1) in done:
             continue
-        store, _ = run_once(planned, features, run, cfg)
-        append_results(store, path, run_id)
-    return spark.read.option("mergeSchema", True).parquet(path).where(F.col("run_id") == run_id)
+        with scratch(spark):
+            store, _ = run_once(planned, features, run, cfg)
+            append_results(store, path, run_id)
 
 
 def benchmark_resamplers(df: DataFrame, features: list[str], techniques: list[str] | None = None, folds: int = config.BENCHMARK_SPLITS,

@@ -346,6 +346,14 @@ def _assigned(s, d):
     return neighbors.assign_cluster(q, _first_dsel(dsel), V.TXN_FEATURES).select("row_id", "cluster")
 
 
+def _clustered_rows(s, d):
+    """Queries by the nearest of five k-means centroids of the selection set."""
+    dsel, q = _dsel_and_queries(s, d)
+    centres = neighbors.lloyd(dsel, _first_dsel(dsel), V.TXN_FEATURES)
+    return neighbors.assign_cluster(q, centres, V.TXN_FEATURES).select("row_id", "cluster")
+
+
+add("n5_kmeans_clusters", _clustered_rows)
 add("n5_assign_cluster", _assigned, O.sql(_DSEL_SQL + ", cen AS (SELECT * FROM ds ORDER BY md5('7c|' || row_id), row_id LIMIT 5), "
     + O.knn("qs", "cen", 1, V.TXN_FEATURES, "nn"), "SELECT q AS row_id, id AS cluster FROM nn"))
 
@@ -395,6 +403,15 @@ def _clustered(s, d):
 
 
 add("d10_desclustering", _clustered, O.desclustering())
+
+
+def _kmeans_clustered(s, d):
+    dsel, q = _dsel_and_queries(s, d)
+    centres = neighbors.lloyd(dsel, _first_dsel(dsel), V.TXN_FEATURES)
+    return _answer(dynamic.desclustering(q, dsel, centres, V.TXN_FEATURES, len(V.POOL)))
+
+
+add("d10_desclustering_kmeans", _kmeans_clustered)
 for _i, _n in enumerate(["KNOP", "RRC", "DESKL", "Exponential", "Logarithmic"], 11):
     add(f"d{_i}_{_n.lower()}", _dynamic(_n), O.selector(_n))
 
@@ -467,6 +484,7 @@ add("r10_ncr", _on_vec(lambda df, f: resample.ncr(df, f)), _vec_sql(O.ncr("t0",
 add("r11_oss", _on_vec(lambda df, f: resample.oss(df, f)), _vec_sql(O.oss("t0", "out", V.VEC_FEATURES, 42)))
 add("r12_cluster_centroids", _on_vec(lambda df, f: resample.cluster_centroids(df, f, iterations=2)),
     _vec_sql(O.centroids("t0", "out", V.VEC_FEATURES, 42, 2)))
+add("r12_cluster_centroids_at_rest", _on_vec(lambda df, f: resample.cluster_centroids(df, f)))
 add("r13_under_0_005", lambda s, d: _rows(resample.resampler("Under_0.005")(rare_features(s, d), V.TXN_FEATURES)),
     O.sql(", ".join([O.RARE, O.origin("rf", "t0"), O.under("t0", "out", 0.005, 42)]), _TXN_OUT))
 add("r13_under20_smoteenn", _on_vec(resample.resampler("Under20_SMOTEENN")),

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import importlib
 import json
 
-from pyspark.ml.util import DefaultParamsReader
 from pyspark.sql import SparkSession
 
 from raresift.operators import models as M
@@ -18,7 +18,8 @@ def _save_ml(model, path: str) -> dict:
 
 
 def _load_ml(spec: dict):
-    return DefaultParamsReader._DefaultParamsReader__get_class(spec["type"]).load(spec["path"])
+    module, _, name = spec["type"].rpartition(".")
+    return getattr(importlib.import_module(module), name).load(spec["path"])
 
 
 def _describe(scorer, path: str) -> dict:

@@ -50,5 +50,5 @@ def test_experiment_rows(spark, planted, tmp_path):
     assert len(out) == 2 + 2 + 2 + 2
     assert {r["split"] for r in out} == {"resubstitution", "test"}
     assert all(r["cv_tuning_std_val_score"] == 0.0 for r in out if r["split"] == "resubstitution")
-    with pytest.raises(ValueError, match="undefined base models"):
+    with pytest.raises(ValueError, match="not trained"):
         experiment.Settings(models=["SVC"], pools={"x": ["MLPClassifier"]}).check()
