@@ -310,7 +310,7 @@ def read_archives(archives: DataFrame, split: int = 1 << 24) -> DataFrame:
 
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary"
     runs = archives.select("archive").mapInArrow(index, "archive string, at long, lengths array<long>")
-    # a fixed number of tasks: a row is small but stands for up to ``split`` bytes of archive
+    # a fixed number of tasks, which Spark does not merge by size: a row is small but stands for ``split`` bytes of archive
     return runs.repartition(spread(runs), F.col("archive"), F.col("at")).mapInArrow(records, schema)
 
 
