@@ -11,13 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from raresift.llm.components import connected_components
-from raresift.llm.frames import materialize
+from raresift.llm.frames import arrow_rows, materialize
 from raresift.llm.words import Words, mix, shingle_sets, slices
 
 FRAGMENTS = 8  # cuts of the n-gram order for counting overlaps
 ENTRIES = 1 << 20  # prefix entries per bucket and per flush of a task
 PROFILE = 64  # fragments of the n-gram order in a set's profile
-LIST = 512  # about so many sets in a list of one n-gram
+LIST = 64  # about so many sets in a list of one n-gram
 OWN_LIST = 64  # a component with so many sets under an n-gram has lists of its own
 SHARED = -(1 << 63)  # stands for the components that share lists
 LISTED = 1 << 22  # at most so many ids (32 MB) are broadcast to filter a scan
@@ -279,7 +279,8 @@ def similar_sets(docs: DataFrame, reps: DataFrame, k: int, num: int, den: int, b
     lists = materialize(lists, "join-lists")
     left, right = (lists.select("h", F.col("own").alias(f"o{i}"), F.col("salt").alias(f"s{i}"), F.col("x").alias(f"x{i}")) for i in (1, 2))
     pairs = left.join(right, "h").filter((F.col("o1") < F.col("o2")) | ((F.col("o1") == SHARED) & (F.col("o2") == SHARED) & (F.col("s1") <= F.col("s2"))))
-    two = materialize(_overlaps(_possible(pairs, num, den), segments, num, den), "join-links")
+    with arrow_rows(docs.sparkSession, 256):  # two lists are some 20 KB
+        two = materialize(_overlaps(_possible(pairs, num, den), segments, num, den), "join-links")
     if not two.head(1):
         return groups
     # the second links join components of the first
