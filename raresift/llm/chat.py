@@ -37,6 +37,13 @@ class Template:
     })
     final: tuple[str, ...] = ("assistant",)
 
+    def __post_init__(self):
+        before, role, after = self.open.partition("{role}")
+        if not role or not self.close or len(self.escape) != 1 or self.escape in self.open + self.close:
+            raise ValueError("a template needs {role}, a closing mark and an escape character found in neither")
+        if not set(before) & set(self.marks) or not after or after[0] not in self.marks + ":":
+            raise ValueError("what opens a turn must hold a marked character, and what ends its role must begin with one or a colon")
+
     def quote(self, text: str) -> str:
         e = self.escape
         text = text.replace(e, e + e)

@@ -72,3 +72,9 @@ def test_damage_is_noticed(spark):
     broken = segments.withColumn("text", segments.text.substr(2, 100)).coalesce(1)
     with pytest.raises(Exception, match="can't be read back|inside a turn"):
         chat.read_back(broken).collect()
+
+
+@pytest.mark.parametrize("bad", [{"open": "### x: "}, {"close": ""}, {"escape": "#"}, {"escape": "ab"}, {"marks": "|"}, {"open": "#{role} "}])
+def test_templates_that_cannot_be_read_back(bad):
+    with pytest.raises(ValueError):
+        chat.Template(**bad)
