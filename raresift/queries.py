@@ -156,6 +156,10 @@ add("x1_repeated_folds",
     O.sql(", ".join([O.TF, *[O.ranked("tf", 42 + r, f"rk{r}") for r in range(3)]]),
           """SELECT row_id, a.Class, CAST(((a.rk - 1) * 10) // a.n AS INT) AS fold_0, CAST(((b.rk - 1) * 10) // b.n AS INT) AS fold_1,
       CAST(((c.rk - 1) * 10) // c.n AS INT) AS fold_2 FROM rk0 a JOIN rk1 b USING (row_id) JOIN rk2 c USING (row_id)"""))
+add("x1_ten_repeats", lambda s, d: splits.repeated_folds(V.txn_features(s, d), 10, 10, 42).select("row_id", *[f"fold_{r}" for r in range(10)]),
+    O.sql(", ".join([O.TF, *[O.ranked("tf", 42 + r, f"rk{r}") for r in range(10)]]), "SELECT row_id, "
+          + ", ".join(f"CAST(((rk{r}.rk - 1) * 10) // rk{r}.n AS INT) AS fold_{r}" for r in range(10))
+          + " FROM rk0 " + " ".join(f"JOIN rk{r} USING (row_id)" for r in range(1, 10))))
 add("x2_folds", lambda s, d: splits.stratified_folds(V.labelled_docs(s, d), 5, 42).select("row_id", "Class", "fold"),
     O.sql(O.DOCS + ", " + O.ranked("docs", 42), "SELECT row_id, Class, CAST(((rk - 1) * 5) // n AS INT) AS fold FROM rk"))
 add("x3_holdout", lambda s, d: splits.holdout(V.txn_features(s, d), 0.15, 7).select("row_id", "Class", "held_out"),
@@ -560,7 +564,7 @@ _SMALL = {"n_estimators": 5, "max_iter": 30}
 
 def _selected(s, d):
     df = V.txn_features(s, d)
-    steps = features.fit_feature_steps(df, V.TXN_FEATURES, k=4)
+    steps = features.fit_feature_steps(df, V.TXN_FEATURES)
     index, names = steps.selected_features()
     return s.createDataFrame([(i, n) for i, n in zip(index, names)], "position int, feature string")
 
@@ -569,10 +573,10 @@ add("f8_f10_selected_features", _selected)
 
 
 def _model(name, params=None, step=None):
-    """Fit on the selection-set share, measure on all other rows."""
+    """Fit on the training share, measure on the rows held out."""
     def run(s, d):
         split = materialize(splits.holdout(V.txn_features(s, d), 0.15, 7), "split")
-        train, test = split.where("held_out"), split.where(~F.col("held_out"))
+        train, test = split.where(~F.col("held_out")), split.where("held_out")
         resampler = resample.resampler(step) if step else None
         fitted = search.fit_model(train, name, params or _SMALL, V.TXN_FEATURES, resampler=resampler)
         out = voting.decide(fitted.score(test)).select(F.lit(name).alias("model"), F.col("Class").alias("y"), "p1", "pred")
@@ -622,9 +626,9 @@ add("h2_halving_search", _halving)
 
 
 def _cross_validated(s, d):
-    df = materialize(splits.stratified_folds(V.txn_features(s, d), 3, 42), "folds")
+    df = materialize(splits.stratified_folds(V.txn_features(s, d), 5, 42), "folds")
     make = lambda train: search.fit_model(train, "DecisionTreeClassifier", {}, V.TXN_FEATURES)
-    return rounded(search.cross_validate(df, make, 3).select("technique", "fold", "roc_auc", "f1", "precision", "recall"))
+    return rounded(search.cross_validate(df, make, 5).select("technique", "fold", "roc_auc", "f1", "precision", "recall"))
 
 
 add("h5_cross_validate", _cross_validated)
@@ -645,11 +649,15 @@ add("j7_benchmark", lambda s, d: rounded(experiment.benchmark_resamplers(
     V.txn_features(s, d), V.TXN_FEATURES, ["RandomUnderSampler", "Under20_SMOTEENN"], 2, params=_SMALL)))
 
 
+# all techniques behind one model, on the small table of vectors
+add("j7_benchmark_all", lambda s, d: rounded(experiment.benchmark_resamplers(V.vec_features(s, d), V.VEC_FEATURES, None, 2, params=_SMALL)))
+
+
 def _batch(s, d):
     import uuid
 
     split = materialize(splits.holdout(V.txn_features(s, d), 0.15, 7), "split")
-    train, rest = split.where("held_out").drop("held_out"), split.where(~F.col("held_out")).drop("held_out")
+    train, rest = split.where(~F.col("held_out")).drop("held_out"), split.where("held_out").drop("held_out")
     paths = {}
     for name in ("DecisionTreeClassifier", "LogisticRegression"):
         paths[name] = f"{work_dir(s)}/model-{uuid.uuid4().hex}"

@@ -5,8 +5,8 @@ import pytest
 
 from raresift import queries
 
-# Slow to fit; covered by test_models.py on a small table.
-HEAVY = ("m", "h", "j3", "j7", "j8", "r14", "f8", "d16", "d_all", "r13_cluster")
+# Whole experiments; covered by test_models.py and test_protocol.py on a small table.
+HEAVY = ("j3", "j7")
 
 
 @pytest.mark.parametrize("name", [n for n in queries.QUERIES if n in queries.ORACLES])
