@@ -253,8 +253,8 @@ def similar_sets(docs: DataFrame, reps: DataFrame, k: int, num: int, den: int, b
         .withColumn("need", smallest).filter(F.size("g") >= F.col("need"))
     kept = materialize(kept.select("sid", "n", "need", F.col("g.h").alias("g")), "join-kept")
     shift = 64 - (FRAGMENTS - 1).bit_length()
-    segments = kept.select("sid", F.posexplode(F.array(*[F.filter("g", _in_fragment(f, shift)) for f in range(FRAGMENTS)])).alias("fragment", "h")) \
-        .filter(F.size("h") > 0)
+    segments = kept.select("sid", F.posexplode(F.array(*[F.filter("g", _in_fragment(f, shift)) for f in range(FRAGMENTS)])).alias("fragment", "h"))
+    segments = materialize(segments.filter(F.size("h") > 0), "join-segments")  # read four times
     keys = materialize(_described(kept).select("sid", "n", "c", "profile", F.explode("prefix").alias("h")), "join-keys")
 
     own = F.col("n") - F.col("c")
