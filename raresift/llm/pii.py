@@ -26,16 +26,23 @@ EMAIL_AFTER = re.compile(r"(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[
 SECRET = re.compile(r"(?i)\b(?:token|secret|password|api[_ -]?key|access[_ -]?key|private[_ -]?key)\b[\"']?\s*[=:]\s*[\"']?([0-9a-f]{32,})(?![0-9a-z])")
 IBAN = re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")
 _DIGIT = re.compile("[0-9]")
+COUNTRY = re.compile(r"1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3}")  # calling codes, however the number is spaced
+_SPACE = r"[ \u00a0\u202f]"
+#: Between the digits of a phone number: one separator, brackets. Once it has eight digits, a space that leads into another value ends it.
+_BETWEEN = rf"\)?(?:{_SPACE}|[./-])?\(?"
+_NEXT = r"""(?:\d{1,3}\.){3}\d{1,3}(?!\d)|\d{1,2}[./]\d{1,2}[./]\d{4}(?!\d)|\d{4}-\d{2}-\d{2}(?!\d)|\d{3}-\d{2}-\d{4}(?!\d)
+      |\(?\d{3}(?:\)[ .-]?|[ .-])\d{3}[.-]\d{4}(?!\d)|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d|\d{4}[ -]\d{6}[ -]\d{5}"""
+_FURTHER = rf"\)?(?:{_SPACE}(?!{_NEXT})|[./-])?\(?"
 NUMBERS = re.compile(r"""
-    (?P<phone>\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d) | \+\d{1,3}[ .-]?\(\d{1,4}\)[ .-]?\d{2,4}(?:[ .-]\d{2,4}){1,2}(?!\d)
-      | \+[2-9]\d{0,2}(?:[ .-]\d{2,4}){3,4}(?!\d) | \+\d{8,15}(?!\d))
+    (?P<phone>\+1(?:BETWEEN\d){10}(?!\d) | \+[2-9](?:BETWEEN\d){7}(?:FURTHER\d){0,7}(?!\d)
+      | \+\d{1,3}[ .-]?\(\d{1,4}\)[ .-]?\d{2,4}(?:[ .-]\d{2,4}){1,2}(?!\d) | \+\d{8,15}(?!\d))
   | (?P<card>(?<!\d)(?:\d{13,19}|\d{4}([ -])\d{4}\3\d{4}\3\d{1,7}|\d{4}([ -])\d{6}\4\d{5})(?!\d))
   | (?P<ip>(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d))
   | (?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))
   | (?P<iso>(?<![\d-])\d{4}-\d{2}-\d{2}(?![\d-]))
   | (?P<day>(?<![\d./])\d{1,2}([./])\d{1,2}\9\d{4}(?![\d]|[./]\d))
   | (?P<local>(?<!\d)(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[.-]\d{4}(?!\d))
-""", re.X)
+""".replace("BETWEEN", _BETWEEN).replace("FURTHER", _FURTHER), re.X)
 
 
 class Feistel:
@@ -143,7 +150,7 @@ class Pseudonyms:
         digits = re.sub(r"\D", "", value)
         if not 8 <= len(digits) <= 15:
             return None
-        country = re.match(r"\+(1|\d{1,3}(?=\D)|\d{2})", value)[1]
+        country = COUNTRY.match(digits)[0]
         return _poured(country + self._text(digits[len(country):], f"phone|{country}", {"0": DIGITS}), value)
 
     def _local(self, value: str) -> str:

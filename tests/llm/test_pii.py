@@ -95,3 +95,25 @@ def test_table(spark):
     counted = pii.pseudonymise(df, b"test", count_col="n_replaced")
     assert sorted((r.doc_id or 0, r.n_replaced) for r in counted.collect()) == [(0, 1), (1, 0), (2, 0), (3, 1), (3, 1)]
     assert pii.pseudonymise(df.limit(0), b"test").collect() == []
+
+
+@pytest.mark.parametrize("value", ["+49 170 1234567", "+49 30 901820", "+44 7911 123456", "+33 6 12 34 56 78", "+33\u00a06\u00a012\u00a034\u00a056\u00a078",
+                                   "+49 (0)170/123 45 67", "+358-9-123456", "+7(495)123.45.67", "+1/389/555/5010", "+1 389 5555010"])
+def test_usual_phone_forms(value):
+    new, n = pii.replace(f"call {value}, then go", NAMES)
+    assert n == 1 and value not in new and new.startswith("call +") and new.endswith(", then go")
+    digits = re.sub(r"\D", "", new)
+    assert pii.replace(f"call +{re.sub(r'\D', '', value)}, then go", NAMES)[0] == f"call +{digits}, then go"
+    assert re.sub(r"\d", "9", new) == re.sub(r"\d", "9", f"call {value}, then go")
+
+
+@pytest.mark.parametrize("after", ["97.51.17.173", "29.02.2024", "2024-02-29", "078-05-1120", "(389) 555-5010", "4111 1111 1111 1111", "4111111111111111", "+44 7911 123456"])
+def test_a_phone_number_ends_before_the_next_value(after):
+    alone = [pii.replace(v, NAMES)[0] for v in ("+49 30 901820", after)]
+    assert pii.replace(f"+49 30 901820 {after}", NAMES) == (" ".join(alone), 2)
+
+
+@pytest.mark.parametrize("value", ["+12 34 56", "+1 234 567", "+49 30 901820 1234 5678 901234", "+12345678901234567", "2 + 2 = 4, +49"])
+def test_no_phone_numbers(value):
+    new, n = pii.replace(f"x {value} y", NAMES)
+    assert n == ("901820" in value) and (n or new == f"x {value} y")
