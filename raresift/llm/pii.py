@@ -25,6 +25,11 @@ EMAIL_BEFORE = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9_%+-])
 EMAIL_AFTER = re.compile(r"(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![A-Za-z0-9])")
 SECRET = re.compile(r"(?i)\b(?:token|secret|password|api[_ -]?key|access[_ -]?key|private[_ -]?key)\b[\"']?\s*[=:]\s*[\"']?([0-9a-f]{32,})(?![0-9a-z])")
 IBAN = re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")
+#: Characters of an account number by country.
+IBAN_LENGTH = {c[:2]: int(c[2:]) for c in """AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29
+    ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21
+    LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27
+    SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30""".split()}
 _DIGIT = re.compile("[0-9]")
 COUNTRY = re.compile(r"1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3}")  # calling codes, however the number is spaced
 _SPACE = r"[ \u00a0\u202f]"
@@ -95,6 +100,10 @@ def _iban_check(country: str, account: str) -> str:
     return f"{98 - int(number) % 97:02d}"
 
 
+def _iban_holds(plain: str) -> bool:
+    return 15 <= len(plain) <= 34 and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+
+
 def _poured(new: str, old: str) -> str:
     """The characters of ``new`` in the places of the letters and digits of ``old``."""
     at = iter(new)
@@ -177,7 +186,7 @@ class Pseudonyms:
     def _iban(self, value: str) -> str | None:
         plain = value.replace(" ", "")
         country, account = plain[:2], plain[4:]
-        if not 15 <= len(plain) <= 34 or int("".join(str(int(c, 36)) for c in account + plain[:4])) % 97 != 1:
+        if not _iban_holds(plain):
             return None
         new = self._text(account, f"iban|{country}", {"A": LETTERS.upper(), "0": DIGITS})
         return _poured(country + _iban_check(country, new) + new, value)
@@ -212,6 +221,26 @@ class Pseudonyms:
         return None
 
 
+def accounts(text: str) -> list[tuple[int, int]]:
+    """(start, end) of account numbers, without the words and numbers the written form runs on into.
+
+    A number ends after the length fixed for its country; for a country without one, at the last gap at which the check digits
+    hold. Where none does, the search goes on behind the first four characters, as a number may begin further on.
+    """
+    out, at = [], 0
+    while found := IBAN.search(text, at):
+        start, stop = found.span()
+        ends = [i for i in range(stop, start, -1) if i == stop or text[i] == " "]
+        fixed = IBAN_LENGTH.get(text[start:start + 2])
+        if fixed:  # the whole written form may hold, too
+            ends = [i for i in ends if i - start - text.count(" ", start, i) == fixed] + [stop]
+        end = next((i for i in ends if _iban_holds(text[start:i].replace(" ", ""))), None)
+        if end:
+            out.append((start, end))
+        at = end or start + 4
+    return out
+
+
 def find(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the written forms in a text, without overlap: secrets, e-mail, account numbers, then numbers and dates."""
     spans: list[tuple[int, int, str]] = []
@@ -226,7 +255,7 @@ def find(text: str) -> list[tuple[int, int, str]]:
             spans.append((before.start(), after.end(), "email"))
         at = text.find("@", at + 1)
     if _DIGIT.search(text):
-        spans += [(*m.span(), "iban") for m in IBAN.finditer(text)]
+        spans += [(start, end, "iban") for start, end in accounts(text)]
         spans += [(*m.span(), m.lastgroup) for m in NUMBERS.finditer(text)]
     return spans
 

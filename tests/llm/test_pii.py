@@ -117,3 +117,23 @@ def test_a_phone_number_ends_before_the_next_value(after):
 def test_no_phone_numbers(value):
     new, n = pii.replace(f"x {value} y", NAMES)
     assert n == ("901820" in value) and (n or new == f"x {value} y")
+
+
+IBANS = ["ES91 2100 0418 4502 0005 1332", "AT61 1904 3002 3457 3201", "AT611904300234573201", "BE68 5390 0754 7034", "DE89 3704 0044 0532 0130 00", "NO93 8601 1117 947"]
+
+
+@pytest.mark.parametrize("value", IBANS)
+@pytest.mark.parametrize("after", ["EUR", "BIC", "100 Euro", "EURO 12", "2024 1234 5678 9012 3456", "Bank", "AT61 1904 3002 3457 3201"])
+def test_account_numbers_end_before_the_next_word(value, after):
+    alone = pii.replace(value, NAMES)[0]
+    new, n = pii.replace(f"to {value} {after} now", NAMES)
+    last, m = pii.replace(after, NAMES)
+    assert alone != value and (new, n) == (f"to {alone} {last} now", 1 + m)
+
+
+def test_account_numbers_behind_and_without_a_fixed_length():
+    value = "AT61 1904 3002 3457 3201"
+    assert pii.replace(f"REF AB12 1234 5678 {value} EUR", NAMES)[0] == f"REF AB12 1234 5678 {pii.replace(value, NAMES)[0]} EUR"
+    plain = "ZZ" + pii._iban_check("ZZ", "1234567890123456") + "1234567890123456"
+    assert pii.replace(f"{plain} EURO 1", NAMES) == (pii.replace(plain, NAMES)[0] + " EURO 1", 1)
+    assert pii.replace("AT61 1904 3002 3457 3202 EUR", NAMES)[1] == 0
