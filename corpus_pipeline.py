@@ -11,7 +11,7 @@ from raresift.llm.queries import KEY, tokenizer_file
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a toxicity score under 0.5."""
+    """Documents with a toxicity score under 0.5; all of them if the labels teach no term."""
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs, model, keep_below=0.5)
 

@@ -313,10 +313,13 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
     ``QUOTED`` between quotation marks, ``REPORTED`` near a word that reports speech, ``ADDRESSED`` near one that
     addresses somebody; the document's sum and its density go through the fitted weights.
 
-    Without ``keep_below``: (id, score, hits). With it: the rows of ``df`` with a score below, all columns kept.
+    Without ``keep_below``: (id, score, hits). With it: the rows of ``df`` with a score below, all columns kept. A model without a
+    term tells no document from another and rejects none.
     Null and empty texts have no hit; a null id stays null; repeated rows are scored each; an empty table gives no row;
     other columns are never read for the score.
     """
+    if keep_below is not None and not model.terms:
+        return df
     shared = df.sparkSession.sparkContext.broadcast((FuzzyLexicon(model.terms, model.strict), model))
 
     def scores(texts: list[str], scanner: Scanner, fitted: Model):

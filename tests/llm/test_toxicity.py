@@ -158,3 +158,17 @@ def test_trim_table():
     chars, row, start, end, offsets, low = toxicity.split_chars(["a-b 'c' -- $d", "É"], space, trim)
     assert ["".join(map(chr, chars[a:b])) for a, b in zip(start, end)] == ["a-b", "c", "d", "é"]
     assert row.tolist() == [0, 0, 0, 1] and pa.array(low).to_pylist() == ["a-b 'c' -- $d", "é"]
+
+
+def test_without_a_term_every_document_stays(spark, fitted, monkeypatch):
+    import corpus_pipeline
+
+    df, lab, _ = fitted
+    keys = [r.doc_id for r in lab.collect()]
+    for rows in ([], [(1, None)], [(i, 1) for i in keys if held_out(i)], [(10**9 + i, 1) for i in range(9)],
+                 [(i, 1) for i in keys if not held_out(i)][:5]):
+        labels = spark.createDataFrame(rows, "doc_id long, toxic int")
+        monkeypatch.setattr(corpus_pipeline, "table", lambda s, d, name: labels)
+        assert toxicity.learn(df, labels).terms == []
+        kept = corpus_pipeline.drop_toxic(spark, df, "unused")
+        assert kept.schema == df.schema and sorted(r.doc_id for r in kept.collect()) == sorted(keys)
