@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from collections import Counter
+from collections.abc import Container
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -11,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from raresift.llm.automaton import FuzzyLexicon
+from raresift.llm.automaton import FuzzyLexicon, tolerance
 from raresift.llm.frames import held_out, materialize
 from raresift.llm.words import Words, mix, slices
 
@@ -214,13 +215,18 @@ def _term_counts(sample: DataFrame, groups: dict[int, int]) -> DataFrame:
     return found.distinct().groupBy("word").agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("other"))
 
 
+def _covered(word: str, chosen: Container[str]) -> bool:
+    stem = word.removesuffix("*")
+    return any(stem[:n] + "*" in chosen for n in range(1, len(stem) + 1))
+
+
 def _choose(rows: list[tuple[str, int]], most: int) -> list[str]:
     """Terms from (candidate, toxic documents), surest first: nothing a chosen stem already covers, and no stem that
     finds hardly more than a longer term that is chosen."""
     chosen: dict[str, int] = {}
     for word, toxic in rows:
         stem = word.removesuffix("*")
-        if any(stem[:n] + "*" in chosen for n in range(1, len(stem) + 1)):
+        if _covered(word, chosen):
             continue
         if word.endswith("*") and any(c.startswith(stem) and toxic <= 1.1 * n for c, n in chosen.items()):
             continue
@@ -230,12 +236,18 @@ def _choose(rows: list[tuple[str, int]], most: int) -> list[str]:
     return list(chosen)
 
 
+def _beside(rows: list[tuple[str, int]], chosen: list[str]) -> list[str]:
+    """The candidate words that a chosen stem covers and that may be misspelt: a stem allows no edit, they do."""
+    stems = set(chosen)
+    return [word for word, _ in rows if tolerance(word) and word not in stems and _covered(word, stems)]
+
+
 def learn(df: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text",
           fit_rows: int = 10_000, lexicon_size: int = 200, seed: int = 5) -> Model:
     """Fits lexicon, innocent words and weights on at most ``fit_rows`` labelled documents outside the held-out fold.
 
     A term is a word or a stem whose log odds of being in a toxic document, less 2.5 standard errors, exceed log 4; at
-    most ``lexicon_size`` terms, the surest first. An innocent word is within tolerance of a term but seen about as often in
+    most ``lexicon_size`` terms, the surest first, and beside a stem the words it covers that pass too, for their misspellings. An innocent word is within tolerance of a term but seen about as often in
     other documents; a term with ``CROWD`` innocent words around it is matched exactly only. What reaches the driver is bounded by the two numbers. Without labels nothing is learned and every
     score is 0.5; without a term it is the share of toxic labels.
     """
@@ -249,7 +261,9 @@ def learn(df: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
     groups = _groups([(r.key, r.prints) for r in _fingerprints(sample).collect()])
     terms = (_term_counts(sample, groups).withColumn("sure", F.round(odds - 2.5 * error, 9)).filter(F.col("sure") > float(np.log(4)))
              .orderBy(F.desc("sure"), F.desc(F.length(F.rtrim("word", F.lit("*")))), "word").limit(50 * lexicon_size).collect())
-    model = Model(_choose([(r.word, r.toxic) for r in terms], lexicon_size))
+    candidates = [(r.word, r.toxic) for r in terms]
+    chosen = _choose(candidates, lexicon_size)
+    model = Model(chosen + _beside(candidates, chosen))
     shared = df.sparkSession.sparkContext.broadcast(FuzzyLexicon(model.terms))
 
     def run(batches):

@@ -172,3 +172,21 @@ def test_without_a_term_every_document_stays(spark, fitted, monkeypatch):
         assert toxicity.learn(df, labels).terms == []
         kept = corpus_pipeline.drop_toxic(spark, df, "unused")
         assert kept.schema == df.schema and sorted(r.doc_id for r in kept.collect()) == sorted(keys)
+
+
+def test_a_stem_keeps_the_misspellings_of_its_words(spark):
+    rng = random.Random(3)
+    plain = [a + b for a in "th er on an re he in ed nd ha".split() for b in "at en es of or nt ea ti to it".split()]
+    docs = []
+    for i in range(700):
+        words = [rng.choice(plain) for _ in range(60)]
+        for at in (10, 20, 30, 40) if i % 4 == 0 else ():
+            words.insert(at, ["idiot", "idiots", "idiotic"][i // 4 % 3])
+        docs.append((i, " ".join(words)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    model = toxicity.learn(df, spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in docs], "doc_id long, toxic int"))
+    assert {"idio*", "idiot", "idiots", "idiotic"} == set(model.terms)
+    unseen = ["idiot", "idiotism", "idoit", "iidiot", "1diot", "idoits", "diotic"]
+    rows = [(i, " ".join([w] * 4 + plain[:60])) for i, w in enumerate(unseen)] + [(99, " ".join(plain))]
+    got = {r.doc_id: r.score for r in toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert got.pop(99) < 0.5 and min(got.values()) >= 0.5
