@@ -143,3 +143,25 @@ class FuzzyLexicon:
         order = np.argsort(where)
         where, state = where[order], state[order]
         return where, self.accept[state], self.edits[state]
+
+
+TABLE = 200  # terms of one table; its states grow a little faster than its terms
+
+
+class Lexicon:
+    """A lexicon of any size as several tables: the closest term of all, of equally close ones the first."""
+
+    def __init__(self, terms: list[str], strict: frozenset[str] = frozenset()):
+        self.parts = [(i, FuzzyLexicon(terms[i:i + TABLE], strict)) for i in range(0, max(len(terms), 1), TABLE)]
+
+    def find(self, chars: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As ``FuzzyLexicon.find``."""
+        found = []
+        for first, part in self.parts:
+            where, term, edits = part.find(chars, start, end)
+            found.append((where, term + first, edits))
+        where, term, edits = (np.concatenate(x) for x in zip(*found))
+        order = np.lexsort((term, edits, where))
+        where, term, edits = where[order], term[order], edits[order]
+        best = np.diff(where, prepend=-1) > 0
+        return where[best], term[best], edits[best]

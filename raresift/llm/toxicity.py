@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from raresift.llm.automaton import FuzzyLexicon, tolerance
+from raresift.llm.automaton import FuzzyLexicon, Lexicon, tolerance
 from raresift.llm.frames import held_out, materialize
 from raresift.llm.words import Words, mix, slices
 
@@ -113,7 +113,7 @@ def _inside_quotes(marks, at: int) -> bool:
 class Scanner:
     """Hits of whole texts with their context weights."""
 
-    def __init__(self, lexicon: FuzzyLexicon):
+    def __init__(self, lexicon: FuzzyLexicon | Lexicon):
         self.lexicon = lexicon
         self.space, self.trim = _tables()
 
@@ -220,17 +220,20 @@ def _covered(word: str, chosen: Container[str]) -> bool:
     return any(stem[:n] + "*" in chosen for n in range(1, len(stem) + 1))
 
 
-def _choose(rows: list[tuple[str, int]], most: int) -> list[str]:
+def _choose(rows: list[tuple[str, int]], most: int | None = None) -> list[str]:
     """Terms from (candidate, toxic documents), surest first: nothing a chosen stem already covers, and no stem that
     finds hardly more than a longer term that is chosen."""
     chosen: dict[str, int] = {}
+    longer: dict[str, int] = {}  # beginning -> most documents of a chosen term that begins so
     for word, toxic in rows:
         stem = word.removesuffix("*")
         if _covered(word, chosen):
             continue
-        if word.endswith("*") and any(c.startswith(stem) and toxic <= 1.1 * n for c, n in chosen.items()):
+        if word.endswith("*") and toxic <= 1.1 * longer.get(stem, -1):
             continue
         chosen[word] = toxic
+        for n in range(1, len(word) + 1):
+            longer[word[:n]] = max(toxic, longer.get(word[:n], toxic))
         if len(chosen) == most:
             break
     return list(chosen)
@@ -243,12 +246,12 @@ def _beside(rows: list[tuple[str, int]], chosen: list[str]) -> list[str]:
 
 
 def learn(df: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text",
-          fit_rows: int = 10_000, lexicon_size: int = 200, seed: int = 5) -> Model:
+          fit_rows: int = 10_000, seed: int = 5) -> Model:
     """Fits lexicon, innocent words and weights on at most ``fit_rows`` labelled documents outside the held-out fold.
 
-    A term is a word or a stem whose log odds of being in a toxic document, less 2.5 standard errors, exceed log 4; at
-    most ``lexicon_size`` terms, the surest first, and beside a stem the words it covers that pass too, for their misspellings. An innocent word is within tolerance of a term but seen about as often in
-    other documents; a term with ``CROWD`` innocent words around it is matched exactly only. What reaches the driver is bounded by the two numbers. Without labels nothing is learned and every
+    A term is a word or a stem whose log odds of being in a toxic document, less 2.5 standard errors, exceed log 4;
+    all that pass are taken but for stems and words that add nothing (``_choose``), and beside a stem the words it covers that pass too, for their misspellings. An innocent word is within tolerance of a term but seen about as often in
+    other documents; a term with ``CROWD`` innocent words around it is matched exactly only. What reaches the driver is bounded by the sample's words. Without labels nothing is learned and every
     score is 0.5; without a term it is the share of toxic labels.
     """
     sample = materialize(_sample(df, labels, label_col, id_col, text_col, fit_rows, seed), "toxicity-sample")
@@ -260,11 +263,11 @@ def learn(df: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
     error = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("other") + 0.5))
     groups = _groups([(r.key, r.prints) for r in _fingerprints(sample).collect()])
     terms = (_term_counts(sample, groups).withColumn("sure", F.round(odds - 2.5 * error, 9)).filter(F.col("sure") > float(np.log(4)))
-             .orderBy(F.desc("sure"), F.desc(F.length(F.rtrim("word", F.lit("*")))), "word").limit(50 * lexicon_size).collect())
+             .orderBy(F.desc("sure"), F.desc(F.length(F.rtrim("word", F.lit("*")))), "word").collect())
     candidates = [(r.word, r.toxic) for r in terms]
-    chosen = _choose(candidates, lexicon_size)
+    chosen = _choose(candidates)
     model = Model(chosen + _beside(candidates, chosen))
-    shared = df.sparkSession.sparkContext.broadcast(FuzzyLexicon(model.terms))
+    shared = df.sparkSession.sparkContext.broadcast(Lexicon(model.terms))
 
     def run(batches):
         scanner = Scanner(shared.value)
@@ -334,7 +337,7 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
     """
     if keep_below is not None and not model.terms:
         return df
-    shared = df.sparkSession.sparkContext.broadcast((FuzzyLexicon(model.terms, model.strict), model))
+    shared = df.sparkSession.sparkContext.broadcast((Lexicon(model.terms, model.strict), model))
 
     def scores(texts: list[str], scanner: Scanner, fitted: Model):
         count, hits = scanner.hits(texts)

@@ -190,3 +190,29 @@ def test_a_stem_keeps_the_misspellings_of_its_words(spark):
     rows = [(i, " ".join([w] * 4 + plain[:60])) for i, w in enumerate(unseen)] + [(99, " ".join(plain))]
     got = {r.doc_id: r.score for r in toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
     assert got.pop(99) < 0.5 and min(got.values()) >= 0.5
+
+
+def test_every_term_that_passes_is_taken(spark):
+    """Over 200 terms, each in its own documents; the last ones count as the first do."""
+    rng = random.Random(5)
+    plain = [a + b for a in "th er on an re he in ed nd ha".split() for b in "at en es of or nt ea ti to it".split()]
+    bad = ["%s%s" % (a, b) for a in "zu wy qo xi vu ky jo gy bu mi lo pe fa du".split() for b in "zax wib qek xoc vum pyl jun gaf byr mox lep piz fod dah sil kur".split()][:216]
+    docs = [(i, " ".join(rng.sample(plain, 25) + (rng.sample(bad, 50) if i % 5 == 0 else [])), int(i % 5 == 0)) for i in range(1200)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, toxic int")
+    model = toxicity.learn(df, df.select("doc_id", "toxic"))
+    assert set(bad) <= set(model.terms) | {t for t in bad if any(t.startswith(m[:-1]) for m in model.terms if m.endswith("*"))}
+    assert sum(not m.endswith("*") for m in model.terms) > 200
+
+
+def test_several_tables_are_one_lexicon(monkeypatch):
+    from raresift.llm import automaton
+
+    words = sorted({w for t in TERMS for w in (t.strip("*"), t.strip("*")[1:], t[:2] + "x" + t[2:].strip("*"), t.strip("*") + "s")} | {"", "x"})
+    chars = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+    end = np.cumsum([len(w) for w in words])
+    start = end - [len(w) for w in words]
+    one = [x.tolist() for x in FuzzyLexicon(TERMS).find(chars, start, end)]
+    for size in (1, 3, 200):
+        monkeypatch.setattr(automaton, "TABLE", size)
+        assert [x.tolist() for x in automaton.Lexicon(TERMS).find(chars, start, end)] == one
+    assert all(len(x) == 0 for x in automaton.Lexicon([]).find(chars, start, end))
