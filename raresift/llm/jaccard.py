@@ -9,6 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from raresift.llm.components import connected_components
 from raresift.llm.frames import arrow_rows, materialize
@@ -303,17 +304,8 @@ def _pairs(df: DataFrame, one: Column, two: Column, num: int, den: int) -> DataF
         .select(F.col("p.sid").alias("a"), F.col("q.sid").alias("b"), F.col("p.n").alias("na"), F.col("q.n").alias("nb")).distinct()
 
 
-def join_components(df: DataFrame, k: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id.
-
-    Words are runs without ASCII white space, A-Z lower-cased; a row's set holds its distinct k-word n-grams, or its whole
-    sequence if it has fewer words. Rows link if den * intersection >= num * union, counted exactly on 64-bit hashes; component_id
-    is the smallest doc_id reachable. Equal sets are one node from the start, found by their digest, so copies cost
-    one number each. A second digest proves that equal digests mean equal sets; else the operator raises.
-
-    Null and empty texts and texts of white space: n_shingles 0, linked with nothing (component_id is the own id). A null id
-    stays null with component_id null and links nothing. Rows with the same id are separate rows. An empty table gives no row; other columns are ignored.
-    """
+def _components(df: DataFrame, k: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
+    """What ``join_components`` gives, with sid and a number of the component, c: components whose smallest id is the same differ in it."""
     docs = _documents(df, id_col, text_col)
     table = materialize(document_sets(df, k, id_col, text_col), "join-documents")
     nodes = table.filter("sid is not null and doc_id is not null")
@@ -328,18 +320,60 @@ def join_components(df: DataFrame, k: int = 4, num: int = 85, den: int = 100, id
         .withColumnRenamed("id", "sid").withColumnRenamed("component_id", "c")
     named = reps.select("sid", "doc_id").join(comps, "sid", "left").withColumn("c", F.coalesce("c", "sid"))
     lowest = named.groupBy("c").agg(F.min("doc_id").alias("component_id"))
-    by_set = named.join(lowest, "c").select("sid", "component_id")
-    return table.join(by_set, "sid", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    by_set = named.join(lowest, "c").select("sid", "component_id", "c")
+    named_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")
+    return table.join(by_set, "sid", "left").select("doc_id", "n_shingles", named_id, "sid", "c")
+
+
+def join_components(df: DataFrame, k: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id.
+
+    Words are runs without ASCII white space, A-Z lower-cased; a row's set holds its distinct k-word n-grams, or its whole
+    sequence if it has fewer words. Rows link if den * intersection >= num * union, counted exactly on 64-bit hashes; component_id
+    is the smallest doc_id reachable. Equal sets are one node from the start, found by their digest, so copies cost
+    one number each. A second digest proves that equal digests mean equal sets; else the operator raises.
+
+    Null and empty texts and texts of white space: n_shingles 0, linked with nothing (component_id is the own id). A null id
+    stays null with component_id null and links nothing. Rows with the same id are separate rows. An empty table gives no row; other columns are ignored.
+    """
+    return _components(df, k, num, den, id_col, text_col).drop("sid", "c")
 
 
 def first_of_groups(df: DataFrame, k: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` whose id is the smallest of their component, by ``join_components``; all columns are kept.
+    """One row of every component of ``join_components``, of the smallest id; all columns are kept.
 
-    Equal rows of one id and text become one; other rows that share an id stay or go together. Rows without a word or with a null id
-    stay. Only the ids to drop are joined with the wide table.
+    Rows are kept by id and n-gram set: of an id with several texts each goes or stays with its own component, and of several sets of
+    the smallest id the one with the smallest digest stays. Equal rows of one id and text become one. Rows without a word or with a
+    null id stay. Only the ids to drop are joined with the wide table, and digests with the rows of ids that have several sets.
     """
-    found = materialize(join_components(df, k, num, den, id_col, text_col), "join-result")
-    drop = found.filter("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    repeated = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").head(1)
-    kept = df.join(drop, id_col, "left_anti")
-    return kept.dropDuplicates([id_col, text_col]) if repeated else kept
+    found = materialize(_components(df, k, num, den, id_col, text_col), "join-result")
+    known = found.filter("doc_id is not null")
+    if not known.groupBy("doc_id").count().filter("count > 1").head(1):
+        drop = known.filter("doc_id <> component_id").select(F.col("doc_id").alias(id_col))
+        return df.join(drop, id_col, "left_anti")
+    sets = materialize(known.select("doc_id", "sid", "c", "component_id").distinct(), "join-sets")  # a null sid for rows without a word
+    mixed = materialize(sets.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "join-mixed")
+    drop = sets.filter("doc_id <> component_id").join(mixed, "doc_id", "left_anti").select(F.col("doc_id").alias(id_col)).distinct()
+    several = mixed.select(F.col("doc_id").alias(id_col))
+    first = sets.filter("sid is not null and doc_id = component_id").groupBy("doc_id", "c").agg(F.min("sid").alias("first"))
+    gone = sets.join(mixed, "doc_id", "left_semi").join(first, ["doc_id", "c"], "left") \
+        .filter("sid is not null and (doc_id <> component_id or sid <> first)").select(F.col("doc_id").alias(id_col), "sid")
+    rest = df.join(drop, id_col, "left_anti").join(several, id_col, "left_anti")
+    marked = _with_sid(df.join(several, id_col, "left_semi"), k, text_col)
+    kept = marked.join(gone.withColumnRenamed("sid", SID), [id_col, SID], "left_anti").drop(SID)
+    return rest.unionByName(kept.select(*df.columns)).dropDuplicates([id_col, text_col])
+
+
+SID = "__sid"
+
+
+def _with_sid(df: DataFrame, k: int, text_col: str) -> DataFrame:
+    """``df`` and the digest of each row's n-gram set, as in ``document_sets``."""
+    def run(batches):
+        sets = _Sets(k)
+        for batch in batches:
+            for part in slices(batch, text_col):
+                at, _, one, _ = sets(part, text_col)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(one, mask=np.diff(at) == 0)], names=[*part.schema.names, SID])
+
+    return df.mapInArrow(run, StructType([*df.schema.fields, StructField(SID, LongType())]))

@@ -106,6 +106,15 @@ def test_null_repeated_and_empty(spark):
     assert kept == [(-1, "a b c d e"), (3, "a b c d e"), (9, None)] or kept[0][0] == -1 and len(kept) == 3
 
 
+def test_first_of_groups_by_id_and_text(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(5, a), (9, a), (5, b), (2, b), (5, b), (7, c), (7, c + " z"), (8, c), (7, "other words"), (7, "other words"), (7, None), (5, ""), (4, None), (None, a)]
+    kept = sorted(((r.doc_id or -1, r.text or "") for r in jaccard.first_of_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    third = [x for x in kept if x[1] in (c, c + " z")]
+    assert len(third) == 1 and third[0][0] == 7  # one of the near copies of the smallest id
+    assert sorted(set(kept) - set(third)) == sorted({(5, a), (2, b), (7, "other words"), (7, ""), (5, ""), (4, ""), (-1, a)}) and len(kept) == 8
+
+
 def test_word_hashes():
     texts = ["", "a", None, " Ab  aB\tab ", "é É", "x" * 3_000_000 + " y", "a" * 10, " ", "q w"] * 2
     w = words.Words("space")
