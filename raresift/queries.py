@@ -559,9 +559,6 @@ add("s4_require_source", _checked_source, "SELECT count(*) AS n FROM lineitem")
 
 # --- base models, search, jobs --------------------------------------------------------------------------------------------
 
-_SMALL = {"n_estimators": 5, "max_iter": 30}
-
-
 def _selected(s, d):
     df = V.txn_features(s, d)
     steps = features.fit_feature_steps(df, V.TXN_FEATURES)
@@ -578,7 +575,7 @@ def _model(name, params=None, step=None):
         split = materialize(splits.holdout(V.txn_features(s, d), 0.15, 7), "split")
         train, test = split.where(~F.col("held_out")), split.where("held_out")
         resampler = resample.resampler(step) if step else None
-        fitted = search.fit_model(train, name, params or _SMALL, V.TXN_FEATURES, resampler=resampler)
+        fitted = search.fit_model(train, name, params or {}, V.TXN_FEATURES, resampler=resampler)
         out = voting.decide(fitted.score(test)).select(F.lit(name).alias("model"), F.col("Class").alias("y"), "p1", "pred")
         return rounded(metrics.metrics(out, ["model"]))
 
@@ -618,7 +615,7 @@ add("m11_knn_vote_distance", _neighbour_votes("distance", 1), _vote_sql("distanc
 
 
 def _halving(s, d):
-    found = search.halving_search(V.txn_features(s, d), "DecisionTreeClassifier", V.TXN_FEATURES, candidates=3)
+    found = search.halving_search(V.txn_features(s, d), "DecisionTreeClassifier", V.TXN_FEATURES)
     return s.createDataFrame([{"model": "DecisionTreeClassifier", **search.tuning_row(found)}], experiment.TUNING_SCHEMA).drop("tuning_time")
 
 
@@ -637,20 +634,14 @@ add("h5_cross_validate", _cross_validated)
 def _experiment(s, d):
     import uuid
 
-    cfg = experiment.Settings(splits=2, repeats=1, candidates=1, models=["DecisionTreeClassifier", "AdaBoostClassifier"],
-                              pools={"small": ["DecisionTreeClassifier", "AdaBoostClassifier"]}, runs=[0],
-                              dynamic=["OLA", "KNORAU", "StackedClassifier"], fixed_params={"AdaBoostClassifier": {"n_estimators": 3}})
-    out = experiment.run_experiment(V.txn_features(s, d), V.TXN_FEATURES, cfg, f"{work_dir(s)}/experiment-{uuid.uuid4().hex}", "run_1")
+    out = experiment.run_experiment(V.txn_features(s, d), V.TXN_FEATURES, experiment.Settings(), f"{work_dir(s)}/experiment-{uuid.uuid4().hex}", "run_1")
     return rounded(out.select("split", "pool_name", "model", *metrics.METRICS))
 
 
 add("j3_experiment", _experiment)
-add("j7_benchmark", lambda s, d: rounded(experiment.benchmark_resamplers(
-    V.txn_features(s, d), V.TXN_FEATURES, ["RandomUnderSampler", "Under20_SMOTEENN"], 2, params=_SMALL)))
-
-
-# all techniques behind one model, on the small table of vectors
-add("j7_benchmark_all", lambda s, d: rounded(experiment.benchmark_resamplers(V.vec_features(s, d), V.VEC_FEATURES, None, 2, params=_SMALL)))
+# all techniques behind one model, on line items and on the small table of vectors
+add("j7_benchmark", lambda s, d: rounded(experiment.benchmark_resamplers(V.txn_features(s, d), V.TXN_FEATURES)))
+add("j7_benchmark_all", lambda s, d: rounded(experiment.benchmark_resamplers(V.vec_features(s, d), V.VEC_FEATURES)))
 
 
 def _batch(s, d):

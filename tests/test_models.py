@@ -52,3 +52,48 @@ def test_experiment_rows(spark, planted, tmp_path):
     assert all(r["cv_tuning_std_val_score"] == 0.0 for r in out if r["split"] == "resubstitution")
     with pytest.raises(ValueError, match="not trained"):
         experiment.Settings(models=["SVC"], pools={"x": ["MLPClassifier"]}).check()
+
+
+def test_registered_jobs_are_whole(monkeypatch):
+    """Registered models, searches and experiments use the defaults, no smaller settings."""
+    import inspect
+
+    from raresift import config, queries
+    from raresift.plans import experiment as plans
+
+    calls = {}
+
+    def caught(name, function):
+        def call(*args, **kwargs):
+            bound = inspect.signature(function).bind(*args, **kwargs)
+            bound.apply_defaults()
+            calls[name] = bound.arguments
+            raise StopIteration
+
+        return call
+
+    for module, name in ((plans, "run_experiment"), (plans, "benchmark_resamplers"), (queries.search, "halving_search"), (queries.search, "fit_model")):
+        monkeypatch.setattr(module, name, caught(name, getattr(module, name)))
+    monkeypatch.setattr(queries, "materialize", lambda df, *a: df)
+    for name in ("txn_features", "vec_features"):
+        monkeypatch.setattr(queries.V, name, lambda s, d: None)
+    monkeypatch.setattr(queries, "work_dir", lambda s: "work")
+    frame = type("Frame", (), {"where": lambda self, *a: self})()
+    monkeypatch.setattr(queries.splits, "holdout", lambda *a: frame)
+    monkeypatch.setattr(queries.F, "col", lambda c: True)
+    for name, key in (("j3_experiment", "run_experiment"), ("j7_benchmark", "benchmark_resamplers"), ("j7_benchmark_all", "benchmark_resamplers"),
+                      ("h2_halving_search", "halving_search"), ("m2_randomforestclassifier", "fit_model"), ("r14_resampled_fit", "fit_model")):
+        calls.clear()
+        try:
+            queries.QUERIES[name](None, "unused")
+        except StopIteration:
+            pass
+        got = calls[key]
+        if key == "run_experiment":
+            assert got["cfg"] == plans.Settings()
+        elif key == "benchmark_resamplers":
+            assert got["techniques"] is None and got["folds"] == config.BENCHMARK_SPLITS and not got["params"]
+        elif key == "halving_search":
+            assert got["candidates"] == config.TUNING_CANDIDATES
+        else:
+            assert got["params"] == {}
