@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from raresift.llm import chat, decontam, jaccard, licenses, neardup, packing, pii, quality, toxicity, warc
+from raresift.llm import chat, decontam, idfile, jaccard, licenses, neardup, packing, pii, quality, toxicity, warc
 from raresift.llm.frames import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -190,3 +190,13 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op8_license_scan"] = op8_license_scan
+
+
+# --- token-id files -------------------------------------------------------------------------------
+
+
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return idfile.read_documents(idfile.write_ids(table(spark, sf_dir, "documents"), tokenizer_file()))
+
+
+QUERIES["op11_token_files"] = op11_token_files
