@@ -17,9 +17,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from raresift.llm.frames import arrow_rows, materialize, spread
-from raresift.llm.tokens import shared_encoder
+from raresift.llm.tokens import blocks, shared_encoder
 from raresift.llm.warc import open_store
-from raresift.llm.words import slices
 from raresift.sources.storage import work_dir
 
 MAGIC = b"RSIDS001"
@@ -201,18 +200,17 @@ def write_ids(df: DataFrame, tokenizer: str, folder: str | None = None, id_col:
             return pa.RecordBatch.from_arrays([pa.array([x], pa.string() if i == 2 else pa.int64()) for i, x in enumerate(row)],
                                               names=["part", "piece", "path", "n_docs", "n_ids", "first_doc", "last_doc"])
 
-        for batch in batches:
-            for some in slices(batch, "text"):
-                at, ids = encode(some.column("text"))
-                for i, doc in enumerate(some.column("doc_id").to_pylist()):
-                    if writer is None:
-                        store.create_dir(base, recursive=True)
-                        path = f"{folder}/part-{part:06d}-{piece:04d}-{uuid.uuid4().hex}.ids"
-                        writer = IdWriter(store.open_output_stream(f"{base}/{path.rpartition('/')[2]}"), bits, block)
-                    writer.add(doc, np.append(ids[at[i]:at[i + 1]], np.uint32(end_id)))
-                    if writer.ids >= file_ids or len(writer.docs) >= FILE_DOCS:
-                        yield closed()
-                        writer, piece = None, piece + 1
+        for some in blocks(batches, "text"):
+            at, ids = encode(some.column("text"))
+            for i, doc in enumerate(some.column("doc_id").to_pylist()):
+                if writer is None:
+                    store.create_dir(base, recursive=True)
+                    path = f"{folder}/part-{part:06d}-{piece:04d}-{uuid.uuid4().hex}.ids"
+                    writer = IdWriter(store.open_output_stream(f"{base}/{path.rpartition('/')[2]}"), bits, block)
+                writer.add(doc, np.append(ids[at[i]:at[i + 1]], np.uint32(end_id)))
+                if writer.ids >= file_ids or len(writer.docs) >= FILE_DOCS:
+                    yield closed()
+                    writer, piece = None, piece + 1
         if writer is not None:
             yield closed()
 

@@ -14,9 +14,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from raresift.llm.words import text_buffers
+from raresift.llm.words import slices, text_buffers
 
-ROOM = 1 << 20  # remembered pieces, at most 24 MB of them
+ROOM = 1 << 21  # remembered pieces, at most 40 MB of them
+BATCH = 8 << 20  # bytes of text encoded together
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -108,7 +109,7 @@ class Encoder:
         starts = starts[np.append(starts[1:] > starts[:-1], starts[-1] < len(data))]
         ends = pa.py_buffer(np.append(starts, len(data)).astype(np.int64))
         parts = pa.LargeStringArray.from_buffers(len(starts), ends, pa.py_buffer(np.ascontiguousarray(data))).dictionary_encode()
-        if len(self.known) > ROOM or self.known.nbytes > 24 << 20:
+        if len(self.known) > ROOM or self.known.nbytes > 40 << 20:
             self._forget()
         at = pc.index_in(parts.dictionary, value_set=self.known)
         if at.null_count:
@@ -126,6 +127,20 @@ class Encoder:
         return np.append(0, ends)[np.searchsorted(starts, offsets)], out
 
 
+def blocks(batches, text_col: str, limit: int = BATCH):
+    """The rows of Arrow batches in parts of about ``limit`` bytes of text: small batches are put together, large ones cut."""
+    waiting, size = [], 0
+    for batch in batches:
+        for part in slices(batch, text_col, limit):
+            waiting.append(part)
+            size += len(part) + int(text_buffers(part.column(text_col))[0][-1])
+            if size >= limit:
+                yield pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
+                waiting, size = [], 0
+    if size:
+        yield pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
+
+
 def shared_encoder(spec: str) -> Encoder:
     """The encoder of this Python process: tasks that follow each other in a worker share what it has learned."""
     import tokenizers

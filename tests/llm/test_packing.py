@@ -51,6 +51,7 @@ def reference_ids(texts):
 
 ODD = [None, "", " ", "a", "<|endoftext|> and <|endoftext|>", "<|endoftext", "\x00�   　x", "é" * 3000, "no stops " * 2000,
        "Ünïcode ​ 🙂🙃 12345 it's we'LL\r\n\r\n  tail  ", "x" * 5000, "!?" * 700]
+LONG = [" " * 3000000, "\t" * 3000000, "\n" * 3000000, "a" + " " * 1200000 + "b"]
 
 
 def check_pieces(rows, texts, limit):
@@ -84,6 +85,11 @@ def test_pieces_are_the_documents(spark, limit, block):
     check_pieces(rows, texts, limit)
 
 
+def test_long_white_space(spark):
+    df = spark.createDataFrame(list(enumerate(LONG)), "doc_id long, text string")
+    check_pieces(packing.pack(df, tokenizer_file()).collect(), LONG, 1024)
+
+
 def test_whole_table_with_little_padding(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect()
     df = spark.createDataFrame([(i, d.text) for i, d in enumerate(docs)], "doc_id long, text string").coalesce(1)
