@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from raresift.llm import chat, decontam, idfile, jaccard, licenses, neardup, packing, pii, quality, toxicity, warc
+from raresift.llm import chat, decontam, idfile, jaccard, licenses, neardup, packing, pii, quality, toxicity, warc, whitening
 from raresift.llm.frames import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -200,3 +200,14 @@ def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op11_token_files"] = op11_token_files
+
+
+# --- whitening ------------------------------------------------------------------------------------
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return out.withColumn("deviation", F.col("deviation").cast("long"))  # an error where 64 bits are too few
+
+
+QUERIES["op13_whitening"] = op13_whitening
