@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from raresift.llm import chat, decontam, idfile, jaccard, licenses, neardup, packing, pii, quality, toxicity, warc, whitening
+from raresift.llm import chat, decontam, idfile, jaccard, licenses, neardup, packing, pii, quality, toxicity, variants, warc, whitening
 from raresift.llm.frames import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -211,3 +211,45 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op13_whitening"] = op13_whitening
+
+
+# --- spelling variants ----------------------------------------------------------------------------
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op12_spelling_variants"] = op12_spelling_variants
+_CRC_STEP = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+ORACLES["op12_spelling_variants"] = f"""
+WITH RECURSIVE crc AS (
+  SELECT i, 0 AS k, CAST(i AS BIGINT) AS c FROM range(256) t(i)
+  UNION ALL SELECT i, k + 1, {_CRC_STEP} FROM crc WHERE k < 8),
+steps AS (SELECT list(c ORDER BY i) AS s FROM crc WHERE k = 8),
+runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+each AS (SELECT doc_id, run, length(run) AS len, count(*) AS n FROM runs WHERE length(run) >= 5 GROUP BY 1, 2),
+bytes AS (SELECT *, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS x FROM each),
+sums AS (
+  SELECT *, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(CAST(length(x) // 2 AS BIGINT)),
+    lambda i: CAST('0x' || substr(x, CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT))),
+    lambda c, b: xor(c >> 8, s[CAST(xor(c & 255, b) + 1 AS BIGINT)]))) AS h FROM bytes, steps),
+spelt AS (
+  SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, CAST(h % len AS BIGINT)) || substr(run, CAST(h % len + 2 AS BIGINT)) ELSE run END AS word, n FROM sums),
+words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM spelt WHERE length(word) >= 5 GROUP BY 1 HAVING sum(n) >= 3),
+less AS (
+  SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS (
+  SELECT a.word AS a, b.word AS b FROM less a JOIN less b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT word, rest FROM less WHERE rest IN (SELECT word FROM words)
+  UNION SELECT rest, word FROM less WHERE rest IN (SELECT word FROM words)),
+ranked AS (
+  SELECT a AS word, b AS other, w.n AS other_n, count(*) OVER (PARTITION BY a) AS n_near, row_number() OVER (PARTITION BY a ORDER BY w.n DESC, b) AS r
+  FROM near JOIN words w ON w.word = near.b),
+named AS (
+  SELECT w.word, w.n, coalesce(r.n_near, 0) AS n_near, CASE WHEN r.other_n >= 2 * w.n THEN r.other END AS form, CASE WHEN r.other_n >= 2 * w.n THEN r.other_n END AS form_n
+  FROM words w LEFT JOIN ranked r ON r.word = w.word AND r.r = 1),
+chain AS (SELECT word, word AS root, form AS next FROM named UNION ALL SELECT c.word, n.word, n.form FROM chain c JOIN named n ON n.word = c.next)
+SELECT n.word, n.form, c.root, n.n, n.n_near, n.form_n FROM named n JOIN chain c ON c.word = n.word AND c.next IS NULL"""
