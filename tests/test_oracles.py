@@ -25,3 +25,22 @@ def test_contract(spark):
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).count() == 1
+
+
+def test_entry_without_the_subpackage(tmp_path):
+    """The entry imports, and offers the other queries, where raresift/llm is deleted, with or without the pipeline's file."""
+    import os
+    import shutil
+    import subprocess
+    import sys
+
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    for pipeline in (True, False):
+        copy = tmp_path / str(pipeline)
+        shutil.copytree(os.path.join(repo, "raresift"), copy / "raresift", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+        shutil.copy(os.path.join(repo, "__spark_entry__.py"), copy)
+        if pipeline and os.path.exists(os.path.join(repo, "corpus_pipeline.py")):
+            shutil.copy(os.path.join(repo, "corpus_pipeline.py"), copy)
+        code = "import __spark_entry__ as e; q = e.queries(); print(len(q), any(n.startswith('op') for n in q), 'pipeline' in q)"
+        out = subprocess.run([sys.executable, "-c", code], cwd=copy, capture_output=True, text=True, env={**os.environ, "PYTHONPATH": ""}, timeout=120)
+        assert out.stdout.split() == [str(len(queries.QUERIES)), "False", "False"], out.stderr[-1000:]
