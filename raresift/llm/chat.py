@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from raresift.llm.words import slices
+
 SEGMENTS = "conv_id long, segment long, turn long, role string, text string, loss boolean, state string"
 
 
@@ -55,12 +57,28 @@ class Template:
         """Roles are escaped as texts are, and their colons too, as a colon ends the role in ``open``."""
         return self.quote(role).replace(":", self.escape + ":")
 
-    def reader(self) -> re.Pattern:
-        """Matches one formatted turn; groups role and text are still escaped."""
-        before, after = (re.escape(x) for x in self.open.split("{role}"))
-        e, close = re.escape(self.escape), re.escape(self.close)
-        inside = rf"(?:[^{e}]|{e}.)*?"
-        return re.compile(rf"{before}(?P<role>{inside}){after}(?P<text>{inside}){close}{re.escape(self.after)}", re.S)
+    def _until(self, text: str, at: int, mark: str) -> int:
+        """Where ``mark`` first stands at or after ``at`` behind an even number of escapes; -1 if nowhere. Linear, as every run of
+        escapes belongs to one place."""
+        found = text.find(mark, at)
+        while found >= 0:
+            i = found
+            while i > at and text[i - 1] == self.escape:
+                i -= 1
+            if (found - i) % 2 == 0:
+                return found
+            found = text.find(mark, found + 1)
+        return -1
+
+    def parse(self, turn: str) -> tuple[str, str] | None:
+        """Role and text, still escaped, of one formatted turn; None if it is none."""
+        before, after = self.open.split("{role}")
+        end = self.close + self.after
+        if not turn.startswith(before):
+            return None
+        role = self._until(turn, len(before), after)
+        text = self._until(turn, role + len(after), end) if role >= 0 else -1
+        return (turn[len(before):role], turn[role + len(after):text]) if text >= 0 and text + len(end) == len(turn) else None
 
     def unquote(self, text: str) -> str:
         return re.sub(re.escape(self.escape) + "(.)", r"\1", text, flags=re.S)
@@ -83,8 +101,8 @@ def format_chat(df: DataFrame, template: Template | None = None, conv_col: str =
     not keep the turn from being formatted. A last segment of empty text closes every conversation with state
     "accepted" or "rejected" (an invalid turn, or an end in a state that is not final).
 
-    One shuffle by conversation and a sort in the tasks; rows are streamed, so memory is bounded by an Arrow batch
-    however long a conversation is. A conversation's turns must meet in one task, as turn order and the digests of
+    One shuffle by conversation and a sort in the tasks; rows are streamed, so memory is bounded by an Arrow batch and a few
+    copies of the longest turn, however long a conversation is. A conversation's turns must meet in one task, as turn order and the digests of
     its formatted text are sequential; nothing of it is collected there.
 
     Null texts and roles are empty strings (an empty role is no allowed move); rows with a null conv_id form one
@@ -108,9 +126,9 @@ def format_chat(df: DataFrame, template: Template | None = None, conv_col: str =
                     (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.string()))],
                 names=["conv_id", "segment", "turn", "role", "text", "loss", "state"])
 
-        for batch in batches:
+        for part in (x for batch in batches for x in slices(batch, "text")):
             size = 0
-            for c, turn, role, text in zip(*(batch.column(x).to_pylist() for x in ("conv_id", "turn", "role", "text"))):
+            for c, turn, role, text in zip(*(part.column(x).to_pylist() for x in ("conv_id", "turn", "role", "text"))):
                 if not started or c != conv:
                     if started:
                         rows.append(end())
@@ -146,7 +164,6 @@ def read_back(segments: DataFrame, template: Template | None = None) -> DataFram
     t = template or Template()
 
     def run(batches):
-        reader = t.reader()
         rows: list[tuple] = []
         conv, started = None, False
         n = turns = loss = loss_chars = chars = pending = None
@@ -154,8 +171,8 @@ def read_back(segments: DataFrame, template: Template | None = None) -> DataFram
         def begin():
             return 0, hashlib.sha256(), hashlib.sha256(), 0, 0, []
 
-        for batch in batches:
-            for c, text, masked, state in zip(*(batch.column(x).to_pylist() for x in ("conv_id", "text", "loss", "state"))):
+        for part in (x for batch in batches for x in slices(batch, "text")):
+            for c, text, masked, state in zip(*(part.column(x).to_pylist() for x in ("conv_id", "text", "loss", "state"))):
                 if not started or c != conv:
                     conv, started = c, True
                     n, turns, loss, loss_chars, chars, pending = begin()
@@ -172,10 +189,12 @@ def read_back(segments: DataFrame, template: Template | None = None) -> DataFram
                     continue
                 pending.append(text)
                 if text == t.close + t.after:  # an escaped text never equals the closing mark
-                    found = reader.fullmatch("".join(pending))
+                    found = t.parse("".join(pending))
                     if found is None:
                         raise ValueError(f"conversation {conv}: a turn can't be read back")
-                    turns.update(f"{t.unquote(found['role'])}\n{t.unquote(found['text'])}\n".encode("utf-8"))
+                    for part in found:
+                        turns.update(t.unquote(part).encode("utf-8"))
+                        turns.update(b"\n")
                     n, pending = n + 1, []
             if rows:
                 yield pa.RecordBatch.from_arrays(

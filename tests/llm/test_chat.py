@@ -30,8 +30,9 @@ def test_escapes_are_reversible(text, role):
     quoted = T.quote(text)
     assert T.unquote(quoted) == text and T.unquote(T.quote_role(role)) == role
     before, after = T.open.split("{role}")
-    found = T.reader().fullmatch(before + T.quote_role(role) + after + quoted + T.close + T.after)
-    assert T.unquote(found["text"]) == text and T.unquote(found["role"]) == role
+    found = T.parse(before + T.quote_role(role) + after + quoted + T.close + T.after)
+    assert found and T.unquote(found[1]) == text and T.unquote(found[0]) == role
+    assert T.parse(before + T.quote_role(role) + after + quoted + T.close) is None and T.parse("x" + before) is None
     assert "###" not in quoted
 
 
@@ -78,3 +79,20 @@ def test_damage_is_noticed(spark):
 def test_templates_that_cannot_be_read_back(bad):
     with pytest.raises(ValueError):
         chat.Template(**bad)
+
+
+def test_long_turns_take_little_memory(spark):
+    import tracemalloc
+
+    text = ("long \\ # </turn> text" * 250000)[:4_000_000]
+    before, after = T.open.split("{role}")
+    turn = before + "user" + after + T.quote(text) + T.close + T.after
+    tracemalloc.start()
+    role, found = T.parse(turn)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert role == "user" and T.unquote(found) == text and peak < 3 * len(turn)
+    got, _ = run(spark, [(1, 0, "user", text), (1, 1, "assistant", text), (2, 0, "user", "\\" * 3_000_000), (2, 1, "assistant", "")])
+    for conv, turns in ((1, [("user", text), ("assistant", text)]), (2, [("user", "\\" * 3_000_000), ("assistant", "")])):
+        r = got[conv]
+        assert (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) == expected(turns)
