@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
 import numpy as np
@@ -16,7 +17,9 @@ from raresift.llm.frames import arrow_rows, materialize
 from raresift.llm.words import Words, mix, shingle_sets, slices
 
 FRAGMENTS = 8  # cuts of the n-gram order for counting overlaps
-ENTRIES = 1 << 20  # prefix entries per bucket and per flush of a task
+ENTRIES = 1 << 18  # prefix entries per flush of a task; a bucket has about as many
+PART = 1 << 20  # bytes of text whose sets are held together
+SPLIT = 16  # parts of a hot n-gram's rows when their number is joined to them
 PROFILE = 64  # fragments of the n-gram order in a set's profile
 LIST = 64  # about so many sets in a list of one n-gram
 OWN_LIST = 64  # a component with so many sets under an n-gram has lists of its own
@@ -47,7 +50,7 @@ def document_sets(df: DataFrame, k: int, id_col: str, text_col: str) -> DataFram
     def run(batches):
         sets = _Sets(k)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", PART):
                 at, _, one, two = sets(part, "text")
                 n = np.diff(at)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(one, mask=n == 0), pa.array(two)],
@@ -80,7 +83,8 @@ def _repeated(docs: DataFrame, k: int, num: int, den: int, buckets: int) -> Data
     def run(batches):
         from pyspark import TaskContext
 
-        sets, seen = _Sets(k), set()
+        sets, seen = _Sets(k), np.zeros(0, np.int64)  # sorted digests of sets already sent
+        fresh: set[int] = set()
         hashes, sids, held = [], [], 0
         turn = TaskContext.get().partitionId()
 
@@ -103,14 +107,17 @@ def _repeated(docs: DataFrame, k: int, num: int, den: int, buckets: int) -> Data
                                               names=["bucket", "h", "s"])
 
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", PART):
                 at, h, sid, _ = sets(part, "text")
                 n = np.diff(at)
                 take = np.minimum(n, n - _need(n, num, den) + _extra(n, num, den))
-                for i in range(len(part)):
-                    if n[i] and int(sid[i]) not in seen:
-                        if len(seen) < ENTRIES:  # copies within a task are sent once, as far as remembered
-                            seen.add(int(sid[i]))
+                if len(fresh) >= 4096 and len(seen) < ENTRIES:  # copies within a task are sent once, as far as remembered
+                    seen, fresh = np.sort(np.concatenate([seen, np.fromiter(fresh, np.int64)])), set()
+                sent = seen[np.minimum(np.searchsorted(seen, sid), len(seen) - 1)] == sid if len(seen) else np.zeros(len(part), bool)
+                for i in np.flatnonzero((n > 0) & ~sent).tolist():
+                    if int(sid[i]) not in fresh:
+                        if len(fresh) < 4096:
+                            fresh.add(int(sid[i]))
                         hashes.append(h[at[i]:at[i] + take[i]])
                         sids.append(np.full(take[i], sid[i], np.int64))
                         held += int(take[i])
@@ -153,7 +160,7 @@ def _fetch(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                 own = batch.column("doc_id").to_numpy(zero_copy_only=False)
                 at = np.minimum(np.searchsorted(ids, own), max(len(ids) - 1, 0))
                 batch = batch.filter(pa.array(ids[at] == own if len(ids) else np.zeros(len(own), bool)))
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", PART):
                 at, h, sid, _ = sets(part, "text")
                 values = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(_signed(h)))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sid), values], names=["doc_id", "sid", "h"])
@@ -272,14 +279,19 @@ def similar_sets(docs: DataFrame, reps: DataFrame, k: int, num: int, den: int, b
     mixed = now.groupBy("h").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 < c1").select("h")
     now = materialize(now.join(mixed, "h", "left_semi"), "join-open")
     # a list holds sets of one component, or sets that are a component each: the small ones share lists
-    size = now.groupBy("h", "comp").agg(F.count("*").alias("m"))
-    now = now.join(size, ["h", "comp"]).withColumn("own", F.when(F.col("m") >= OWN_LIST, F.col("comp")).otherwise(SHARED))
-    total = now.groupBy("h", "own").agg(F.count("*").alias("m"))
-    lists = now.drop("m").join(total, ["h", "own"]).withColumn("salt", F.pmod(F.xxhash64("sid"), F.ceil(F.col("m") / LIST)).cast("int")) \
-        .groupBy("h", "own", "salt").agg(F.collect_list(F.struct("sid", "n", "c", "profile", "comp")).alias("x"))
+    now = now.withColumn("part", F.pmod(F.xxhash64("sid"), F.lit(SPLIT)).cast("int"))
+    now = _with_number(now, ["h", "comp"], OWN_LIST - 1).withColumn("own", F.when(F.col("m").isNotNull(), F.col("comp")).otherwise(SHARED))
+    # sets that link differ in size by one step at most, so a long list is cut by size before it is cut by hash
+    step = F.floor(F.log(F.col("n").cast("double")) / float(np.log(den / num) if den > num else 1.0) + 1e-9).cast("int")
+    now = _with_number(now.drop("m"), ["h", "own"], LIST).withColumn("band", F.when(F.col("m").isNotNull() & F.lit(den > num), step))
+    lists = now.withColumn("salt", F.when(F.col("m").isNull(), 0).otherwise(F.pmod(F.xxhash64("sid"), F.ceil(F.col("m") / LIST)).cast("int"))) \
+        .groupBy("h", "own", "band", "salt").agg(F.collect_list(F.struct("sid", "n", "c", "profile", "comp")).alias("x"), F.min("n").alias("low"), F.max("n").alias("high"))
     lists = materialize(lists, "join-lists")
-    left, right = (lists.select("h", F.col("own").alias(f"o{i}"), F.col("salt").alias(f"s{i}"), F.col("x").alias(f"x{i}")) for i in (1, 2))
-    pairs = left.join(right, "h").filter((F.col("o1") < F.col("o2")) | ((F.col("o1") == SHARED) & (F.col("o2") == SHARED) & (F.col("s1") <= F.col("s2"))))
+    left, right = (lists.select("h", F.col("own").alias(f"o{i}"), F.coalesce("band", F.lit(-1)).alias(f"b{i}"), F.col("salt").alias(f"s{i}"), F.col("low").alias(f"l{i}"),
+                                F.col("high").alias(f"g{i}"), F.col("x").alias(f"x{i}")) for i in (1, 2))
+    once = F.struct("b1", "s1") <= F.struct("b2", "s2")
+    sizes = (F.col("g1") * den >= F.col("l2") * num) & (F.col("g2") * den >= F.col("l1") * num)
+    pairs = left.join(right, "h").filter(sizes & ((F.col("o1") < F.col("o2")) | ((F.col("o1") == SHARED) & (F.col("o2") == SHARED) & once)))
     with arrow_rows(docs.sparkSession, 256):  # two lists are some 20 KB
         two = materialize(_overlaps(_possible(pairs, num, den), segments, num, den), "join-links")
     if not two.head(1):
@@ -293,6 +305,14 @@ def similar_sets(docs: DataFrame, reps: DataFrame, k: int, num: int, den: int, b
     return known.join(joined, "comp", "left").select("id", F.coalesce("to", "comp").alias("component_id"))
 
 
+def _with_number(rows: DataFrame, keys: list[str], least: int) -> DataFrame:
+    """``rows`` and m, how many rows have their keys, where that is over ``least``; else null. Rows meet the number of a frequent key in SPLIT parts, by
+    their column part."""
+    often = rows.groupBy(*keys).agg(F.count("*").alias("m")).filter(F.col("m") > least)
+    parts = often.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SPLIT - 1))))
+    return rows.join(parts, [*keys, "part"], "left")
+
+
 def _in_fragment(fragment: int, shift: int) -> Callable[[Column], Column]:
     return lambda h: F.shiftrightunsigned(h, shift) == fragment
 
@@ -306,6 +326,11 @@ def _pairs(df: DataFrame, one: Column, two: Column, num: int, den: int) -> DataF
 
 def _components(df: DataFrame, k: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
     """What ``join_components`` gives, with sid and a number of the component, c: components whose smallest id is the same differ in it."""
+    with arrow_rows(df.sparkSession, 1024):  # a thousand texts are some MB
+        return _components_of(df, k, num, den, id_col, text_col)
+
+
+def _components_of(df: DataFrame, k: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
     docs = _documents(df, id_col, text_col)
     table = materialize(document_sets(df, k, id_col, text_col), "join-documents")
     nodes = table.filter("sid is not null and doc_id is not null")
@@ -315,7 +340,7 @@ def _components(df: DataFrame, k: int, num: int, den: int, id_col: str, text_col
     sums = reps.agg(F.sum(F.col("n")).alias("n"), F.max((F.col("p0") != F.col("p1")) | (F.col("n") != F.col("n_max"))).alias("bad")).first()
     if sums.bad:
         raise ValueError("two different n-gram sets have the same digest")
-    buckets = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), (sums.n or 0) // (4 * ENTRIES) + 1)
+    buckets = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), (sums.n or 0) // (4 * ENTRIES) + 1)  # a prefix is less than a quarter of a set
     comps = similar_sets(docs.filter("doc_id is not null"), reps.select("sid", "doc_id", "n"), k, num, den, buckets) \
         .withColumnRenamed("id", "sid").withColumnRenamed("component_id", "c")
     named = reps.select("sid", "doc_id").join(comps, "sid", "left").withColumn("c", F.coalesce("c", "sid"))
@@ -343,8 +368,9 @@ def first_of_groups(df: DataFrame, k: int = 4, num: int = 85, den: int = 100, id
     """One row of every component of ``join_components``, of the smallest id; all columns are kept.
 
     Rows are kept by id and n-gram set: of an id with several texts each goes or stays with its own component, and of several sets of
-    the smallest id the one with the smallest digest stays. Equal rows of one id and text become one. Rows without a word or with a
-    null id stay. Only the ids to drop are joined with the wide table, and digests with the rows of ids that have several sets.
+    the smallest id the one with the smallest digest stays. Of several rows of one id and text one stays, the first by a hash of the
+    whole row. Rows with a null id stay, all of them, and rows without a word stay but for that. Only the ids to drop are joined with the wide table; repeated
+    ids alone are looked at row by row. A column of any name is kept.
     """
     found = materialize(_components(df, k, num, den, id_col, text_col), "join-result")
     known = found.filter("doc_id is not null")
@@ -352,28 +378,28 @@ def first_of_groups(df: DataFrame, k: int = 4, num: int = 85, den: int = 100, id
         drop = known.filter("doc_id <> component_id").select(F.col("doc_id").alias(id_col))
         return df.join(drop, id_col, "left_anti")
     sets = materialize(known.select("doc_id", "sid", "c", "component_id").distinct(), "join-sets")  # a null sid for rows without a word
-    mixed = materialize(sets.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "join-mixed")
-    drop = sets.filter("doc_id <> component_id").join(mixed, "doc_id", "left_anti").select(F.col("doc_id").alias(id_col)).distinct()
-    several = mixed.select(F.col("doc_id").alias(id_col))
+    repeated = materialize(known.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "join-repeated")
+    drop = sets.filter("doc_id <> component_id").join(repeated, "doc_id", "left_anti").select(F.col("doc_id").alias(id_col)).distinct()
+    several = repeated.select(F.col("doc_id").alias(id_col))
+    digest = next(x for x in itertools.chain(["sid"], (f"sid{i}" for i in itertools.count())) if x not in df.columns)
     first = sets.filter("sid is not null and doc_id = component_id").groupBy("doc_id", "c").agg(F.min("sid").alias("first"))
-    gone = sets.join(mixed, "doc_id", "left_semi").join(first, ["doc_id", "c"], "left") \
+    gone = sets.join(repeated, "doc_id", "left_semi").join(first, ["doc_id", "c"], "left") \
         .filter("sid is not null and (doc_id <> component_id or sid <> first)").select(F.col("doc_id").alias(id_col), "sid")
     rest = df.join(drop, id_col, "left_anti").join(several, id_col, "left_anti")
-    marked = _with_sid(df.join(several, id_col, "left_semi"), k, text_col)
-    kept = marked.join(gone.withColumnRenamed("sid", SID), [id_col, SID], "left_anti").drop(SID)
-    return rest.unionByName(kept.select(*df.columns)).dropDuplicates([id_col, text_col])
-
-
-SID = "__sid"
+    marked = _with_sid(df.join(several, id_col, "left_semi"), k, text_col, digest)
+    kept = marked.join(gone.withColumnRenamed("sid", digest), [id_col, digest], "left_anti")
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    one = kept.groupBy(F.col(id_col).alias("i"), F.col(text_col).alias("t")).agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("r"))
+    return rest.unionByName(one.select("r.*"))
 
 
-def _with_sid(df: DataFrame, k: int, text_col: str) -> DataFrame:
+def _with_sid(df: DataFrame, k: int, text_col: str, name: str) -> DataFrame:
     """``df`` and the digest of each row's n-gram set, as in ``document_sets``."""
     def run(batches):
         sets = _Sets(k)
         for batch in batches:
-            for part in slices(batch, text_col):
+            for part in slices(batch, text_col, PART):
                 at, _, one, _ = sets(part, text_col)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(one, mask=np.diff(at) == 0)], names=[*part.schema.names, SID])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(one, mask=np.diff(at) == 0)], names=[*part.schema.names, name])
 
-    return df.mapInArrow(run, StructType([*df.schema.fields, StructField(SID, LongType())]))
+    return df.mapInArrow(run, StructType([*df.schema.fields, StructField(name, LongType())]))
