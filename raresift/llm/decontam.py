@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from raresift.llm.frames import share, shared_value
 from raresift.llm.words import Words, shingles, slices
 
 K1, B = 1.2, 0.75
@@ -230,7 +231,7 @@ def _indexes(items: DataFrame, id_col: str, text_col: str, k: int, shard_words:
         terms = tokens.filter(shard == i).select("term").distinct().join(frequency, "term").collect()  # bounded by the shard
         index = build(sorted((r.item_id, r.text) for r in own.collect()), {r.term: r.df for r in terms}, sizes.n, sizes.words / sizes.n,
                       int(sizes.longest), k)
-        yield spark.sparkContext.broadcast(index)
+        yield share(spark, index)
 
 
 def leaks(df: DataFrame, items: DataFrame, alpha: float = 0.5, least: float = 0.8, k: int = 5, id_col: str = "doc_id", text_col: str = "text",
@@ -250,8 +251,8 @@ def leaks(df: DataFrame, items: DataFrame, alpha: float = 0.5, least: float = 0.
     out = None
     for shared in _indexes(items, item_id, item_text, k, shard_words):
         def run(batches, shared=shared):
-            detect = Detector(shared.value, alpha, least, k)
-            ids = shared.value.item_ids
+            index = shared_value(shared)
+            detect, ids = Detector(index, alpha, least, k), index.item_ids
             for batch in batches:
                 for part in slices(batch, "text"):
                     rows = detect(part.column("text"))
@@ -270,7 +271,7 @@ def without_leaks(df: DataFrame, items: DataFrame, alpha: float = 0.5, least: fl
     """The rows of ``df`` that hold no test item, by the rule of ``leaks``; all columns are kept."""
     for shared in _indexes(items, item_id, item_text, k, shard_words):
         def run(batches, shared=shared):
-            detect = Detector(shared.value, alpha, least, k)
+            detect = Detector(shared_value(shared), alpha, least, k)
             for batch in batches:
                 for part in slices(batch, text_col):
                     keep = np.ones(len(part), bool)

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import contextlib
+import pickle
 
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +33,15 @@ def arrow_rows(spark: SparkSession, rows: int):
         spark.conf.set(key, before)
 
 
+def share(spark: SparkSession, value) -> Broadcast:
+    """Broadcast of an object with the classes of this package it holds: executors need no installed copy. Read it by ``shared_value``."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def shared_value(shared: Broadcast):
+    return pickle.loads(shared.value)
+
+
 def spread(df: DataFrame) -> int:
     """Number of shuffle partitions of the session."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from raresift.llm.frames import share, shared_value
 from raresift.llm.toxicity import _sample
 from raresift.llm.words import slices
 
@@ -160,10 +161,10 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
     Null and empty texts have no feature and get the model's constant; a null id stays null; repeated rows are scored
     each; an empty table gives no row; other columns are never read.
     """
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    shared = share(df.sparkSession, model)
 
     def run(batches):
-        fitted = shared.value
+        fitted = shared_value(shared)
         features = Features(fitted.bits)
         for batch in batches:
             for part in slices(batch, text_col, 1 << 20):

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from raresift.llm.automaton import FuzzyLexicon, Lexicon, tolerance
-from raresift.llm.frames import held_out, materialize
+from raresift.llm.frames import held_out, materialize, share, shared_value
 from raresift.llm.words import Words, mix, slices
 
 # Words that report speech or name a word, and words that address somebody, in four languages.
@@ -191,10 +191,10 @@ def _groups(prints: list[tuple[int, list[int]]]) -> dict[int, int]:
 
 def _term_counts(sample: DataFrame, groups: dict[int, int]) -> DataFrame:
     """For every word and stem ("ab*") of the sample: in how many toxic and other documents it is; near copies count once."""
-    shared = sample.sparkSession.sparkContext.broadcast(groups)
+    shared = share(sample.sparkSession, groups)
 
     def run(batches):
-        group = shared.value
+        group = shared_value(shared)
         space, trim = _tables()
         for batch in batches:
             for part in slices(batch, "text"):
@@ -267,10 +267,10 @@ def learn(df: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
     candidates = [(r.word, r.toxic) for r in terms]
     chosen = _choose(candidates)
     model = Model(chosen + _beside(candidates, chosen))
-    shared = df.sparkSession.sparkContext.broadcast(Lexicon(model.terms))
+    shared = share(df.sparkSession, Lexicon(model.terms))
 
     def run(batches):
-        scanner = Scanner(shared.value)
+        scanner = Scanner(shared_value(shared))
         for batch in batches:
             for part in slices(batch, "text"):
                 count, hits = scanner.hits([t or "" for t in part.column("text").to_pylist()])
@@ -337,7 +337,7 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
     """
     if keep_below is not None and not model.terms:
         return df
-    shared = df.sparkSession.sparkContext.broadcast((Lexicon(model.terms, model.strict), model))
+    shared = share(df.sparkSession, (Lexicon(model.terms, model.strict), model))
 
     def scores(texts: list[str], scanner: Scanner, fitted: Model):
         count, hits = scanner.hits(texts)
@@ -349,7 +349,7 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
         return fitted.score(abuse, count), n
 
     def run(batches):
-        lexicon, fitted = shared.value
+        lexicon, fitted = shared_value(shared)
         scanner = Scanner(lexicon)
         for batch in batches:
             for part in slices(batch, text_col):

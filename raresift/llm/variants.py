@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from raresift.llm.frames import materialize
+from raresift.llm.frames import materialize, share, shared_value
 from raresift.llm.words import mix
 
 SHORT, LONG = 2, 5  # code points of the shortest and longest gram
@@ -152,8 +152,9 @@ def gram_dictionary(words: DataFrame, often: int = OFTEN, most: int = DICTIONARY
 def _frequent(words: DataFrame, shared, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Codes (sorted) and counts of the grams that hold a ``most``-th of all places and more; all others count as equally rare."""
     def run(batches):
+        grams = shared_value(shared)
         for batch in batches:
-            for _, _, h, _, _ in _tokens(shared.value, batch.column("word").to_pylist()):
+            for _, _, h, _, _ in _tokens(grams, batch.column("word").to_pylist()):
                 code, n = np.unique(h, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(code.view(np.int64)), pa.array(n)], names=["h", "n"])
 
@@ -168,10 +169,10 @@ def _frequent(words: DataFrame, shared, most: int) -> tuple[np.ndarray, np.ndarr
 def _lists(words: DataFrame, shared, frequent) -> DataFrame:
     """(word, len, h, pos): the lists a word is merged by, those of its rarest grams."""
     def run(batches):
-        codes, counts = frequent.value
+        grams, (codes, counts) = shared_value(shared), frequent.value
         for batch in batches:
             words = batch.column("word").to_pylist()
-            for at, row, h, place, keep in _tokens(shared.value, words):
+            for at, row, h, place, keep in _tokens(grams, words):
                 n = np.zeros(len(h), np.int64)
                 if len(codes):
                     i = np.minimum(np.searchsorted(codes, h), len(codes) - 1)
@@ -215,7 +216,7 @@ def near_words(words: DataFrame, often: int = OFTEN, hot: int = HOT) -> DataFram
     """
     spark = words.sparkSession
     words = words.select("word").dropna().distinct()
-    shared = spark.sparkContext.broadcast(gram_dictionary(words, often))
+    shared = share(spark, gram_dictionary(words, often))
     frequent = spark.sparkContext.broadcast(_frequent(words, shared, DICTIONARY))
     lists = materialize(_lists(words, shared, frequent), "variant-lists")
     long = materialize(lists.groupBy("h", "pos", "len").count().filter(F.col("count") > hot)
