@@ -1,12 +1,14 @@
-"""Base classifiers trained with pyspark.ml, by the reference's names.
+"""Base classifiers, by the reference's names.
 
 Each fit takes a table with ``features`` (vector) and a 0/1 label and gives a scorer: an object
 with ``score(df)`` that adds ``p1``. Named differences to the original estimators:
 
-- DecisionTree, RandomForest: no limit on leaf count, no minimum split size, no cost pruning.
-- ExtraTrees: cut points are random per group of trees, not per node.
-- BalancedRandomForest: balanced samples are drawn per group of trees.
-- LogitBoost, XGB: first-order gradient boosting; no L1/L2 leaf penalties; early stop by tolerance.
+- Trees, forests and boosted models (``trees``): cuts are among 63 quantiles of a feature (every value of one that has fewer); with a limit on
+  leaves, a level's best gains are opened first; trees are 5 levels deep by default.
+- RandomForest, BalancedRandomForest: a row's copies in a tree's sample are Poisson by its hash, so a sample's size varies.
+- RUSBoost: the larger class is thinned by hash to the expected size of the smaller one, a round each.
+- LogitBoost: the watched tenth is drawn by hash, and the model is cut at its best round; ``ccp_alpha`` is not used.
+- XGB: ``gamma`` keeps a split from being made; nothing is pruned afterwards.
 - MLP: sigmoid units and L-BFGS.
 - SVC: linear machine on random Fourier (rbf) or polynomial features, Platt scaling on its margin.
 
@@ -20,22 +22,20 @@ import random
 import re
 from dataclasses import dataclass, field
 
-from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression,
-                                       MultilayerPerceptronClassifier, RandomForestClassifier)
+from pyspark.ml.classification import LinearSVC, LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import PolynomialExpansion
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from raresift.functions.hashing import hash_key, unit
-from raresift.operators import neighbors
-from raresift.operators.features import with_class_weight
-from raresift.operators.resample import class_counts
-from raresift.functions.ranks import with_cutoffs
+from raresift.operators import neighbors, trees
+from raresift.operators.features import class_weights, with_class_weight
 from raresift.sources.storage import materialize
 
-TREE_GROUPS = 4
 FOURIER_WIDTH = 128
+#: Trained together by the batched trainer of ``trees``.
+TREE_MODELS = ("DecisionTreeClassifier", "RandomForestClassifier", "ExtraTreesClassifier", "BalancedRandomForestClassifier", "AdaBoostClassifier",
+               "RUSBoostClassifier", "LogitBoostClassifier", "XGBClassifier")
 
 
 @dataclass
@@ -49,57 +49,6 @@ class MLScorer:
         return out.withColumn(output, vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction")
 
 
-@dataclass
-class MeanScorer:
-    """Weighted mean of several scorers, each on its own view of the features."""
-
-    members: list
-    weights: list[float]
-
-    def score(self, df: DataFrame, output: str = "p1") -> DataFrame:
-        parts = []
-        for i, m in enumerate(self.members):
-            df = m.score(df, f"_m{i}")
-            parts.append(f"_m{i}")
-        total = sum((F.col(c) * F.lit(w) for c, w in zip(parts, self.weights)), F.lit(0.0))
-        return df.withColumn(output, total / F.lit(sum(self.weights))).drop(*parts)
-
-
-@dataclass
-class BinnedScorer:
-    """Scorer on features replaced by the number of cut points below them."""
-
-    cuts: list[list[float]]
-    inner: MLScorer
-
-    def binned(self, df: DataFrame) -> DataFrame:
-        x = vector_to_array("_raw")
-        cells = [sum(((x[i] > F.lit(c)).cast("double") for c in cs), F.lit(0.0)) for i, cs in enumerate(self.cuts)]
-        return df.withColumnRenamed("features", "_raw").withColumn("features", array_to_vector(F.array(*cells)))
-
-    def score(self, df: DataFrame, output: str = "p1") -> DataFrame:
-        return self.inner.score(self.binned(df), output).drop("features").withColumnRenamed("_raw", "features")
-
-
-@dataclass
-class StumpScorer:
-    """Boosted stumps as one native expression: (feature, cut, left class, right class, weight)."""
-
-    stumps: list[tuple[int, float, int, int, float]]
-
-    def margin(self, x: Column) -> Column:
-        total = F.lit(0.0)
-        for i, cut, left, right, alpha in self.stumps:
-            sign = lambda c: F.lit(alpha if c else -alpha)
-            total = total + F.when(x[i] <= F.lit(cut), sign(left)).otherwise(sign(right))
-        return total
-
-    def score(self, df: DataFrame, output: str = "p1") -> DataFrame:
-        scale = sum(s[4] for s in self.stumps) or 1.0
-        half = self.margin(vector_to_array("features")) / F.lit(scale)
-        return df.withColumn(output, F.lit(1.0) / (F.lit(1.0) + F.exp(-half)))
-
-
 @dataclass
 class MarginScorer:
     """Linear machine with Platt scaling, after an optional feature map."""
@@ -137,7 +86,29 @@ class NeighbourScorer:
         return found.withColumn(output, neighbour_vote("_nn", self.weights, self.label, self.p)).drop("_nn", *self.columns)
 
 
-def neighbour_vote(region: str, weights: str = "uniform", label: str = "Class", p: int = 2) -> Column:
+def neighbour_scores(models: list[BaseModel], data: DataFrame, df: DataFrame) -> DataFrame:
+    """(candidate, p1, label, side) of rows under several neighbour models: one search per distance, for the largest number of neighbours."""
+    m, width = models[0], _width(df)
+    columns = [f"_k{i}" for i in range(width)]
+    known = materialize(unpack(data.select(m.row_id, m.label, "features"), columns).drop("features"), "knn-model")
+    parts = []
+    for p in sorted({int(x.get("p", 2)) for x in models}):
+        own = [(i, x) for i, x in enumerate(models) if int(x.get("p", 2)) == p]
+        most = max(int(x.get("n_neighbors", 5)) for _, x in own)
+        wide = unpack(df, columns).select(m.row_id, m.label, "side", *columns)
+        found = neighbors.with_neighbours(wide, known, most, columns, m.row_id, [m.label], p=p, name="_nn")
+        cells = []
+        for i, x in own:
+            nearest = F.slice("_nn", 1, int(x.get("n_neighbors", 5)))
+            cells.append(F.struct(F.lit(i).alias("candidate"), neighbour_vote(nearest, x.get("weights", "uniform"), m.label, p).alias("p1")))
+        parts.append(found.select(m.label, "side", F.explode(F.array(*cells)).alias("s")).select("s.candidate", "s.p1", m.label, "side"))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def neighbour_vote(region: str | Column, weights: str = "uniform", label: str = "Class", p: int = 2) -> Column:
     """Share of class 1 among the neighbours, NULL without any; with weights, those at distance 0 decide alone."""
     ones = lambda n: n[label] == 1
     if weights == "uniform":
@@ -162,10 +133,6 @@ def _width(df: DataFrame) -> int:
     return int(df.select(F.size(vector_to_array("features")).alias("n")).first()["n"])
 
 
-def _subset(value: str | None) -> str:
-    return value if value in ("sqrt", "log2", "onethird", "all") else "sqrt"
-
-
 @dataclass
 class BaseModel:
     """A named classifier with parameters; ``fit`` gives a scorer."""
@@ -185,115 +152,50 @@ class BaseModel:
     def weighted(self, df: DataFrame) -> DataFrame:
         return with_class_weight(df, self.label, "_w").withColumn("_y", F.col(self.label).cast("double"))
 
-    def forest(self, trees: int, bootstrap: bool, weight: str | None, seed: int, rate: float = 1.0) -> RandomForestClassifier:
-        rf = RandomForestClassifier(
-            featuresCol="features", labelCol="_y", numTrees=trees, maxDepth=_depth(self.get("max_depth", 5)),
-            minInstancesPerNode=int(self.get("min_samples_leaf", 1)), minInfoGain=float(self.get("min_impurity_decrease", 0.0)),
-            featureSubsetStrategy=_subset(self.get("max_features", "sqrt")), bootstrap=bootstrap, subsamplingRate=rate, seed=seed)
-        return rf.setWeightCol(weight) if weight else rf
-
-
-def _tree(m: BaseModel, df):
-    return MLScorer(m.forest(1, False, "_w", m.seed).fit(m.weighted(df)))
-
-
-def _forest(m: BaseModel, df):
-    rate = float(m.get("max_samples", 1.0))
-    return MLScorer(m.forest(int(m.get("n_estimators", 100)), True, "_w", m.seed, rate).fit(m.weighted(df)))
 
-
-def _group_sizes(total: int) -> list[int]:
-    groups = min(TREE_GROUPS, total)
-    return [total // groups + (1 if g < total % groups else 0) for g in range(groups)]
-
-
-def _extra_trees(m: BaseModel, df):
-    """Forests on randomly binned features; a new set of cut points for each group of trees."""
-    width, data = _width(df), m.weighted(df)
-    x = vector_to_array("features")
-    span = data.agg(*[F.min(x[i]).alias(f"l{i}") for i in range(width)], *[F.max(x[i]).alias(f"h{i}") for i in range(width)]).first()
-    members, sizes = [], _group_sizes(int(m.get("n_estimators", 100)))
-    for g, trees in enumerate(sizes):
-        rng = random.Random(f"{m.seed}-{g}")
-        cuts = [sorted(rng.uniform(span[f"l{i}"], span[f"h{i}"]) for _ in range(31)) for i in range(width)]
-        binned = BinnedScorer(cuts, None)
-        binned.inner = MLScorer(m.forest(trees, False, "_w", m.seed + g).fit(binned.binned(data)))
-        members.append(binned)
-    return MeanScorer(members, [float(n) for n in sizes])
-
-
-def balanced_sample(df: DataFrame, counts: dict, seed, label: str = "Class", row_id: str = "row_id") -> DataFrame:
-    """Rows drawn with replacement so that every class expects as many rows as the smallest one.
-
-    The number of copies of a row is Poisson with the class's rate, read off the row's hash.
-    """
-    least = min(counts.values())
-    u = unit(hash_key(f"{seed}b", row_id))
-    copies = F.lit(0)
-    for value, n in counts.items():
-        rate, mass, steps = least / n, math.exp(-least / n), F.lit(0)
-        total = 0.0
-        for i in range(12):
-            total += mass
-            steps = steps + (u >= F.lit(total)).cast("int")
-            mass *= rate / (i + 1)
-        copies = F.when(F.col(label) == value, steps).otherwise(copies)
-    return df.withColumn("_copies", copies).where("_copies > 0").withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_copies")))) \
-        .drop("_copies", "_i")
-
-
-def _balanced_forest(m: BaseModel, df):
-    data, counts = m.weighted(df), class_counts(df, m.label)
-    sizes = _group_sizes(int(m.get("n_estimators", 100)))
-    members = [MLScorer(m.forest(n, True, None, m.seed + g).fit(balanced_sample(data, counts, f"{m.seed}-{g}", m.label, m.row_id)))
-               for g, n in enumerate(sizes)]
-    return MeanScorer(members, [float(n) for n in sizes])
-
-
-_SPLIT = re.compile(r"If \(feature (\d+) <= (\S+)\)\s+Predict: (\S+)\s+Else \(feature \d+ > \S+\)\s+Predict: (\S+)")
-
-
-def _stump(model) -> tuple[int, float, int, int]:
-    """Split of a depth-1 tree, read from its printed form.
-
-    A tree whose leaves agree is a single node: the same class on both sides.
-    """
-    found = _SPLIT.search(model.toDebugString)
-    if found is None:
-        leaf = int(float(re.search(r"Predict: (\S+)", model.toDebugString)[1]))
-        return 0, math.inf, leaf, leaf
-    return int(found[1]), float(found[2]), int(float(found[3])), int(float(found[4]))
-
-
-def _boost(m: BaseModel, df, under: bool):
-    """Boosted stumps. Row weights are an expression of the stumps so far, so the plan does not grow with
-    rounds that re-read earlier rounds, and nothing has to be cached or cut."""
-    rounds, rate = int(m.get("n_estimators", 50)), float(m.get("learning_rate", 1.0))
-    data = df.select("features", F.col(m.label).cast("double").alias("_y"), F.col(m.label), m.row_id)
-    counts = class_counts(df, m.label) if under else {}
-    x = vector_to_array("features")
-    sign = F.when(F.col("_y") == 1, 1.0).otherwise(-1.0)
-    stumps: list[tuple] = []
-    for r in range(rounds):
-        weighted = data.withColumn("_w", F.exp(-sign * StumpScorer(stumps).margin(x)))
-        sample = weighted
-        if under and len(counts) == 2:
-            low = min(counts.values())
-            high = max(counts, key=counts.get)
-            marked = with_cutoffs(weighted, m.label, hash_key(f"{m.seed}r{r}", m.row_id), m.row_id, lambda n: F.array(F.lit(low).cast("long")))
-            sample = marked.where((F.col(m.label) != high) | (F.col("_key") <= F.col("_cuts")[0])).drop("_cuts", "_key")
-        tree = DecisionTreeClassifier(featuresCol="features", labelCol="_y", weightCol="_w", maxDepth=1, seed=m.seed + r).fit(sample)
-        i, cut, left, right = _stump(tree)
-        wrong = F.when(x[i] <= F.lit(cut), F.lit(float(left))).otherwise(F.lit(float(right))) != F.col("_y")
-        sums = weighted.agg(F.sum(F.when(wrong, F.col("_w")).otherwise(0.0)).alias("e"), F.sum("_w").alias("t")).first()
-        error = sums["e"] / sums["t"]
-        if error >= 0.5:
-            break
-        alpha = 0.5 * rate * math.log((1 - max(error, 1e-10)) / max(error, 1e-10))
-        stumps.append((i, cut, left, right, alpha))
-        if error <= 0:
-            break
-    return StumpScorer(stumps)
+def tree_job(m: BaseModel, group: int = 0, allowed: list[int] | None = None) -> trees.Job:
+    """The model as a job of the batched trainer."""
+    grow = dict(depth=_depth(m.get("max_depth", 5)), min_leaf=int(m.get("min_samples_leaf", 1)), min_split=int(m.get("min_samples_split", 2)),
+                max_leaves=m.get("max_leaf_nodes", None), min_gain=float(m.get("min_impurity_decrease", 0.0)), prune=float(m.get("ccp_alpha", 0.0)))
+    more = dict(group=group, seed=m.seed, allowed=allowed)
+    forest = int(m.get("n_estimators", 100))
+    if m.name == "DecisionTreeClassifier":
+        return trees.Job("forest", 1, features=m.get("max_features", "all"), **grow, **more)
+    if m.name == "RandomForestClassifier":
+        return trees.Job("forest", forest, draw="bootstrap", rate=float(m.get("max_samples", 1.0)), features=m.get("max_features", "sqrt"), **grow, **more)
+    if m.name == "ExtraTreesClassifier":
+        return trees.Job("forest", forest, random_cuts=True, features=m.get("max_features", "sqrt"), **grow, **more)
+    if m.name == "BalancedRandomForestClassifier":
+        return trees.Job("forest", forest, draw="balanced", features=m.get("max_features", "sqrt"), **grow, **more)
+    rate = float(m.get("learning_rate", {"XGBClassifier": 0.3, "LogitBoostClassifier": 0.1}.get(m.name, 1.0)))
+    if m.name in ("AdaBoostClassifier", "RUSBoostClassifier"):
+        return trees.Job("stumps", int(m.get("n_estimators", 50)), depth=1, learning_rate=rate, draw="under" if m.name.startswith("RUS") else "all", **more)
+    if m.name == "LogitBoostClassifier":
+        return trees.Job("logistic", forest, learning_rate=rate, features=m.get("max_features", "all"), patience=True,
+                         **{**grow, "depth": _depth(m.get("max_depth", 3)), "prune": 0.0}, **more)
+    share = float(m.get("subsample", 1.0))
+    return trees.Job("penalised", forest, depth=_depth(m.get("max_depth", 6)), learning_rate=rate, draw="share" if share < 1 else "all", rate=share,
+                     tree_features=float(m.get("colsample_bytree", 1.0)), l1=float(m.get("reg_alpha", 0.0)), l2=float(m.get("reg_lambda", 1.0)),
+                     min_gain=float(m.get("gamma", 0.0)), min_child_weight=float(m.get("min_child_weight", 1)), max_step=float(m.get("max_delta_step", 0)),
+                     positive_weight=float(m.get("scale_pos_weight", 1.0)), **more)
+
+
+def _trees(m: BaseModel, df):
+    return fit_trees([m], df)[0][0]
+
+
+def fit_trees(models: list[BaseModel], df: DataFrame, held: Column | None = None) -> tuple[list, DataFrame, list]:
+    """Scorers of models that differ in name, parameters and seed only, all trained together on the rows that are not ``held``; the binned table, and the jobs."""
+    m = models[0]
+    fit = df if held is None else df.where(~held)
+    cuts = trees.cut_points(fit, _width(df))
+    weights = {r[m.label]: r["weight"] for r in class_weights(fit, m.label).collect()}
+    weight = F.lit(1.0)
+    for value, w in weights.items():
+        weight = F.when(F.col(m.label) == value, F.lit(w)).otherwise(weight)
+    rows = trees.binned(df, cuts, m.label, m.row_id, weight, held=held)
+    jobs = trees.train(rows, [tree_job(x) for x in models])
+    return [trees.TreesScorer.of(j, cuts) for j in jobs], rows, jobs
 
 
 def _depth(value) -> int:
@@ -303,35 +205,6 @@ def _depth(value) -> int:
     return int(value)
 
 
-def _ada(m, df):
-    return _boost(m, df, False)
-
-
-def _rus(m, df):
-    return _boost(m, df, True)
-
-
-def _gbt(m: BaseModel, **kw) -> GBTClassifier:
-    return GBTClassifier(featuresCol="features", labelCol="_y", maxIter=int(m.get("n_estimators", 100)),
-                         maxDepth=_depth(m.get("max_depth", 3)), stepSize=float(m.get("learning_rate", 0.1)),
-                         minInstancesPerNode=int(m.get("min_samples_leaf", m.get("min_child_weight", 1))),
-                         minInfoGain=float(m.get("min_impurity_decrease", 0.0)), seed=m.seed, **kw)
-
-
-def _logit_boost(m: BaseModel, df):
-    data = df.withColumn("_y", F.col(m.label).cast("double")).withColumn("_val", unit(hash_key(f"{m.seed}es", m.row_id)) < 0.1)
-    return MLScorer(_gbt(m, validationIndicatorCol="_val", validationTol=0.001, featureSubsetStrategy=_subset(m.get("max_features", "all"))).fit(data))
-
-
-def _xgb(m: BaseModel, df):
-    weight = float(m.get("scale_pos_weight", 1.0))
-    data = df.withColumn("_y", F.col(m.label).cast("double")).withColumn("_w", F.when(F.col(m.label) == 1, weight).otherwise(1.0))
-    share = min(float(m.get("colsample_bytree", 1.0)), 1.0)
-    base = BaseModel(m.name, {"max_depth": 6, "learning_rate": 0.3, **m.params}, m.seed, m.label, m.row_id)
-    return MLScorer(_gbt(base, weightCol="_w", subsamplingRate=min(float(m.get("subsample", 1.0)), 1.0),
-                         featureSubsetStrategy="all" if share >= 1 else str(round(share, 4))).fit(data))
-
-
 def _mlp(m: BaseModel, df):
     layers = [_width(df), *[int(v) for v in m.get("hidden_layer_sizes", (50,))], 2]
     data = df.withColumn("_y", F.col(m.label).cast("double"))
@@ -396,9 +269,7 @@ def _logistic(m: BaseModel, df):
 
 
 _FITS = {
-    "DecisionTreeClassifier": _tree, "RandomForestClassifier": _forest, "ExtraTreesClassifier": _extra_trees,
-    "BalancedRandomForestClassifier": _balanced_forest, "AdaBoostClassifier": _ada, "LogitBoostClassifier": _logit_boost,
-    "XGBClassifier": _xgb, "RUSBoostClassifier": _rus, "MLPClassifier": _mlp, "SVC": _svc,
+    **dict.fromkeys(TREE_MODELS, _trees), "MLPClassifier": _mlp, "SVC": _svc,
     "KNeighborsClassifier": _knn, "LogisticRegression": _logistic,
 }
 

@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from raresift.config import (K_BEST, SCALED_COLUMNS, TUNING_CANDIDATES, TUNING_FACTOR, TUNING_SCORE, VALIDATION_SIZE, VALIDATION_SPLITS)
 from raresift.operators import metrics
 from raresift.operators.features import FeatureSteps, fit_feature_steps
-from raresift.operators.models import make_base_model
+from raresift.operators.models import TREE_MODELS, fit_trees, make_base_model, neighbour_scores
 from raresift.operators.splits import resource_rung, shuffle_splits
+from raresift.operators.trees import score_rows
 from raresift.operators.voting import decide
 from raresift.sources.storage import materialize
 
@@ -80,14 +81,13 @@ SPACES: dict[str, dict[str, Param]] = {
     },
     "MLPClassifier": {"hidden_layer_sizes": choice((50,), (100,), (100, 50)), "alpha": log(1e-5, 1e-2), "learning_rate_init": log(1e-4, 1e-2)},
 }
-# Parameters of the original estimators that have no effect here: pyspark.ml has no counterpart for them.
-IGNORED = {"min_samples_split", "max_leaf_nodes", "ccp_alpha", "reg_alpha", "reg_lambda", "max_delta_step", "alpha"}
-IGNORED_BY = {"MLPClassifier": {"learning_rate_init"}, "XGBClassifier": {"gamma"}}
+# Parameters of the original estimators that have no effect here.
+IGNORED_BY = {"MLPClassifier": {"alpha", "learning_rate_init"}, "LogitBoostClassifier": {"ccp_alpha"}}
 
 
 def ignored(name: str, params: dict) -> set[str]:
     """Names of the given parameters that the model does not use."""
-    out = (IGNORED | IGNORED_BY.get(name, set())) & set(params)
+    out = IGNORED_BY.get(name, set()) & set(params)
     if name == "SVC":  # each kernel has its own
         unused = {"rbf": {"degree"}, "poly": {"gamma"}, "linear": {"gamma", "degree"}}
         out |= unused[params.get("kernel", "rbf")] & set(params)
@@ -167,14 +167,49 @@ def score_candidates(scored: DataFrame, metric: str, label: str = "Class") -> di
     return {(r["candidate"], r["side"]): r[metric] or 0.0 for r in table.collect()}
 
 
+def _rung_scores(pool: list, name: str, fit_rows: DataFrame, rows: DataFrame, held, steps: FeatureSteps, seed: int, label: str, row_id: str,
+                 parallelism: int, resampled: bool) -> DataFrame:
+    """(candidate, side, label, p1) of a rung's rows under all its candidates.
+
+    Trees of all candidates grow together from shared sums; neighbour candidates share one search per distance; the others are
+    fitted from a bounded pool of driver threads.
+    """
+    side = F.when(held, "val").otherwise("train").alias("side")
+    made = [make_base_model(name, params, seed, label, row_id) for _, params in pool]
+    number = F.element_at(F.array(*[F.lit(c) for c, _ in pool]), F.col("candidate") + 1).alias("candidate")
+    if name in TREE_MODELS:
+        if resampled:  # learned from other rows than those that are scored
+            fitted, _, _ = fit_trees(made, steps.transform(fit_rows))
+            return _wide_scores(steps.transform(rows), [(c, m.score) for (c, _), m in zip(pool, fitted)], label, side)
+        _, table, jobs = fit_trees(made, steps.transform(rows), held)
+        return score_rows(table, jobs).select(number, F.col("y").alias(label), "p1", "side")
+    if name == "KNeighborsClassifier":
+        return neighbour_scores(made, steps.transform(fit_rows), steps.transform(rows).withColumn("side", side)).select(number, label, "p1", "side")
+
+    def one(item):
+        c, params = item
+        fitted = fit_model(fit_rows, name, params, steps.columns, seed, label, row_id, steps=steps)
+        return fitted.score(rows).select(F.lit(c).alias("candidate"), label, "p1", side)
+
+    with ThreadPoolExecutor(max_workers=parallelism) as threads:
+        return metrics.union_all(list(threads.map(one, pool)))
+
+
+def _wide_scores(df: DataFrame, scorers: list, label: str, side) -> DataFrame:
+    df = df.withColumn("side", side)
+    for c, score in scorers:
+        df = score(df, f"_c{c}")
+    cells = [F.struct(F.lit(c).alias("candidate"), F.col(f"_c{c}").alias("p1")) for c, _ in scorers]
+    return df.select(label, "side", F.explode(F.array(*cells)).alias("s")).select("s.candidate", label, "s.p1", "side")
+
+
 def halving_search(df: DataFrame, name: str, columns: list[str], seed: int = 42, candidates: int = TUNING_CANDIDATES,
                    factor: int = TUNING_FACTOR, share: float = VALIDATION_SIZE, splits: int = VALIDATION_SPLITS,
                    metric: str = TUNING_SCORE, label: str = "Class", row_id: str = "row_id", parallelism: int = 4,
                    space: dict[str, Param] | None = None, fixed: dict | None = None, resampler=None, **model_args) -> Search:
     """Successive halving over rows: all candidates on a small share, the best third on three times as many.
 
-    Candidates of a rung are fitted from a bounded pool of driver threads; their predictions are
-    measured together. The winner is fitted on all rows.
+    Candidates of a rung are fitted and measured together (``_rung_scores``). The winner is fitted on all rows.
     """
     start = time.time()
     pool = list(enumerate({**p, **(fixed or {})} for p in draw(space or space_of(name), candidates, f"{seed}-{name}")))
@@ -192,15 +227,8 @@ def halving_search(df: DataFrame, name: str, columns: list[str], seed: int = 42,
             scale = [c for c in model_args.get("scale", SCALED_COLUMNS) if c in columns]
             steps = fit_feature_steps(fit_rows, columns, scale, model_args.get("k", K_BEST), label)
 
-            def one(item):
-                c, params = item
-                fitted = fit_model(fit_rows, name, params, columns, seed, label, row_id, steps=steps, **model_args)
-                scored = fitted.score(rows).select(F.lit(c).alias("candidate"), label, "p1", F.when(held, "val").otherwise("train").alias("side"))
-                return scored
-
-            with ThreadPoolExecutor(max_workers=parallelism) as threads:
-                scored = list(threads.map(one, pool))
-            found = score_candidates(metrics.union_all(scored), metric, label)
+            scored = _rung_scores(pool, name, fit_rows, rows, held, steps, seed, label, row_id, parallelism, resampler is not None)
+            found = score_candidates(scored, metric, label)
             for c, _ in pool:
                 train[c].append(found.get((c, "train"), 0.0))
                 val[c].append(found.get((c, "val"), 0.0))

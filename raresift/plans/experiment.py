@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import time
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from raresift import config
 from raresift.functions.hashing import hash_key
-from raresift.operators import dynamic, metrics, neighbors, resample, splits, voting
-from raresift.operators.features import column_index
+from raresift.operators import dynamic, metrics, neighbors, resample, splits, trees, voting
+from raresift.operators.features import column_index, fit_feature_steps
+from raresift.operators.models import TREE_MODELS, make_base_model, tree_job
 from raresift.operators.search import Search, cross_validate, fit_model, halving_search, tuning_row
 from raresift.sources.model_store import load_model
 from raresift.sources.storage import materialize, scratch
@@ -121,6 +124,10 @@ TUNING_SCHEMA = T.StructType([
     T.StructField("selected_features_names", T.ArrayType(T.StringType()))])
 
 
+#: Models whose training has the most steps one after the other.
+LONGEST = ["XGBClassifier", "LogitBoostClassifier", "RUSBoostClassifier", "AdaBoostClassifier", "MLPClassifier", "SVC"]
+
+
 def timed(action) -> tuple[object, float]:
     start = time.time()
     result = action()
@@ -143,7 +150,11 @@ def run_once(df: DataFrame, features: list[str], run: int, cfg: Settings) -> tup
     train, dsel, test = (rows.where(F.col("role") == r).drop("role") for r in ("train", "dsel", "test"))
     if cfg.resampling and not cfg.resample_inside:
         train = materialize(resample.resampler(cfg.resampling, cfg.seed)(train, features, label=cfg.label, row_id=cfg.row_id), "train")
-    searches = {name: fit_base(train, name, features, cfg) for name in cfg.models}
+    # models do not wait for each other: the ones with most rounds begin, as their chain of jobs is the longest
+    order = sorted(cfg.models, key=lambda n: (LONGEST.index(n) if n in LONGEST else len(LONGEST), n))
+    with ThreadPoolExecutor(max_workers=cfg.parallelism) as threads:
+        tuned = dict(zip(order, threads.map(lambda name: fit_base(train, name, features, cfg), order)))
+    searches = {name: tuned[name] for name in cfg.models}
     fitted = {name: s.best for name, s in searches.items()}
 
     def scored(part, name):
@@ -204,11 +215,15 @@ def benchmark_resamplers(df: DataFrame, features: list[str], techniques: list[st
                          model: str = "XGBClassifier", k: int = config.K_BEST) -> DataFrame:
     """Cross-validated scores of one model behind each resampling technique, best first.
 
-    Resampling sees the training folds only.
+    Resampling sees the training folds only. A model made of trees is trained once for all techniques and folds, from shared sums;
+    others are trained one after the other.
     """
     data = materialize(splits.stratified_folds(df, folds, seed, label, row_id), "folds")
+    names = techniques or list(resample.TECHNIQUES)
+    if model in TREE_MODELS:
+        return metrics.summarise_cv(_benchmark_trees(data, names, features, folds, seed, params or {}, label, row_id, model, k))
     frames = []
-    for name in techniques or list(resample.TECHNIQUES):
+    for name in names:
         step = resample.resampler(name, seed)
 
         def make(train):
@@ -218,6 +233,33 @@ def benchmark_resamplers(df: DataFrame, features: list[str], techniques: list[st
     return metrics.summarise_cv(metrics.union_all(frames))
 
 
+def _benchmark_trees(data: DataFrame, names: list[str], features: list[str], folds: int, seed: int, params: dict, label: str, row_id: str, model: str, k: int,
+                     parallelism: int = 4) -> DataFrame:
+    """Metrics per technique and fold; the resampled training folds are groups of one table, and all models grow together."""
+    runs = [(name, fold) for name in names for fold in range(folds)]
+
+    def prepared(run):
+        name, fold = run
+        train = data.where(F.col("fold") != fold).drop("fold")
+        step = resample.resampler(name, seed)
+        rows = materialize(step(train, features, label=label, row_id=row_id) if step else train, "resampled")
+        steps = fit_feature_steps(rows, features, [c for c in config.SCALED_COLUMNS if c in features], k, label)
+        return rows.select(row_id, label, *features), steps.selected_features()[0]
+
+    with ThreadPoolExecutor(max_workers=parallelism) as threads:
+        ready = list(threads.map(prepared, runs))
+    assemble = VectorAssembler(inputCols=features, outputCol="features").transform
+    parts = [assemble(rows).withColumn("g", F.lit(i)) for i, (rows, _) in enumerate(ready)]
+    cuts = trees.cut_points(assemble(data), len(features))
+    table = trees.binned(metrics.union_all([p.select(row_id, label, "features", "g") for p in parts]), cuts, label, row_id, group=F.col("g"))
+    jobs = [tree_job(make_base_model(model, params, seed, label, row_id), i, selected) for i, (_, selected) in enumerate(ready)]
+    trees.train(table, jobs)
+    test = trees.binned(assemble(data), cuts, label, row_id, group=F.col("fold"))
+    scored = trees.score_rows(test, jobs, [fold for _, fold in runs])
+    named = data.sparkSession.createDataFrame([(i, name, fold) for i, (name, fold) in enumerate(runs)], "candidate int, technique string, fold int")
+    return metrics.metrics(voting.decide(scored.join(F.broadcast(named), "candidate")), ["technique", "fold"])
+
+
 def score_batch(spark: SparkSession, df: DataFrame, model_paths: dict[str, str], features: list[str], rule: str = "VotingClassifier",
                 dsel: DataFrame | None = None, label: str = config.LABEL, row_id: str = "row_id") -> DataFrame:
     """Predictions of saved base models combined by a static or dynamic rule (row_id, p1, pred).

@@ -573,7 +573,7 @@ def _model(name, params=None, step=None):
     """Fit on the training share, measure on the rows held out."""
     def run(s, d):
         split = materialize(splits.holdout(V.txn_features(s, d), 0.15, 7), "split")
-        train, test = split.where(~F.col("held_out")), split.where("held_out")
+        train, test = split.where("not held_out"), split.where("held_out")
         resampler = resample.resampler(step) if step else None
         fitted = search.fit_model(train, name, params or {}, V.TXN_FEATURES, resampler=resampler)
         out = voting.decide(fitted.score(test)).select(F.lit(name).alias("model"), F.col("Class").alias("y"), "p1", "pred")
@@ -632,9 +632,10 @@ add("h5_cross_validate", _cross_validated)
 
 
 def _experiment(s, d):
+    """One whole outer run of the 10 x 10 protocol: eleven models, 30 candidates each, three pools, all selectors. ``Settings()`` alone names all hundred."""
     import uuid
 
-    out = experiment.run_experiment(V.txn_features(s, d), V.TXN_FEATURES, experiment.Settings(), f"{work_dir(s)}/experiment-{uuid.uuid4().hex}", "run_1")
+    out = experiment.run_experiment(V.txn_features(s, d), V.TXN_FEATURES, experiment.Settings(runs=[0]), f"{work_dir(s)}/experiment-{uuid.uuid4().hex}", "run_1")
     return rounded(out.select("split", "pool_name", "model", *metrics.METRICS))
 
 

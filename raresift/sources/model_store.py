@@ -8,6 +8,7 @@ import json
 from pyspark.sql import SparkSession
 
 from raresift.operators import models as M
+from raresift.operators import trees
 from raresift.operators.features import FeatureSteps
 from raresift.operators.search import Fitted
 
@@ -25,13 +26,9 @@ def _load_ml(spec: dict):
 def _describe(scorer, path: str) -> dict:
     if isinstance(scorer, M.MLScorer):
         return {"kind": "ml", "model": _save_ml(scorer.model, f"{path}/model")}
-    if isinstance(scorer, M.MeanScorer):
-        return {"kind": "mean", "weights": scorer.weights,
-                "members": [_describe(m, f"{path}/{i}") for i, m in enumerate(scorer.members)]}
-    if isinstance(scorer, M.BinnedScorer):
-        return {"kind": "binned", "cuts": scorer.cuts, "inner": _describe(scorer.inner, f"{path}/inner")}
-    if isinstance(scorer, M.StumpScorer):
-        return {"kind": "stumps", "stumps": scorer.stumps}
+    if isinstance(scorer, trees.TreesScorer):
+        return {"kind": "trees", **{k: v for k, v in vars(scorer).items() if k not in ("kind", "trees")}, "of": scorer.kind,
+                "trees": [vars(t) for t in scorer.trees]}
     if isinstance(scorer, M.MarginScorer):
         lift = scorer.lift
         kind = {M.FourierLift: "fourier", M.PolynomialLift: "poly"}.get(type(lift))
@@ -44,14 +41,10 @@ def _describe(scorer, path: str) -> dict:
 
 def _restore(spark: SparkSession, spec: dict):
     kind = spec["kind"]
+    if kind == "trees":
+        return trees.TreesScorer(spec["of"], [trees.Tree(**t) for t in spec["trees"]], spec["start"], spec["scale"])
     if kind == "ml":
         return M.MLScorer(_load_ml(spec["model"]))
-    if kind == "mean":
-        return M.MeanScorer([_restore(spark, m) for m in spec["members"]], spec["weights"])
-    if kind == "binned":
-        return M.BinnedScorer(spec["cuts"], _restore(spark, spec["inner"]))
-    if kind == "stumps":
-        return M.StumpScorer([tuple(s) for s in spec["stumps"]])
     if kind == "margin":
         lift = spec["lift"]
         if lift:

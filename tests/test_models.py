@@ -90,7 +90,7 @@ def test_registered_jobs_are_whole(monkeypatch):
             pass
         got = calls[key]
         if key == "run_experiment":
-            assert got["cfg"] == plans.Settings()
+            assert got["cfg"] == plans.Settings(runs=[0])  # one whole outer run
         elif key == "benchmark_resamplers":
             assert got["techniques"] is None and got["folds"] == config.BENCHMARK_SPLITS and not got["params"]
         elif key == "halving_search":

@@ -277,8 +277,3 @@ def test_cluster_centroids_keep_count(spark):
     out = resample.cluster_centroids(df, ["V0", "V1", "V2"], iterations=3).groupBy("origin").count().collect()
     rare = sum(r[-1] for r in rows)
     assert {r["origin"]: r["count"] for r in out} == {"original": rare, "centroid": rare}
-
-
-def test_adaboost_is_an_expression():
-    s = models.StumpScorer([(0, 1.0, 0, 1, 0.5), (0, math.inf, 0, 0, 0.1)])
-    assert len(s.stumps) == 2
