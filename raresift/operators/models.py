@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import math
 import random
-import re
+import zlib
 from dataclasses import dataclass, field
 
 from pyspark.ml.classification import LinearSVC, LogisticRegression, MultilayerPerceptronClassifier
@@ -157,7 +157,8 @@ def tree_job(m: BaseModel, group: int = 0, allowed: list[int] | None = None) ->
     """The model as a job of the batched trainer."""
     grow = dict(depth=_depth(m.get("max_depth", 5)), min_leaf=int(m.get("min_samples_leaf", 1)), min_split=int(m.get("min_samples_split", 2)),
                 max_leaves=m.get("max_leaf_nodes", None), min_gain=float(m.get("min_impurity_decrease", 0.0)), prune=float(m.get("ccp_alpha", 0.0)))
-    more = dict(group=group, seed=m.seed, allowed=allowed)
+    # candidates of a search draw differently, the same parameters always alike
+    more = dict(group=group, seed=m.seed + (zlib.crc32(repr(sorted(m.params.items())).encode()) << 20), allowed=allowed)
     forest = int(m.get("n_estimators", 100))
     if m.name == "DecisionTreeClassifier":
         return trees.Job("forest", 1, features=m.get("max_features", "all"), **grow, **more)
