@@ -190,12 +190,14 @@ def fit_trees(models: list[BaseModel], df: DataFrame, held: Column | None = None
     m = models[0]
     fit = df if held is None else df.where(~held)
     cuts = trees.cut_points(fit, _width(df))
-    weights = {r[m.label]: r["weight"] for r in class_weights(fit, m.label).collect()}
+    classes = class_weights(fit, m.label).collect()
     weight = F.lit(1.0)
-    for value, w in weights.items():
-        weight = F.when(F.col(m.label) == value, F.lit(w)).otherwise(weight)
-    rows = trees.binned(df, cuts, m.label, m.row_id, weight, held=held)
-    jobs = trees.train(rows, [tree_job(x) for x in models])
+    for r in classes:
+        weight = F.when(F.col(m.label) == r[m.label], F.lit(r["weight"])).otherwise(weight)
+    jobs = [tree_job(x) for x in models]
+    at_once = sum(j.trees if j.kind == "forest" else 1 for j in jobs)
+    rows = trees.binned(df, cuts, m.label, m.row_id, weight, held=held, pairs=at_once * sum(r["n"] for r in classes))
+    jobs = trees.train(rows, jobs)
     return [trees.TreesScorer.of(j, cuts) for j in jobs], rows, jobs
 
 

@@ -116,8 +116,11 @@ def cut_points(df: DataFrame, width: int, bins: int = BINS) -> list[list[float]]
 
 
 def binned(df: DataFrame, cuts: list[list[float]], label: str, row_id: str, weight: Column | None = None, group: Column | None = None,
-           held: Column | None = None, name: str = "binned") -> DataFrame:
-    """(g, key, y, w, held, x, m): group, hash of the row id, label, weight, whether the row is only watched, a byte per feature, margins."""
+           held: Column | None = None, pairs: int | None = None, name: str = "binned") -> DataFrame:
+    """(g, key, y, w, held, x, m): group, hash of the row id, label, weight, whether the row is only watched, a byte per feature, margins.
+
+    ``pairs`` is about how many (tree, row) pairs a pass looks at: few of them are left to few tasks, as the rows are read once a level.
+    """
     rows = df.select((group if group is not None else F.lit(0)).cast("int").alias("g"), F.xxhash64(F.col(row_id).cast("string")).alias("key"),
                      F.col(label).cast("int").alias("y"), (weight if weight is not None else F.lit(1.0)).cast("double").alias("w"),
                      (held if held is not None else F.lit(False)).alias("held"), vector_to_array("features").alias("f"))
@@ -129,7 +132,8 @@ def binned(df: DataFrame, cuts: list[list[float]], label: str, row_id: str, weig
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("g", "key", "y", "w", "held")), pa.array([r.tobytes() for r in codes], pa.binary()),
                                               pa.array([b""] * len(b), pa.binary())], names=["g", "key", "y", "w", "held", "x", "m"])
 
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # the rows are read many times: by all tasks alike
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts if pairs is None else max(1, min(parts, -(-pairs // PAIRS)))
     return materialize(rows.repartition(parts, "key").mapInArrow(run, "g int, key long, y int, w double, held boolean, x binary, m binary"), name)
 
 

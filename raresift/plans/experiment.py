@@ -152,7 +152,7 @@ def run_once(df: DataFrame, features: list[str], run: int, cfg: Settings) -> tup
         train = materialize(resample.resampler(cfg.resampling, cfg.seed)(train, features, label=cfg.label, row_id=cfg.row_id), "train")
     # models do not wait for each other: the ones with most rounds begin, as their chain of jobs is the longest
     order = sorted(cfg.models, key=lambda n: (LONGEST.index(n) if n in LONGEST else len(LONGEST), n))
-    with ThreadPoolExecutor(max_workers=cfg.parallelism) as threads:
+    with ThreadPoolExecutor(max_workers=2 * cfg.parallelism) as threads:  # most of them wait for small jobs
         tuned = dict(zip(order, threads.map(lambda name: fit_base(train, name, features, cfg), order)))
     searches = {name: tuned[name] for name in cfg.models}
     fitted = {name: s.best for name, s in searches.items()}
