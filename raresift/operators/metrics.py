@@ -61,8 +61,11 @@ def score_table(df: DataFrame, groups: list[str]) -> DataFrame:
     """Positives and negatives per group, decision and distinct score, written out.
 
     The ranking metrics read their input more than once; what they read is this small table, so
-    that scoring itself runs once.
+    that scoring itself runs once. A score that is missing or no number has no rank: an error that names its group.
     """
+    where = F.concat_ws(", ", *[F.concat(F.lit(f"{g} = "), F.coalesce(F.col(g).cast("string"), F.lit("null"))) for g in groups])
+    bad = F.raise_error(F.concat(F.lit("a score is missing or not a number where "), where)).cast("double")
+    df = df.withColumn("p1", F.when(F.col("p1").isNull() | F.isnan(F.col("p1").cast("double")), bad).otherwise(F.col("p1")))
     counts = df.groupBy(*groups, "pred", "p1").agg(F.count_if(F.col("y") == 1).alias("pos"),
                                                    F.count_if(F.col("y") == 0).alias("neg"))
     return materialize(counts, "scores")

@@ -550,6 +550,20 @@ add("s3_s5_results_store", _results_store, O.sql(_SCORED_SQL + ", " + O.confusio
     f"SELECT 'run_1' AS run_id, split, fold, clf, round({O.SCORES['f1']}, 6) AS f1, tp FROM cf, (VALUES ('test'), ('resubstitution')) t(split)"))
 
 
+def _csv_quoted(s, d):
+    """Cells with quotes, separators, backslashes and line breaks, written and read again."""
+    import uuid
+
+    path = f"{work_dir(s)}/csv-{uuid.uuid4().hex}"
+    note = F.concat(F.lit('say "'), F.col("c_name"), F.lit('", then\n'), F.col("c_mktsegment"), F.lit(' \\ '), F.col("c_acctbal").cast("string"), F.lit('"'))
+    tables.save_csv(V.table(s, d, "customer").select("c_custkey", note.alias("note"), F.lit(" kept ").alias("pad")), path)
+    return tables.load_csv(s, path)
+
+
+add("s1_s2_csv_quoted", _csv_quoted, """SELECT c_custkey, 'say "' || c_name || '", then' || chr(10) || c_mktsegment || ' \\ ' || CAST(c_acctbal AS VARCHAR) || '"' AS note,
+  ' kept ' AS pad FROM customer""")
+
+
 def _checked_source(s, d):
     tables.require_source(s, f"{d}/lineitem.parquet")
     return tables.require_columns(V.table(s, d, "lineitem"), ["l_quantity", "l_discount"]).agg(F.count("*").alias("n"))

@@ -47,12 +47,17 @@ def load_csv(spark: SparkSession, path: str, delimiter: str = ",", encoding: str
     Cells are read as text, tokens that mean "missing" become NULL, then columns are cast. ``dtype``
     is a full schema (no inference pass) or a mapping of some columns; without a type a column is
     inferred. A value that does not fit its type is an error, not a silent NULL.
+
+    Cells may be quoted, with doubled quotes and line breaks inside. A file with such breaks cannot be cut, so one scan of its lines looks for them
+    first, and files without are read by many tasks; ``multiLine`` given as an option decides instead.
     """
     require_source(spark, path)
     extra = [na_values] if isinstance(na_values, str) else list(na_values or [])
     tokens = NA_TOKENS + extra
-    reader = (spark.read.option("header", True).option("sep", delimiter)
-              .option("encoding", encoding).options(**options))
+    broken = options.pop("multiLine", None)
+    broken = _breaks_inside(spark, path, encoding) if broken is None else broken
+    reader = (spark.read.option("header", True).option("sep", delimiter).option("quote", '"').option("escape", '"')
+              .option("multiLine", broken).option("encoding", encoding).options(**options))
     if isinstance(dtype, T.StructType):
         types = {f.name: f.dataType for f in dtype.fields}
         text = reader.schema(T.StructType([T.StructField(f.name, T.StringType()) for f in dtype.fields]))
@@ -69,6 +74,14 @@ def load_csv(spark: SparkSession, path: str, delimiter: str = ",", encoding: str
     return cleaned.select(*[F.col(c).cast(types[c]).alias(c) for c in names])
 
 
+def _breaks_inside(spark: SparkSession, path: str, encoding: str) -> bool:
+    """Whether a quoted cell goes over several lines: then some line holds an odd number of quotes."""
+    if encoding.lower().replace("_", "-").startswith(("utf-16", "utf-32", "utf16", "utf32")):
+        return True  # lines of bytes are no lines of text there
+    odd = (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1
+    return bool(spark.read.text(path).where(odd).head(1))
+
+
 def _numeric_types(df: DataFrame, columns: list[str]) -> dict:
     """bigint, or decimal beyond it, if no value is missing and all are whole numbers; double if all are numbers, else string."""
     whole = [F.col(c).rlike(r"^\s*[+-]?\d+\s*$") for c in columns]
@@ -91,13 +104,15 @@ def _numeric_types(df: DataFrame, columns: list[str]) -> dict:
 
 def save_csv(df: DataFrame, path: str, delimiter: str = ",", encoding: str = "utf-8",
              float_format: str | None = None, mode: str = "overwrite", **options) -> None:
-    """Write a CSV folder; ``float_format`` is a printf pattern for floating columns."""
+    """Write a CSV folder; ``float_format`` is a printf pattern for floating columns. Quotes in cells are doubled, cells with breaks or
+    separators quoted, white space at their ends kept, so that ``load_csv`` reads the same text again."""
     if float_format:
         df = df.select(*[
             F.when(F.col(f.name).isNotNull(), F.format_string(float_format, F.col(f.name))).alias(f.name)
             if isinstance(f.dataType, (T.FloatType, T.DoubleType)) else F.col(f.name)
             for f in df.schema.fields])
-    (df.write.mode(mode).option("header", True).option("sep", delimiter)
+    (df.write.mode(mode).option("header", True).option("sep", delimiter).option("quote", '"').option("escape", '"')
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
      .option("encoding", encoding).options(**options).csv(path))
 
 

@@ -277,3 +277,23 @@ def test_cluster_centroids_keep_count(spark):
     out = resample.cluster_centroids(df, ["V0", "V1", "V2"], iterations=3).groupBy("origin").count().collect()
     rare = sum(r[-1] for r in rows)
     assert {r["origin"]: r["count"] for r in out} == {"original": rare, "centroid": rare}
+
+
+def test_csv_cells_come_back(spark, tmp_path):
+    rows = [(1, 'x "y" z'), (2, "two\nlines"), (3, "a,b"), (4, 'end"'), (5, "back\\"), (6, " pad "), (7, '"\n"'), (8, "plain")]
+    df = spark.createDataFrame(rows, "k int, t string")
+    tables.save_csv(df, str(tmp_path / "o"))
+    assert sorted(map(tuple, tables.load_csv(spark, str(tmp_path / "o")).collect())) == rows
+    (tmp_path / "a.csv").write_text('k,t\n1,"x ""y"" z"\n2,"l1\nl2"\n')
+    assert [tuple(r) for r in tables.load_csv(spark, str(tmp_path / "a.csv")).collect()] == [(1, 'x "y" z'), (2, "l1\nl2")]
+    assert tables._breaks_inside(spark, str(tmp_path / "a.csv"), "utf-8")
+    (tmp_path / "b.csv").write_text('k,t\n1,"x ""y"", z"\n')
+    assert not tables._breaks_inside(spark, str(tmp_path / "b.csv"), "utf-8")
+
+
+@pytest.mark.parametrize("bad", [None, float("nan")])
+def test_scores_that_are_no_numbers_are_refused(spark, bad):
+    df = spark.createDataFrame([("m", 1, 0, 0.2), ("m", 0, 0, 0.1), ("n", 1, 0, bad)], "model string, y int, pred int, p1 double")
+    for measure in (metrics.roc_auc, metrics.average_precision, metrics.metrics):
+        with pytest.raises(Exception, match="model = n"):
+            measure(df, ["model"]).collect()
