@@ -17,7 +17,8 @@ from raresift.llm.frames import arrow_rows, materialize
 from raresift.llm.words import Words, mix, shingle_sets, slices
 
 FRAGMENTS = 8  # cuts of the n-gram order for counting overlaps
-ENTRIES = 1 << 18  # prefix entries per flush of a task; a bucket has about as many
+ENTRIES = 1 << 18  # prefix entries per flush of a task
+BUCKET = 1 << 20  # prefix entries of a bucket
 PART = 1 << 20  # bytes of text whose sets are held together
 SPLIT = 16  # parts of a hot n-gram's rows when their number is joined to them
 PROFILE = 64  # fragments of the n-gram order in a set's profile
@@ -340,7 +341,7 @@ def _components_of(df: DataFrame, k: int, num: int, den: int, id_col: str, text_
     sums = reps.agg(F.sum(F.col("n")).alias("n"), F.max((F.col("p0") != F.col("p1")) | (F.col("n") != F.col("n_max"))).alias("bad")).first()
     if sums.bad:
         raise ValueError("two different n-gram sets have the same digest")
-    buckets = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), (sums.n or 0) // (4 * ENTRIES) + 1)  # a prefix is less than a quarter of a set
+    buckets = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), (sums.n or 0) // (4 * BUCKET) + 1)  # a prefix is less than a quarter of a set
     comps = similar_sets(docs.filter("doc_id is not null"), reps.select("sid", "doc_id", "n"), k, num, den, buckets) \
         .withColumnRenamed("id", "sid").withColumnRenamed("component_id", "c")
     named = reps.select("sid", "doc_id").join(comps, "sid", "left").withColumn("c", F.coalesce("c", "sid"))
