@@ -251,7 +251,7 @@ def leaks(df: DataFrame, items: DataFrame, alpha: float = 0.5, least: float = 0.
     out = None
     for shared in _indexes(items, item_id, item_text, k, shard_words):
         def run(batches, shared=shared):
-            index = shared_value(shared)
+            index = shared_value(shared, Index)
             detect, ids = Detector(index, alpha, least, k), index.item_ids
             for batch in batches:
                 for part in slices(batch, "text"):
@@ -271,7 +271,7 @@ def without_leaks(df: DataFrame, items: DataFrame, alpha: float = 0.5, least: fl
     """The rows of ``df`` that hold no test item, by the rule of ``leaks``; all columns are kept."""
     for shared in _indexes(items, item_id, item_text, k, shard_words):
         def run(batches, shared=shared):
-            detect = Detector(shared_value(shared), alpha, least, k)
+            detect = Detector(shared_value(shared, Index), alpha, least, k)
             for batch in batches:
                 for part in slices(batch, text_col):
                     keep = np.ones(len(part), bool)

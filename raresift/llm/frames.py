@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import contextlib
-import pickle
 
-from pyspark import Broadcast, cloudpickle
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,13 +32,35 @@ def arrow_rows(spark: SparkSession, rows: int):
         spark.conf.set(key, before)
 
 
+PACKAGE = __name__.partition(".")[0]
+
+
+def _plain(value):
+    """``value`` without the package's classes: their objects are given by name and attributes."""
+    if type(value).__module__.partition(".")[0] == PACKAGE:
+        return {"class of the package": type(value).__name__, "attributes": {k: _plain(v) for k, v in vars(value).items()}}
+    return type(value)(_plain(v) for v in value) if type(value) in (list, tuple) else value
+
+
 def share(spark: SparkSession, value) -> Broadcast:
-    """Broadcast of an object with the classes of this package it holds: executors need no installed copy. Read it by ``shared_value``."""
-    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    """Broadcast of an object of this package's classes as plain data: executors need no installed copy, and the tasks of a
+    worker share one copy of its arrays. Read it by ``shared_value``."""
+    return spark.sparkContext.broadcast(_plain(value))
+
+
+def shared_value(shared: Broadcast, *classes: type):
+    """The object again; ``classes`` are those it holds, which travel with the task."""
+    known = {c.__name__: c for c in classes}
 
+    def made(value):
+        if type(value) is dict and "class of the package" in value:
+            cls = known[value["class of the package"]]
+            out = cls.__new__(cls)
+            out.__dict__.update({k: made(v) for k, v in value["attributes"].items()})
+            return out
+        return type(value)(made(v) for v in value) if type(value) in (list, tuple) else value
 
-def shared_value(shared: Broadcast):
-    return pickle.loads(shared.value)
+    return made(shared.value)
 
 
 def spread(df: DataFrame) -> int:

@@ -164,7 +164,7 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
     shared = share(df.sparkSession, model)
 
     def run(batches):
-        fitted = shared_value(shared)
+        fitted = shared_value(shared, Model)
         features = Features(fitted.bits)
         for batch in batches:
             for part in slices(batch, text_col, 1 << 20):

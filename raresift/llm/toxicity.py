@@ -270,7 +270,7 @@ def learn(df: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
     shared = share(df.sparkSession, Lexicon(model.terms))
 
     def run(batches):
-        scanner = Scanner(shared_value(shared))
+        scanner = Scanner(shared_value(shared, Lexicon, FuzzyLexicon))
         for batch in batches:
             for part in slices(batch, "text"):
                 count, hits = scanner.hits([t or "" for t in part.column("text").to_pylist()])
@@ -349,7 +349,7 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
         return fitted.score(abuse, count), n
 
     def run(batches):
-        lexicon, fitted = shared_value(shared)
+        lexicon, fitted = shared_value(shared, Lexicon, FuzzyLexicon, Model)
         scanner = Scanner(lexicon)
         for batch in batches:
             for part in slices(batch, text_col):

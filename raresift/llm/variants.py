@@ -152,7 +152,7 @@ def gram_dictionary(words: DataFrame, often: int = OFTEN, most: int = DICTIONARY
 def _frequent(words: DataFrame, shared, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Codes (sorted) and counts of the grams that hold a ``most``-th of all places and more; all others count as equally rare."""
     def run(batches):
-        grams = shared_value(shared)
+        grams = shared_value(shared, Grams)
         for batch in batches:
             for _, _, h, _, _ in _tokens(grams, batch.column("word").to_pylist()):
                 code, n = np.unique(h, return_counts=True)
@@ -169,7 +169,7 @@ def _frequent(words: DataFrame, shared, most: int) -> tuple[np.ndarray, np.ndarr
 def _lists(words: DataFrame, shared, frequent) -> DataFrame:
     """(word, len, h, pos): the lists a word is merged by, those of its rarest grams."""
     def run(batches):
-        grams, (codes, counts) = shared_value(shared), frequent.value
+        grams, (codes, counts) = shared_value(shared, Grams), frequent.value
         for batch in batches:
             words = batch.column("word").to_pylist()
             for at, row, h, place, keep in _tokens(grams, words):
