@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from raresift.llm.frames import arrow_rows, materialize, spread
-from raresift.llm.tokens import blocks, shared_encoder
+from raresift.llm.tokens import blocks, encoding
 from raresift.llm.warc import open_store
 from raresift.sources.storage import work_dir
 
@@ -185,9 +185,12 @@ def write_ids(df: DataFrame, tokenizer: str, folder: str | None = None, id_col:
         spec = spark.sparkContext.broadcast(f.read())
 
     def run(batches):
+        with encoding(spec.value) as encode:
+            yield from written(batches, encode)
+
+    def written(batches, encode):
         from pyspark import TaskContext
 
-        encode = shared_encoder(spec.value)
         bits = bits_needed(max(encode.size, end_id + 1))
         part, piece = TaskContext.get().partitionId(), 0
         writer = path = None

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from raresift.llm.tokens import blocks, shared_encoder
+from raresift.llm.tokens import blocks, encoding
 
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
@@ -114,9 +114,13 @@ def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str =
         shared = df.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches):
+        with encoding(shared.value) as encode:
+            yield from packed(batches, encode)
+
+    def packed(batches, encode):
         from pyspark import TaskContext
 
-        encode, ends_sentence = shared_encoder(shared.value), sentence_ends(shared.value)
+        ends_sentence = sentence_ends(shared.value)
         sequence = TaskContext.get().partitionId() << 33
         ids, docs = [], []  # waiting token arrays, (doc_id, first token in the document, tokens, tokens of the document)
 
