@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import base64
 import json
+import re
 import zlib
 
 import numpy as np
@@ -10,8 +12,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from raresift.llm.tokens import blocks, encoding
+from raresift.llm.tokens import encoding
+from raresift.llm.words import slices
 
+WHITE = re.compile(r"\s{100000}")  # the pattern of the quick encoder fails on runs of white space some times as long
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
@@ -23,17 +27,21 @@ def _byte_letters() -> dict[str, int]:
     return letters | {chr(256 + i): b for i, b in enumerate(other)}
 
 
-def sentence_ends(text: str) -> np.ndarray:
-    """For every id of a byte-level BPE file of ``tokenizers``, given as text, whether its last byte ends a sentence or line; id 0 does."""
-    spec = json.loads(text)
+def read_vocabulary(path: str) -> tuple[list[tuple[bytes, int]], dict[str, int]]:
+    """Byte strings with their ids, and the special tokens, of a byte-level BPE file of ``tokenizers``."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
     letters = _byte_letters()
     special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-    vocabulary = {t: i for t, i in spec["model"]["vocab"].items() if t not in special}
-    out = np.zeros(max([*vocabulary.values(), *special.values()]) + 1, bool)
-    for t, i in vocabulary.items():
-        out[i] = letters[t[-1]] in b".!?\n"
-    out[0] = True
-    return out
+    ranks = [(bytes(letters[c] for c in t), i) for t, i in spec["model"]["vocab"].items() if t not in special]
+    return ranks, special
+
+
+def encoder(ranks: list[tuple[bytes, int]], special: dict[str, int], pattern: str):
+    """Encodes as the ``tokenizers`` file does: the vocabulary's order is the merge order, special strings count."""
+    import tiktoken
+
+    return tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=dict(ranks), special_tokens=special)
 
 
 def choose_cuts(position: np.ndarray, penalty: np.ndarray, limit: int) -> np.ndarray:
@@ -110,17 +118,24 @@ def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str =
     are cut into as many pieces as needed; an empty table gives no row; other columns are ignored. ``sequence_id`` is
     unique, not gapless: the partition's number times 2**33 plus a counter.
     """
+    import public_tokenizers
+
+    ranks, special = read_vocabulary(tokenizer)
+    pattern = public_tokenizers.PATTERN
+    shared = df.sparkSession.sparkContext.broadcast(
+        [(base64.b64encode(b).decode(), i) for b, i in ranks])
     with open(tokenizer, encoding="utf-8") as f:
-        shared = df.sparkSession.sparkContext.broadcast(f.read())
+        spec = df.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches):
-        with encoding(shared.value) as encode:
-            yield from packed(batches, encode)
-
-    def packed(batches, encode):
         from pyspark import TaskContext
 
-        ends_sentence = sentence_ends(shared.value)
+        table = [(base64.b64decode(b), i) for b, i in shared.value]
+        enc = encoder(table, special, pattern)
+        ends_sentence = np.zeros(max([i for _, i in table] + list(special.values())) + 1, bool)
+        for b, i in table:
+            ends_sentence[i] = b[-1:] in (b".", b"!", b"?", b"\n")
+        ends_sentence[0] = True
         sequence = TaskContext.get().partitionId() << 33
         ids, docs = [], []  # waiting token arrays, (doc_id, first token in the document, tokens, tokens of the document)
 
@@ -164,20 +179,25 @@ def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str =
             return out
 
         waiting = 0
-        for part in blocks(batches, text_col):
-            bounds, encoded = encode(part.column(text_col))
-            for i, doc in enumerate(part.column(id_col).to_pylist()):
-                found = np.append(encoded[bounds[i]:bounds[i + 1]], np.uint32(0))
-                for a in range(0, len(found), block):  # a giant text enters in blocks too
-                    ids.append(found[a:a + block])
-                    n = len(ids[-1])
-                    docs.append((doc, a, n, len(found)))
-                    waiting += n
-                    if waiting >= block:
-                        out = flush(False)
-                        waiting = sum(map(len, ids))
-                        if out is not None:
-                            yield out
+        for batch in batches:
+            for part in slices(batch, text_col):
+                for doc, text in zip(part.column(id_col).to_pylist(), part.column(text_col).to_pylist()):
+                    if WHITE.search(text or ""):
+                        with encoding(spec.value) as encode:
+                            found = encode(pa.array([text]))[1]
+                    else:
+                        found = enc.encode_to_numpy(text or "", allowed_special="all")
+                    found = np.append(found, np.uint32(0)).astype(np.uint32)
+                    for a in range(0, len(found), block):  # a giant text enters in blocks too
+                        ids.append(found[a:a + block])
+                        n = len(ids[-1])
+                        docs.append((doc, a, n, len(found)))
+                        waiting += n
+                        if waiting >= block:
+                            out = flush(False)
+                            waiting = sum(map(len, ids))
+                            if out is not None:
+                                yield out
         out = flush(True)
         if out is not None:
             yield out
