@@ -17,8 +17,8 @@ import pyarrow.compute as pc
 
 from raresift.llm.words import slices, text_buffers
 
-ROOM = 1 << 20  # remembered pieces, at most 24 MB of them
-BATCH = 4 << 20  # bytes of text encoded together
+ROOM = 1 << 21  # remembered pieces, at most 40 MB of them
+BATCH = 8 << 20  # bytes of text encoded together
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -110,7 +110,7 @@ class Encoder:
         starts = starts[np.append(starts[1:] > starts[:-1], starts[-1] < len(data))]
         ends = pa.py_buffer(np.append(starts, len(data)).astype(np.int64))
         parts = pa.LargeStringArray.from_buffers(len(starts), ends, pa.py_buffer(np.ascontiguousarray(data))).dictionary_encode()
-        if len(self.known) > ROOM or self.known.nbytes > 24 << 20:
+        if len(self.known) > ROOM or self.known.nbytes > 40 << 20:
             self._forget()
         at = pc.index_in(parts.dictionary, value_set=self.known)
         if at.null_count:
@@ -142,6 +142,17 @@ def blocks(batches, text_col: str, limit: int = BATCH):
         yield pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
 
 
+def shared_encoder(spec: str) -> Encoder:
+    """The encoder of this Python process: tasks that follow each other in a worker share what it has learned."""
+    import tokenizers
+
+    held = tokenizers.__dict__.setdefault("_raresift", {})
+    if spec not in held:
+        held.clear()
+        held[spec] = Encoder(spec)
+    return held[spec]
+
+
 @contextlib.contextmanager
 def encoding(spec: str):
     """An encoder for one task; afterwards the worker holds none of its memory, which the tasks of other stages need."""
