@@ -10,11 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from raresift.llm.frames import share, shared_value
+from raresift.llm.frames import share, shared_value, small_batches
 from raresift.llm.words import Words, shingles, slices
 
 K1, B = 1.2, 0.75
 BLOCK_ITEMS = 8  # items of an index block
+PART = 1 << 19  # bytes of text searched together
+BOUNDS = 1 << 17  # block bounds held together, of one passage at least
 SHARD_WORDS = 2_000_000  # words of items in one broadcast index (some 100 MB at most)
 LEAKS = "doc_id long, item_id long, start_word long, score double, overlap double, question_overlap double, answer_overlap double"
 
@@ -130,8 +132,10 @@ def search(index: Index, passage: np.ndarray, term: np.ndarray, alpha: float) ->
     n_blocks = int(index.block_of.max()) + 1
     names, number = np.unique(passage, return_inverse=True)
     found = []
-    step = max(1, (1 << 21) // n_blocks)  # passages whose block bounds are held together
-    cuts = np.searchsorted(number, np.arange(0, len(names) + step, step))
+    # passages are taken together as far as their cells and the blocks of their terms are few
+    cost = np.cumsum(np.bincount(number, index.block_at[term + 1] - index.block_at[term]).astype(np.int64) + n_blocks)
+    begin = np.flatnonzero(np.diff(cost // BOUNDS, prepend=-1))
+    cuts = np.append(np.searchsorted(number, begin), len(number))
     for a, b in zip(cuts[:-1], cuts[1:]):
         if a == b:
             continue
@@ -208,6 +212,7 @@ class Detector:
 def _indexes(items: DataFrame, id_col: str, text_col: str, k: int, shard_words: int):
     """Indexes of the whole benchmark, one after the other; each holds about ``shard_words`` words. Yields (shard, broadcast)."""
     spark = items.sparkSession
+    small_batches(spark)
     clean = items.select(F.col(id_col).cast("long").alias("item_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")) \
         .filter("item_id is not null").groupBy("item_id", "text").agg(F.lit(1).alias("one")).drop("one")
 
@@ -254,7 +259,7 @@ def leaks(df: DataFrame, items: DataFrame, alpha: float = 0.5, least: float = 0.
             index = shared_value(shared, Index)
             detect, ids = Detector(index, alpha, least, k), index.item_ids
             for batch in batches:
-                for part in slices(batch, "text"):
+                for part in slices(batch, "text", PART):
                     rows = detect(part.column("text"))
                     yield pa.RecordBatch.from_arrays(
                         [part.column("doc_id").take(pa.array([r[0] for r in rows], pa.int64())), pa.array([int(ids[r[1]]) for r in rows], pa.int64()),
@@ -273,7 +278,7 @@ def without_leaks(df: DataFrame, items: DataFrame, alpha: float = 0.5, least: fl
         def run(batches, shared=shared):
             detect = Detector(shared_value(shared, Index), alpha, least, k)
             for batch in batches:
-                for part in slices(batch, text_col):
+                for part in slices(batch, text_col, PART):
                     keep = np.ones(len(part), bool)
                     keep[[r[0] for r in detect(part.column(text_col))]] = False
                     yield part.filter(pa.array(keep))

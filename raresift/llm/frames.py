@@ -32,6 +32,17 @@ def arrow_rows(spark: SparkSession, rows: int):
         spark.conf.set(key, before)
 
 
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session's Arrow batches have at most ``BATCH_BYTES``, or less where the user asks for less: ten thousand whole texts
+    are many times that, and a batch is held by the JVM and by Python, on the way in and out. Results do not depend on it."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 PACKAGE = __name__.partition(".")[0]
 
 

@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from raresift.llm.frames import small_batches
 from raresift.llm.tokens import encoding
 from raresift.llm.words import slices
 
@@ -120,6 +121,7 @@ def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str =
     """
     import public_tokenizers
 
+    small_batches(df.sparkSession)
     ranks, special = read_vocabulary(tokenizer)
     pattern = public_tokenizers.PATTERN
     shared = df.sparkSession.sparkContext.broadcast(

@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from raresift.llm.frames import small_batches
 from raresift.llm.words import slices
 
 ROUNDS = 10
@@ -292,6 +293,7 @@ def pseudonymise(df: DataFrame, key: bytes, text_col: str = "text", count_col: s
     No shuffle; every row on its own. Null texts stay null, empty texts empty; repeated rows give equal results; all other columns, whatever
     their names, are passed on (a column named as ``count_col`` is replaced); an empty table gives no row.
     """
+    small_batches(df.sparkSession)
     schema = df.schema
     if count_col is not None:
         df = df.drop(count_col).withColumn(count_col, F.lit(0).cast("long"))

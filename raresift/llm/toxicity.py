@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from raresift.llm.automaton import FuzzyLexicon, Lexicon, tolerance
-from raresift.llm.frames import held_out, materialize, share, shared_value
+from raresift.llm.frames import held_out, materialize, share, shared_value, small_batches
 from raresift.llm.words import Words, mix, slices
 
 # Words that report speech or name a word, and words that address somebody, in four languages.
@@ -26,6 +26,7 @@ QUOTED, REPORTED, ADDRESSED = 0.2, 0.6, 1.3  # factors of a hit's weight
 EDIT_WEIGHT = (1.0, 0.8, 0.6)  # by number of edits
 WINDOW = 6  # words on either side
 CROWD = 3
+PART = 1 << 20  # bytes of text handled together, at some 50 bytes a character
 
 
 @dataclass
@@ -158,7 +159,7 @@ def _fingerprints(sample: DataFrame) -> DataFrame:
     def run(batches):
         hasher = Words()
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", PART):
                 row, start, end, data, _ = hasher.split(part.column("text"))
                 h = hasher.hashes(start, end, data)
                 at = np.searchsorted(row, np.arange(len(part) + 1))
@@ -197,7 +198,7 @@ def _term_counts(sample: DataFrame, groups: dict[int, int]) -> DataFrame:
         group = shared_value(shared)
         space, trim = _tables()
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", PART):
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 chars, row, start, end, offsets, low = split_chars(texts, space, trim)
                 at = np.searchsorted(row, np.arange(len(texts) + 1))
@@ -254,6 +255,7 @@ def learn(df: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
     other documents; a term with ``CROWD`` innocent words around it is matched exactly only. What reaches the driver is bounded by the sample's words. Without labels nothing is learned and every
     score is 0.5; without a term it is the share of toxic labels.
     """
+    small_batches(df.sparkSession)
     sample = materialize(_sample(df, labels, label_col, id_col, text_col, fit_rows, seed), "toxicity-sample")
     sizes = {r.label: r.n for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
@@ -272,7 +274,7 @@ def learn(df: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
     def run(batches):
         scanner = Scanner(shared_value(shared, Lexicon, FuzzyLexicon))
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", PART):
                 count, hits = scanner.hits([t or "" for t in part.column("text").to_pylist()])
                 per: list[dict] = [{} for _ in range(len(part))]
                 for r, surface, t, e, factor in hits:
@@ -337,6 +339,7 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
     """
     if keep_below is not None and not model.terms:
         return df
+    small_batches(df.sparkSession)
     shared = share(df.sparkSession, (Lexicon(model.terms, model.strict), model))
 
     def scores(texts: list[str], scanner: Scanner, fitted: Model):
@@ -352,7 +355,7 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
         lexicon, fitted = shared_value(shared, Lexicon, FuzzyLexicon, Model)
         scanner = Scanner(lexicon)
         for batch in batches:
-            for part in slices(batch, text_col):
+            for part in slices(batch, text_col, PART):
                 s, n = scores([t or "" for t in part.column(text_col).to_pylist()], scanner, fitted)
                 if keep_below is None:
                     yield pa.RecordBatch.from_arrays([part.column(id_col), pa.array(s), pa.array(n)], names=[id_col, "score", "hits"])
