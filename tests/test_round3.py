@@ -35,3 +35,33 @@ def test_masks_find_the_leaf_that_the_walk_finds(splits):
             node = tree.left[node] if column[tree.feature[node]] <= tree.cut[node] else tree.right[node]
         at.append(node)
     assert walked.nodes(x)[0].tolist() == at
+
+
+@pytest.mark.parametrize("p, exclude_self", [(2, False), (1, True), (2, True)])
+def test_many_queries_meet_broadcast_cells_without_a_shuffle(spark, monkeypatch, p, exclude_self):
+    """Queries over a data side beyond the broadcast rows were shuffled once for every cell in reach, with their lists."""
+    from raresift.operators import neighbors
+
+    monkeypatch.setattr(neighbors, "BROADCAST_ROWS", 100)
+    monkeypatch.setattr(neighbors, "LEAF_ROWS", 16)
+    monkeypatch.setattr(neighbors, "LEAF_QUERIES", 200)
+    monkeypatch.setattr(neighbors, "_answer_blocks", None)
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(size=(700, 3)), 1)  # many ties
+    x[:80] = x[0]  # more copies of a point than a cell has rows
+    rows = [(f"r{i:03d}", *map(float, v), i) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "row_id string, a double, b double, c double, n int")
+    q, d = (df, df) if exclude_self else (df.where("n < 300"), df.where("n >= 200"))
+    found = neighbors.with_neighbours(q, d, 5, list("abc"), payload=["n"], exclude_self=exclude_self, p=p, name="near", broadcast_rows=0)
+    got = {r.row_id: [(e.dist, e.id, e.n) for e in r.near] for r in found.collect()}
+    ids, own = {r.row_id for r in q.select("row_id").collect()}, [r for r in rows if exclude_self or r[4] >= 200]
+    assert set(got) == ids
+    points = np.array([r[1:4] for r in own])
+    for i, r in enumerate(rows):
+        if r[0] in ids:
+            diff = np.abs(points - x[i])
+            dist = np.zeros(len(points))
+            for c in range(3):
+                dist += diff[:, c] if p == 1 else diff[:, c] * diff[:, c]
+            best = sorted((v, o[0], o[4]) for v, o in zip(dist.tolist(), own) if not (exclude_self and o[0] == r[0]))[:5]
+            assert got[r[0]] == best
