@@ -65,3 +65,17 @@ def test_many_queries_meet_broadcast_cells_without_a_shuffle(spark, monkeypatch,
                 dist += diff[:, c] if p == 1 else diff[:, c] * diff[:, c]
             best = sorted((v, o[0], o[4]) for v, o in zip(dist.tolist(), own) if not (exclude_self and o[0] == r[0]))[:5]
             assert got[r[0]] == best
+
+
+@pytest.mark.parametrize("model", ["DecisionTreeClassifier", "LogisticRegression"])
+def test_benchmark_reports_a_technique_whose_ratio_the_table_cannot_give(spark, model):
+    """The whole benchmark ended in an error, as a fold has too few majority rows for 0.05."""
+    from raresift.plans import experiment
+
+    rng = np.random.default_rng(1)
+    rows = [(f"r{i}", float(rng.normal() + 2 * (i % 4 == 0)), float(rng.normal()), int(i % 4 == 0)) for i in range(80)]
+    df = spark.createDataFrame(rows, "row_id string, a double, b double, Class int")
+    with pytest.warns(UserWarning, match="Under05_SMOTEENN has no scores: Ratio 0.05 needs"):
+        out = experiment.benchmark_resamplers(df, ["a", "b"], ["Under05_SMOTEENN", "RandomUnderSampler"], folds=2, model=model).collect()
+    assert [r.technique for r in out] == ["RandomUnderSampler", "Under05_SMOTEENN"]
+    assert out[0].roc_auc_mean > 0.5 and out[1].roc_auc_mean is None and out[1].f1_std is None
