@@ -35,3 +35,14 @@ def test_selection_on_separable_rows(spark, sf):
     assert "V1" in steps.selected  # the label is a rule on V1 and V2, which is too small unscaled
     with pytest.raises(Exception, match="finite|missing"):
         features.l1_logistic(df.withColumn("V1", F.lit(float("nan"))).withColumn("w", F.lit(1.0)), V.TXN_FEATURES, "Class", "w", 0.1)
+
+
+def test_a_step_is_whole_where_features_lie_far_from_zero():
+    rng = np.random.default_rng(3)
+    x = np.column_stack([rng.normal(50.0, 1.0, 4000), rng.normal(500.0, 3.0, 4000), np.ones(4000)])
+    curve, slope, penalty = x.T @ x / 4000, np.array([1.0, -2.0, 0.3]), 1e-3
+    at = np.array([0.5, -0.2, 1.0])
+    step = features._penalised_step(at, slope, curve, penalty)
+    pull = slope + curve @ step
+    assert abs(pull[-1]) < 1e-6
+    assert np.allclose(pull[:-1], -penalty * np.sign((at + step)[:-1]), atol=1e-6)
