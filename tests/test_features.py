@@ -46,3 +46,19 @@ def test_a_step_is_whole_where_features_lie_far_from_zero():
     pull = slope + curve @ step
     assert abs(pull[-1]) < 1e-6
     assert np.allclose(pull[:-1], -penalty * np.sign((at + step)[:-1]), atol=1e-6)
+
+
+def test_the_search_reads_the_table_once(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(float(v), int(rng.random() < 0.5)) for v in rng.normal(50.0, 1.0, 500)]
+    df = spark.createDataFrame(rows, "a double, Class int").repartition(3)
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    passed = df.mapInArrow(counted, df.schema).withColumn("w", F.lit(1.0))
+    features.l1_logistic(passed, ["a"], "Class", "w", 0.01)
+    assert read.value == 500
