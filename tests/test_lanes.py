@@ -31,3 +31,14 @@ def test_larger_trees_stay_alone():
     rng = np.random.default_rng(6)
     pending = [([0], [_random_tree(rng, 3)]), ([0], [_random_tree(rng, 9)])]
     assert not any(isinstance(r, trees.Lanes) for r in trees._rounds(pending, 16)) and trees._rounds([], 16) == []
+
+
+def test_sums_without_rows_that_add_nothing():
+    rng = np.random.default_rng(8)
+    cell, rare = rng.integers(0, 20, 1000), np.where(rng.random(1000) < 0.01, rng.random(1000), 0.0)
+    values = [np.where(rare > 0, 0.0, 1.7), rare, np.ones(1000)]
+    found = trees._summed("forest", values)
+    assert len(found[1][1]) < 50 and found[2] == (None, None)  # few rows for the rare class, none to weigh for the count
+    for (some, v), want in zip(found, values):
+        assert (np.bincount(cell if some is None else cell[some], v, 20) == np.bincount(cell, want, 20)).all()
+    assert [s is None for s, _ in trees._summed("logistic", values)] == [True] * 3 and trees._summed("stumps", values)[2][1] is values[2]
